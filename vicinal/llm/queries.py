@@ -63,8 +63,8 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_quality_mo
 _STOP = ", ".join("'" + w + "'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 _QUALITY = f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-w as (select r, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') as words,
-      list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+w as (select r, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
 grams as (select r, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
 keyed as (select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from grams),
 repeated as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from keyed) where n > 1),
@@ -72,19 +72,19 @@ covered as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i
 m as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
       cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
       cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words,
-      len(lines) as n_lines, len(list_filter(words, x -> lower(x) in ({_STOP}))) as n_stop_words
+      len(lines) as n_lines, len(list_filter(words, lambda x: lower(x) in ({_STOP}))) as n_stop_words
       from w left join covered on w.r = covered.r),
 f as (select *, n_words < {quality_rules.LEAST_WORDS} or 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        case when base_failed then false else {" and ".join(f"({r.value}) between {r.low} and {r.high}" for r in quality_rules.RULES)} end as kept from f
 """
 
-_UNIT = "select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, x -> x::double * x::double))) as norm from embeddings"
+_UNIT = "select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings"
 _EMBEDDING = f"""
 with recursive v as ({_UNIT}),
-ok as (select vec_id, label, norm, list_transform(embedding, x -> x::double) as e from v where label is not null and norm > 0 and norm < 1e300),
+ok as (select vec_id, label, norm, list_transform(embedding, lambda x: x::double) as e from v where label is not null and norm > 0 and norm < 1e300),
 link as (select a.vec_id as u, b.vec_id as v from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
-         where list_sum(list_transform(list_zip(a.e, b.e), p -> p[1] * p[2])) / (a.norm * b.norm) >= 0.98),
+         where list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.98),
 reach as (select vec_id as u, vec_id as v from embeddings union select reach.u, link.v from reach join link on reach.v = link.u),
 component as (select u, min(v) as c from reach group by u),
 degree as (select u, count(*) as n from link group by u)
