@@ -62,7 +62,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 class Remembering(dict):
     """A dict that computes what it lacks and starts anew from `base` when it holds more than `limit` further keys."""
 
-    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 200_000, longest: int = 64):
+    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 500_000, longest: int = 48):
         super().__init__(base or {})
         self.compute, self.base, self.limit, self.longest = compute, base or {}, limit + len(base or {}), longest
 

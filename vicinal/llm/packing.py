@@ -12,6 +12,7 @@ Nulls: a null text is empty and has only the closing id; a null doc_id stays nul
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import Remembering, map_stream, per_worker, texts_of
 CAPACITY, END_ID = 4096, 2
 #: Ids that a task packs together: 1024 sequences.
 GROUP_TOKENS = 1024 * CAPACITY
+#: Runs of text whose ids a worker remembers, about 200 bytes each.
+CACHED_RUNS = 1_000_000
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -40,13 +43,17 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs = Remembering(lambda x: np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+        self.runs = Remembering(self.encode, limit=CACHED_RUNS)
         #: White space to Python's split() that is none to the tokenizer.
         self.odd = regex.compile("[\x1c-\x1f]")
 
+    def encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         if self.odd.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.encode(text)
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
