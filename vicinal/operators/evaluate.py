@@ -125,7 +125,7 @@ def bridges(edges: DataFrame) -> DataFrame:
         raise ValueError("the walk is sequential; the graph must fit one task")
     own = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("one", F.lit(1))
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         beside: dict[int, list[int]] = {}
         for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
             beside.setdefault(a, []).append(b)

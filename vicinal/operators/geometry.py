@@ -100,7 +100,7 @@ def local_geometry(edges: DataFrame, points: DataFrame, method: PcaMethod | None
     method = method or PcaMethod()
     near = edges.join(points.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst").join(points.select(F.col("id").alias("src"), F.col("vec").alias("x")), "src")
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         order = np.lexsort((rows.column("dst").to_numpy(), rows.column("dist").to_numpy()))
         x = np.array(rows.column("x")[0].as_py(), float)
         basis, eig, used, rounds, error = estimate(method, x, vectors(rows.column("y"))[order], strategy, **options)
@@ -152,7 +152,7 @@ def share_tangents(geometry: DataFrame, edges: DataFrame, limit: float, hops: in
     beside = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("nbrs"))
     rows = geometry.select("id", "basis").join(beside, "id", "left").withColumn("one", F.lit(1))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         basis = {i: np.array(b) for i, b in zip(table.column("id").to_pylist(), table.column("basis").to_pylist(), strict=True)}
         nbrs = {i: n or [] for i, n in zip(table.column("id").to_pylist(), table.column("nbrs").to_pylist(), strict=True)}
         donor: dict[int, int] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .knn import stream, top_k, vectors
+from .nndescent import cut
 
 #: Expected points of a shard.
 SHARD = 20_000
@@ -128,7 +129,7 @@ class HnswIndex:
         count = max(1, -(-points.count() // SHARD))
         dealt = points.select("id", "vec", (F.col(shard).cast("long") if shard else F.pmod(F.xxhash64("id"), F.lit(count))).alias("shard"))
 
-        def make(key, rows: pa.Table) -> pa.Table:
+        def make(key, rows):
             x, ids = vectors(rows.column("vec")), rows.column("id").to_numpy()
             graph = Graph(params, x.shape[1])
             order = np.argsort(ids, kind="stable")
@@ -137,13 +138,13 @@ class HnswIndex:
                 graph.insert(int(ids[k]), x[k])
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
 
-        return cls(params, dealt.groupBy("shard").applyInArrow(make, "shard long, graph binary"))
+        return cls(params, cut(dealt.groupBy("shard").applyInArrow(make, "shard long, graph binary")))
 
     def search(self, queries: DataFrame, k: int, ef: int | None = None, routed: bool = False) -> DataFrame:
         """All queries in all shards; with routed, queries name their shards in a column `shard`."""
-        asked = queries.select("qid", "vec", "shard") if routed else queries.select("qid", "vec").join(self.shards.select("shard"), F.lit(True))
+        asked = queries.select("qid", "vec", "shard") if routed else queries.select("qid", "vec").join(self.shards.select(F.col("shard").alias("shard")), F.lit(True))
 
-        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        def run(key, left, right):
             out = []
             for blob in right.column("graph").to_pylist():
                 graph = pickle.loads(blob)

@@ -68,9 +68,10 @@ def search(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
     if k <= 0:
         return points.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
     options = {"metric": metric, "p": p, "weights": weights}
+    points, queries = points.select(F.col("id").cast("long"), "vec"), queries.select(F.col("qid").cast("long"), "vec")
     n_queries = queries.count()
     if n_queries <= QUERY_BLOCK:
-        held = queries.select("qid", "vec").toArrow()
+        held = queries.toArrow()
         qid, q = held.column("qid").to_numpy(), vectors(held.column("vec"))
         if not len(qid):
             return points.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
@@ -80,13 +81,13 @@ def search(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
                 if batch.num_rows:
                     yield block_best(q, qid, vectors(batch.column(1)), batch.column(0).to_numpy(), k, exclude_self, **options)
 
-        return top_k(stream(points.select("id", "vec"), near, NEIGHBOURS), k)
+        return top_k(stream(points, near, NEIGHBOURS), k)
     across = -(-n_queries // QUERY_BLOCK)
     down = max(1, -(-points.count() // (8 * POINT_ROWS)))
-    a = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(across)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("pb"))
-    b = points.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("qb"))
+    a = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(across).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("pb"))
+    b = points.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("qb"))
 
-    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def meet(key, left, right):
         found = [block_best(vectors(left.column("vec")), left.column("qid").to_numpy(), vectors(right.column("vec").slice(s, POINT_ROWS)), right.column("id").slice(s, POINT_ROWS).to_numpy(), k, exclude_self, **options) for s in range(0, right.num_rows, POINT_ROWS) if left.num_rows]
         return pa.Table.from_batches(found) if found else pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
 

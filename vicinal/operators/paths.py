@@ -185,7 +185,7 @@ def refine_paths(paths: DataFrame, points: DataFrame, geometry: DataFrame, parts
 
     flat = paths.select("src", "dst", F.posexplode("path").alias("step", "id")).join(points.select("id", "vec"), "id").join(geometry.select("id", "basis", "eig"), "id")
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         by = np.argsort(rows.column("step").to_numpy())
         line = vectors(rows.column("vec"))[by]
         bases = [np.array(rows.column("basis")[int(k)].as_py()) for k in by]

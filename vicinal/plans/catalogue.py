@@ -1,3 +1,748 @@
-"""Registered queries of the vector engine."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Registered queries of the vector engine, and their SQL where SQL can say it.
+
+Point sets: embeddings (E), part by size and price (P), supplier by balance and nation (S), always whole tables. Searches take as
+queries the rows whose id is divisible by 20, against all rows. Parameters are shared with the SQL text.
+"""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.distance import distance
+from ..operators import curvature, evaluate, geometry, graph, hashing, hnsw, knn, nndescent, partitioned, paths, transforms, trees
+from ..sources import io
+
+K, GRAPH_K, EVERY, DIMS = 10, 5, 20, 64
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SETS = {
+    "E": ("embeddings", "vec_id", "embedding", None, "select vec_id as id, embedding::double[] as vec from embeddings"),
+    "P": ("part", "p_partkey", None, ["p_size / 50D", "p_retailprice / 2000D"], "select p_partkey as id, [p_size::double / 50::double, p_retailprice / 2000::double] as vec from part"),
+    "S": ("supplier", "s_suppkey", None, ["s_acctbal / 10000D", "s_nationkey / 25D"], "select s_suppkey as id, [s_acctbal / 10000::double, s_nationkey::double / 25::double] as vec from supplier"),
+}
+
+
+def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, key, vector, features, _ = SETS[name]
+    return io.read_points(spark, f"{sf_dir}/{table}.parquet", key, vector, features)
+
+
+def asked(p: DataFrame) -> DataFrame:
+    return p.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# SQL pieces.
+
+
+def zipped(a: str, b: str, term: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {term}))"
+
+
+SQ = "(p[1] - p[2]) * (p[1] - p[2])"
+DOT = "p[1] * p[2]"
+WEIGHTS = [1.0 + 0.25 * (j % 4) for j in range(DIMS)]
+
+
+def array(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::double[]"
+
+
+def metric_sql(metric: str, a: str, b: str) -> str:
+    norms = f"(sqrt({zipped(a, a, DOT)}) * sqrt({zipped(b, b, DOT)}))"
+    cos = f"(case when {norms} > 0 then {zipped(a, b, DOT)} / {norms} else 0 end)"
+    return {
+        "euclidean": f"sqrt({zipped(a, b, SQ)})", "sqeuclidean": zipped(a, b, SQ), "cosine": f"(1 - {cos})", "sqcosine": f"greatest(0, least(4, 2 * (1 - {cos})))",
+        "cityblock": zipped(a, b, "abs(p[1] - p[2])"), "chebyshev": f"list_max(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))",
+        "minkowski": f"pow({zipped(a, b, 'pow(abs(p[1] - p[2]), 3)')}, 1.0 / 3)", "weighted": f"sqrt(list_sum(list_transform(list_zip({a}, {b}, {array(WEIGHTS)}), lambda p: p[3] * ((p[1] - p[2]) * (p[1] - p[2])))))",
+    }[metric]
+
+
+def knn_sql(name: str = "E", metric: str = "euclidean", k: int = K, pairs: str | None = None) -> str:
+    """Top k of all pairs, or of the pairs (qid, id) of a CTE body."""
+    source = f"pts q join pts p on q.id % {EVERY} = 0" if pairs is None else "cand join pts q on q.id = cand.qid join pts p on p.id = cand.id"
+    return f"""
+with pts as ({SETS[name][4]}){"" if pairs is None else ", " + pairs},
+scored as (select q.id as qid, p.id as id, {metric_sql(metric, "q.vec", "p.vec")} as dist from {source}),
+ranked as (select *, row_number() over (partition by qid order by dist, id) as rank from scored)
+select qid, cast(rank as integer) as rank, id, round(dist, 9) + 0 as dist from ranked where rank <= {k}"""
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})  # no negative zero
+
+
+def edges_sql(name: str, k: int = GRAPH_K, self_too: bool = False) -> str:
+    """CTEs pts and edges (src, dst, rank, dist)."""
+    return f"""pts as ({SETS[name][4]}),
+pairs as (select a.id as src, b.id as dst, {metric_sql("euclidean", "a.vec", "b.vec")} as dist from pts a join pts b on {"true" if self_too else "a.id <> b.id"}),
+edges as (select src, dst, cast(rank as integer) as rank, dist from (select *, row_number() over (partition by src order by dist, dst) as rank from pairs) where rank <= {k})"""
+
+
+BOTH = "both_ways as (select src, dst, min(dist) as dist from (select src, dst, dist from edges union all select dst, src, dist from edges) group by src, dst)"
+
+
+def edges_of(spark: SparkSession, sf_dir: str, name: str, k: int = GRAPH_K) -> DataFrame:
+    return graph.knn_graph(points(spark, sf_dir, name), k)
+
+
+# Exact search.
+
+
+def _knn(name: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = points(spark, sf_dir, "E")
+        return rounded(knn.search(p, asked(p), K, **options), "dist")
+
+    run.__name__ = f"knn_{name}"
+    query(knn_sql("E", "minkowski" if name == "minkowski3" else "weighted" if name == "weighted_euclidean" else name))(run)
+
+
+for _m in ("euclidean", "sqeuclidean", "cosine", "sqcosine", "cityblock", "chebyshev"):
+    _knn(_m, metric=_m)
+_knn("minkowski3", metric="minkowski", p=3.0)
+_knn("weighted_euclidean", metric="euclidean", weights=WEIGHTS)
+
+
+@query(f"with r as ({knn_sql()}) select qid, array_to_string(list(id order by rank), ',') as ids from r group by qid")
+def neighbor_ids(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    return knn.neighbor_ids(knn.search(p, asked(p), K)).select("qid", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"with t as ({knn_sql('E', 'euclidean')}), f as ({knn_sql('E', 'cityblock')}) select t.qid, count(f.id) / count(*)::double as recall from t left join f on t.qid = f.qid and t.id = f.id and f.rank <= {GRAPH_K} where t.rank <= {GRAPH_K} group by t.qid")
+def recall_at_k(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    q = asked(p)
+    return knn.recall(knn.search(p, q, K, "cityblock"), knn.search(p, q, K), GRAPH_K)
+
+
+# Graphs.
+
+
+@query(f"with {edges_sql('P')} select src, dst, rank, round(dist, 9) as dist from edges")
+def knn_graph_directed(spark, sf_dir):
+    return rounded(edges_of(spark, sf_dir, "P"), "dist")
+
+
+@query(f"with {edges_sql('E')} select src, dst, rank, round(dist, 9) as dist from edges")
+def knn_graph_embeddings(spark, sf_dir):
+    return rounded(edges_of(spark, sf_dir, "E"), "dist")
+
+
+@query(f"with {edges_sql('P', self_too=True)} select src, dst, rank, round(dist, 9) as dist from edges")
+def knn_graph_include_self(spark, sf_dir):
+    return rounded(graph.knn_graph(points(spark, sf_dir, "P"), GRAPH_K, include_self=True), "dist")
+
+
+@query(f"with {edges_sql('P')}, {BOTH} select src, dst, round(dist, 9) as dist from both_ways")
+def knn_graph_undirected(spark, sf_dir):
+    return rounded(graph.symmetrize(edges_of(spark, sf_dir, "P")), "dist")
+
+
+@query(f"with {edges_sql('P')}, {BOTH}, d as (select src, count(*) as degree from both_ways group by src) select degree, count(*) as n from d group by degree")
+def graph_degree_stats(spark, sf_dir):
+    return graph.degrees(graph.symmetrize(edges_of(spark, sf_dir, "P"))).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+CANONICAL = "canon as (select e.src, e.dst, e.dist from edges e where e.src <= e.dst or not exists (select 1 from edges b where b.src = e.dst and b.dst = e.src))"
+
+
+@query(f"with {edges_sql('P')}, {CANONICAL} select src, dst, round(dist, 9) as dist from canon")
+def canonical_edges(spark, sf_dir):
+    return rounded(graph.canonical(edges_of(spark, sf_dir, "P")), "dist").select("src", "dst", "dist")
+
+
+@query(f"with {edges_sql('P')} select src, dst, round(dist, 9) as dist from edges")
+def mirror_edges(spark, sf_dir):
+    edges = edges_of(spark, sf_dir, "P")
+    return rounded(graph.mirror(graph.canonical(edges).select("src", "dst", "dist"), edges), "dist")
+
+
+@query(f"with {edges_sql('P')} select round(min(dist), 9) as min_weight, round(max(dist), 9) as max_weight, round(avg(dist), 9) as mean_weight, round(sum(dist), 6) as total_weight, count(*) as n_edges from edges")
+def edge_weight_stats(spark, sf_dir):
+    return rounded(rounded(graph.weight_statistics(edges_of(spark, sf_dir, "P")), "min_weight", "max_weight", "mean_weight"), "total_weight", digits=6)
+
+
+@query(f"""with {edges_sql('P')}, l as (select src, list(dst) as n from edges group by src)
+select e.src, e.dst, round(len(list_intersect(a.n, coalesce(b.n, []))) / len(list_distinct(list_concat(a.n, coalesce(b.n, []))))::double, 9) as jaccard
+from edges e join l a on e.src = a.src left join l b on e.dst = b.src""")
+def jaccard_scores(spark, sf_dir):
+    return rounded(graph.jaccard(edges_of(spark, sf_dir, "P")), "jaccard")
+
+
+@query(f"""with {edges_sql('P')}, full_edges as (select e.src, e.dst, a.vec as x, b.vec as y from edges e join pts a on a.id = e.src join pts b on b.id = e.dst),
+blocked as (select distinct f.src, f.dst from full_edges f join pts z on z.id <> f.src and z.id <> f.dst and (z.vec[1] - f.x[1]) * (z.vec[1] - f.y[1]) + (z.vec[2] - f.x[2]) * (z.vec[2] - f.y[2]) < 0)
+select e.src, e.dst, b.src is null as gabriel from edges e left join blocked b on e.src = b.src and e.dst = b.dst""")
+def gabriel_mask(spark, sf_dir):
+    return graph.gabriel(edges_of(spark, sf_dir, "P"), points(spark, sf_dir, "P"))
+
+
+@query(f"""with {edges_sql('P')}, r9 as (select src, dst, round(dist, 9) as dist from edges), m as (select src, median(dist) as m from r9 group by src having count(*) > 1),
+d as (select e.*, m.m, abs(e.dist - m.m) as dev from r9 e join m on e.src = m.src), s as (select src, median(dev) as mad from d group by src having median(dev) >= 1e-12)
+select d.src, d.dst, round((d.dist - d.m) / (1.4826 * s.mad), 4) + 0 as z from d join s on d.src = s.src""")
+def local_zscores(spark, sf_dir):
+    return rounded(graph.local_zscores(rounded(edges_of(spark, sf_dir, "P"), "dist"), "dist"), "z", digits=4)
+
+
+def _epsilon_sql(exact: bool) -> str:
+    keep = f"c < 2 or r between 2 and {GRAPH_K + 1}" if exact else f"r <= {GRAPH_K}"
+    return f"""with {edges_sql('P')}, {BOTH}, ends as (select src, dst, src as node, dst as other from both_ways union all select src, dst, dst, src from both_ways),
+near as (select ends.*, b.dist, b.dst as n from ends join both_ways b on b.src = ends.node {"" if exact else "where b.dst <> ends.other"}),
+ranked as (select *, row_number() over (partition by src, dst, node order by dist, n) as r, count(*) over (partition by src, dst, node) as c from near),
+means as (select src, dst, node, avg(dist) as m from ranked where {keep} group by src, dst, node), best as (select src, dst, max(m) as eps from means group by src, dst)
+select b.src, b.dst, round(coalesce(eps, 0), 9) as eps from both_ways b left join best using (src, dst)"""
+
+
+@query(_epsilon_sql(False))
+def effective_epsilon_default(spark, sf_dir):
+    return rounded(graph.effective_epsilon(graph.symmetrize(edges_of(spark, sf_dir, "P")), GRAPH_K), "eps")
+
+
+@query(_epsilon_sql(True))
+def effective_epsilon_exact(spark, sf_dir):
+    return rounded(graph.effective_epsilon(graph.symmetrize(edges_of(spark, sf_dir, "P")), GRAPH_K, exact=True), "eps")
+
+
+# Evaluation. Scores: an edge's length; labels: whether both ends share a nation (S) or the rank is even (P).
+
+
+def _labelled(spark, sf_dir):
+    return edges_of(spark, sf_dir, "P").select("src", "dst", (-F.col("dist")).alias("kappa"), (F.col("rank") % 2 == 0).alias("label"), "rank", "dist")
+
+
+LABELLED = "scored as (select src, dst, -dist as kappa, rank % 2 = 0 as label, rank, dist from edges)"
+
+
+@query(f"""with {edges_sql('P')}, r as (select rank() over (order by dist) + (count(*) over (partition by dist) - 1) / 2.0 as a, rank() over (order by rank) + (count(*) over (partition by rank) - 1) / 2.0 as b from edges)
+select round(corr(a, b), 9) as spearman from r""")
+def spearman_rank(spark, sf_dir):
+    return rounded(evaluate.spearman(edges_of(spark, sf_dir, "P"), "dist", "rank"), "spearman")
+
+
+@query(f"""with {edges_sql('P')}, {LABELLED}, r as (select label, rank() over (order by dist) + (count(*) over (partition by dist) - 1) / 2.0 as a from scored),
+t as (select sum(a) filter (where label) as s, count(*) filter (where label) as p, count(*) filter (where not label) as q from r) select round((s - p * (p + 1) / 2.0) / (p * q), 9) as auroc from t""")
+def auroc(spark, sf_dir):
+    return rounded(evaluate.auroc(_labelled(spark, sf_dir), "dist", "label"), "auroc")
+
+
+GRID = [round(-0.2 + 0.01 * j, 2) for j in range(21)]
+
+
+def _sweep_sql() -> str:
+    grid = ", ".join(f"({t!r}::double)" for t in GRID)
+    return f"""with {edges_sql('P')}, {LABELLED}, grid(threshold) as (values {grid}),
+c as (select threshold, count(*) filter (where kappa < threshold and label) as tp, count(*) filter (where kappa < threshold and not label) as fp,
+count(*) filter (where kappa >= threshold and not label) as tn, count(*) filter (where kappa >= threshold and label) as fn from grid, scored group by threshold)
+select *, round(case when tp + fp > 0 then tp / (tp + fp)::double else 0 end, 9) as precision, round(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end, 9) as recall,
+round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn)::double else 0 end, 9) as f1 from c"""
+
+
+@query(_sweep_sql())
+def f1_sweep(spark, sf_dir):
+    return rounded(evaluate.threshold_sweep(_labelled(spark, sf_dir), "kappa", "label", GRID), "precision", "recall", "f1")
+
+
+@query(f"select * from ({_sweep_sql()}) order by f1 desc, threshold limit 1")
+def best_f1_threshold(spark, sf_dir):
+    return evaluate.best_f1(f1_sweep(spark, sf_dir))
+
+
+@query(f"with {edges_sql('P')}, {LABELLED} select label, round(avg(kappa), 9) as mean_score, count(*) as n from scored group by label")
+def stats_by_label(spark, sf_dir):
+    return rounded(evaluate.stats_by_label(_labelled(spark, sf_dir), "kappa", "label"), "mean_score")
+
+
+def _runs(spark, sf_dir):
+    """Benchmark runs from orders: a customer's order is a run of an algorithm (its priority)."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("algorithm"), (F.pmod("o_orderkey", F.lit(101)) / 100).alias("recall"), F.col("o_totalprice").alias("qps"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status"), F.pmod("o_custkey", F.lit(7)).alias("setting"), F.lit(3).cast("long").alias("reps"))
+
+
+RUNS = "runs as (select o_orderkey as run, o_orderpriority as algorithm, (o_orderkey % 101) / 100::double as recall, o_totalprice as qps, case when o_orderstatus = 'P' then 'failed' else 'success' end as status, o_custkey % 7 as setting, 3::bigint as reps from orders)"
+
+
+@query(f"with {RUNS}, b as (select *, max(qps) over (partition by algorithm order by recall desc, qps desc rows between unbounded preceding and 1 preceding) as best from runs) select run, algorithm, recall, qps from b where best is null or qps > best")
+def pareto_frontier(spark, sf_dir):
+    return evaluate.pareto(_runs(spark, sf_dir), ["algorithm"]).select("run", "algorithm", "recall", "qps")
+
+
+@query(f"with {RUNS} select algorithm, round(quantile_cont(qps, 0.25), 6) as q25, round(quantile_cont(qps, 0.5), 6) as q50, round(quantile_cont(qps, 0.75), 6) as q75 from runs group by algorithm")
+def quartiles(spark, sf_dir):
+    return rounded(evaluate.quartiles(_runs(spark, sf_dir), "qps", ["algorithm"]), "q25", "q50", "q75", digits=6)
+
+
+@query(f"with {RUNS} select algorithm, setting, round(avg(qps), 6) as qps, round(avg(recall), 9) as recall, cast(sum(reps) as bigint) as reps, count(*) as n_runs, array_to_string(list_sort(list(distinct run::varchar)), ',') as runs from runs where status = 'success' group by algorithm, setting")
+def frontier_aggregate(spark, sf_dir):
+    return rounded(rounded(evaluate.frontier_aggregate(_runs(spark, sf_dir), ["algorithm", "setting"]), "qps", digits=6), "recall")
+
+
+@query("select a.x as m, b.x as ef, c.x as metric from (values (8), (16), (32)) a(x), (values (50), (100)) b(x), (values ('cosine'), ('euclidean')) c(x)")
+def param_grid(spark, sf_dir):
+    return evaluate.parameter_grid(spark, m=[8, 16, 32], ef=[50, 100], metric=["cosine", "euclidean"])
+
+
+@query(f"with {RUNS} select r.run, r.algorithm from runs r where not exists (select 1 from runs d where d.status = 'success' and d.algorithm = r.algorithm and d.setting = r.setting and d.run <> r.run and d.qps > r.qps)")
+def pending_runs(spark, sf_dir):
+    """Runs that no faster successful run of their settings makes needless."""
+    runs = _runs(spark, sf_dir)
+    best = runs.where("status = 'success'").groupBy("algorithm", "setting").agg(F.max("qps").alias("top"))
+    done = runs.join(best, ["algorithm", "setting"]).where("qps < top")
+    return io.pending(runs, done, ["run"]).select("run", "algorithm")
+
+
+@query(f"with {RUNS} select algorithm, round(avg(qps) filter (where setting = 0), 6) as s0, round(avg(qps) filter (where setting = 1), 6) as s1 from runs group by algorithm")
+def results_pivot(spark, sf_dir):
+    return rounded(io.pivot(_runs(spark, sf_dir).withColumn("s", F.concat(F.lit("s"), F.col("setting").cast("string"))), "algorithm", "s", "qps", ["s0", "s1"]), "s0", "s1", digits=6)
+
+
+@query(f"with {RUNS} select run, case when status = 'success' then recall end as recall, case when status <> 'success' then status end as error from runs")
+def merge_shards(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return io.merge_shards([runs.where("status = 'success'").select("run", "recall"), runs.where("status <> 'success'").select("run", F.col("status").alias("error"))])
+
+
+@query(f"""with {edges_sql('P')}, {LABELLED}, r as (select *, row_number() over (order by kappa, src, dst) as n, count(*) over () as c from scored) select src, dst from r where n > cast(round_even(0.2 * c, 0) as bigint)""")
+def rank_prune(spark, sf_dir):
+    return evaluate.rank_prune(_labelled(spark, sf_dir), 0.2).select("src", "dst")
+
+
+PRUNED = "r as (select *, row_number() over (partition by src order by {gone}, kappa desc, dst) as n from scored) select src, dst from r where not ({gone}) or n = 1"
+
+
+@query(f"with {edges_sql('P')}, {LABELLED}, {PRUNED.format(gone='kappa < -0.02')}")
+def prune_graph(spark, sf_dir):
+    return evaluate.prune_graph(_labelled(spark, sf_dir), -0.02).select("src", "dst")
+
+
+@query(f"with {edges_sql('P')}, {LABELLED}, {PRUNED.format(gone='label')}")
+def oracle_prune(spark, sf_dir):
+    return evaluate.oracle_prune(_labelled(spark, sf_dir), "label").select("src", "dst")
+
+
+@query()
+def random_prune(spark, sf_dir):
+    return evaluate.random_prune(_labelled(spark, sf_dir), 0.3).select("src", "dst")
+
+
+@query(f"with {edges_sql('P')}, {LABELLED}, r as (select *, row_number() over (partition by src order by kappa desc, dst) as n from scored) select src, dst, cast(n as integer) as rn from r where kappa >= -0.01 or n <= 2")
+def filter_graph(spark, sf_dir):
+    return graph.filter_graph(_labelled(spark, sf_dir), -0.01, 2).select("src", "dst", "rn")
+
+
+@query(f"with {edges_sql('P')}, {LABELLED} select round(avg(kappa), 9) as mean, round(stddev_pop(kappa), 9) as std, round(min(kappa), 9) as min, round(max(kappa), 9) + 0 as max, round(median(kappa), 9) as median, count(*) filter (where kappa > 0) as n_positive, count(*) filter (where kappa < 0) as n_negative from scored")
+def score_statistics(spark, sf_dir):
+    return rounded(graph.score_statistics(_labelled(spark, sf_dir)), "mean", "std", "min", "max", "median")
+
+
+@query(f"""with recursive {edges_sql('S')}, {BOTH}, b as (select src, dst from both_ways where src < dst),
+e as (select row_number() over (order by src, dst) as k, src, dst from b),
+reach(k, start, node) as (select k, src, src from e union select reach.k, reach.start, case when e.src = reach.node then e.dst else e.src end from reach join e on e.k <> reach.k and (e.src = reach.node or e.dst = reach.node))
+select e.src, e.dst from e where not exists (select 1 from reach where reach.k = e.k and reach.node = e.dst)""")
+def graph_bridges(spark, sf_dir):
+    return evaluate.bridges(edges_of(spark, sf_dir, "S"))
+
+
+# Transforms and buckets.
+
+PROJECTION = transforms.RandomProjection.make(DIMS, 8, 5)
+
+
+@query(f"with pts as ({SETS['E'][4]}) select id, " + ", ".join(f"round({zipped('vec', array(r), DOT)}, 9) as y{j}" for j, r in enumerate(PROJECTION.rows)) + " from pts")
+def random_projection(spark, sf_dir):
+    return PROJECTION.transform(points(spark, sf_dir, "E")).select("id", *[F.round(F.col("vec")[j], 9).alias(f"y{j}") for j in range(8)])
+
+
+LISTS = 8
+
+
+def _first(p: DataFrame, n: int = LISTS) -> np.ndarray:
+    return np.array([r["vec"] for r in p.orderBy("id").limit(n).collect()])
+
+
+def _lloyd_sql(name: str, dims: int, rounds: int, last: str) -> str:
+    sets = [f"pts as ({SETS[name][4]})", f"c0 as (select cast(row_number() over (order by id) - 1 as integer) as j, vec from (select * from pts order by id limit {LISTS}))"]
+    for r in range(rounds + 1):
+        sets.append(f"a{r} as (select id, vec, arg_min(j, (d, j)) as bucket, min(d) as d from (select p.id, p.vec, c.j, {metric_sql('sqeuclidean', 'p.vec', 'c.vec')} as d from pts p, c{r} c) group by id, vec)")
+        if r < rounds:
+            sets.append(f"c{r + 1} as (select bucket as j, [" + ", ".join(f"avg(vec[{k + 1}])" for k in range(dims)) + f"] as vec from a{r} group by bucket)")
+    return "with " + ",\n".join(sets) + "\n" + last
+
+
+@query(_lloyd_sql("E", DIMS, 0, "select id, bucket, round(sqrt(d), 9) as nearest from a0"))
+def kmeans_assign(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    return rounded(transforms.KMeans(_first(p)).transform(p).select("id", "bucket", F.array_min("distances").alias("nearest")), "nearest")
+
+
+@query(_lloyd_sql("P", 2, 4, "select id, bucket, round(sqrt(d), 6) as nearest from a4"))
+def kmeans_lloyd(spark, sf_dir):
+    p = points(spark, sf_dir, "P")
+    model = transforms.KMeans.fit(p, LISTS, 4, start=_first(p), tolerance=-1.0)
+    return rounded(model.transform(p).select("id", "bucket", F.array_min("distances").alias("nearest")), "nearest", digits=6)
+
+
+@query(_lloyd_sql("E", DIMS, 0, "select bucket, count(*) as n from a0 group by bucket"))
+def bucket_sizes(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    return transforms.KMeans(_first(p)).transform(p).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+HYPERPLANES = [hashing.RandomHyperplane.make(DIMS, 6, 100 + t) for t in range(4)]
+BINS = [hashing.Binning.make(DIMS, 3, 0.8, 200 + t) for t in range(4)]
+
+
+def _hyper_sql(h) -> str:
+    return "cast(" + " + ".join(f"(case when {zipped('vec', array(r), DOT)} >= 0 then {1 << j} else 0 end)" for j, r in enumerate(h.rows)) + " as varchar)"
+
+
+def _bin_sql(h) -> str:
+    return "concat_ws(',', " + ", ".join(f"cast(cast(floor(({zipped('vec', array(r), DOT)} + {b!r}::double) / {h.width!r}::double) as bigint) as varchar)" for r, b in zip(h.rows, h.offsets, strict=True)) + ")"
+
+
+def _buckets_sql(hashes, one) -> str:
+    return "buckets as (" + " union all ".join(f"select id, {t} as tab, {one(h)} as bucket from pts" for t, h in enumerate(hashes)) + ")"
+
+
+def _cand_sql(hashes, one) -> str:
+    return _buckets_sql(hashes, one) + f", cand as (select distinct a.id as qid, b.id as id from buckets a join buckets b on a.tab = b.tab and a.bucket = b.bucket where a.id % {EVERY} = 0)"
+
+
+@query(f"with pts as ({SETS['E'][4]}), {_buckets_sql(HYPERPLANES, _hyper_sql)} select id, tab as \"table\", bucket from buckets")
+def lsh_hyperplane_buckets(spark, sf_dir):
+    return hashing.LshIndex.build(points(spark, sf_dir, "E"), HYPERPLANES).buckets
+
+
+@query(knn_sql("E", "cosine", pairs=_cand_sql(HYPERPLANES, _hyper_sql)))
+def lsh_hyperplane_knn(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    return rounded(hashing.LshIndex.build(p, HYPERPLANES).search(asked(p), K), "dist")
+
+
+@query(knn_sql("E", "euclidean", pairs=_cand_sql(BINS, _bin_sql)))
+def lsh_binning_knn(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    return rounded(hashing.LshIndex.build(p, BINS).search(asked(p), K), "dist")
+
+
+@query(knn_sql("E", "euclidean", pairs=_cand_sql(BINS, _bin_sql)))
+def index_insert(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    index = hashing.LshIndex.build(p.where("id % 3 = 0"), BINS).insert(p.where("id % 3 <> 0"))
+    return rounded(index.search(asked(p), K), "dist")
+
+
+def _ivf_cand(probes: int) -> str:
+    return f"""c0 as (select cast(row_number() over (order by id) - 1 as integer) as j, vec from (select * from pts order by id limit {LISTS})),
+r as (select id, j, row_number() over (partition by id order by d, j) as n from (select p.id, c.j, {metric_sql('euclidean', 'p.vec', 'c.vec')} as d from pts p, c0 c)),
+cand as (select a.id as qid, b.id as id from r a join r b on a.j = b.j and b.n = 1 and a.n <= {probes} where a.id % {EVERY} = 0)"""
+
+
+def _ivf(probes):
+    def run(spark, sf_dir):
+        p = points(spark, sf_dir, "E")
+        return rounded(partitioned.IvfFlat.build(p, LISTS, rounds=0, start=_first(p)).search(asked(p), K, probes), "dist")
+
+    return run
+
+
+for _n, _p in (("ivf_flat_nprobe2", 2), ("ivf_flat_full", LISTS)):
+    _f = _ivf(_p)
+    _f.__name__ = _n
+    query(knn_sql("E", pairs=_ivf_cand(_p)))(_f)
+
+
+@query(knn_sql("E"))
+def multilevel_two_level(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    config = partitioned.Transformed(4, partitioned.Transformed(2))
+    return rounded(partitioned.MultiLevel.build(p, config, rounds=2).search(asked(p), K), "dist")
+
+
+MERGE = f"with a as ({knn_sql('E', 'euclidean')}), b as ({knn_sql('E', 'euclidean', 6)}), u as (select qid, id, min(dist) as dist from (select * from a union all select * from b) group by qid, id), r as (select *, row_number() over (partition by qid order by dist, id) as rank from u) select qid, cast(rank as integer) as rank, id, dist from r where rank <= 8"
+
+
+@query(MERGE)
+def merge_simple(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    a, b = (rounded(knn.search(p, asked(p), k), "dist") for k in (K, 6))
+    return partitioned.simple_merge(a.select("qid", "id", "dist").union(b.select("qid", "id", "dist")), 8)
+
+
+@query(knn_sql("E"))
+def merge_disjoint(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    parts = [knn.search(p.where(F.col("id") % 3 == r), asked(p), K).select("qid", "id", "dist") for r in range(3)]
+    return rounded(partitioned.disjoint_merge(parts[0].union(parts[1]).union(parts[2]), K), "dist")
+
+
+# Trees.
+
+
+def _tree(name: str, sql: str, make):
+    def run(spark, sf_dir):
+        return rounded(make(points(spark, sf_dir, name.split("_")[-1])), "dist")
+
+    run.__name__ = name.rsplit("_", 1)[0]
+    query(sql)(run)
+
+
+_tree("kdtree_spread_P", knn_sql("P"), lambda p: trees.KdTree.build(p).search(asked(p), K))
+_tree("kdtree_cyclic_P", knn_sql("P"), lambda p: trees.KdTree.build(p, "cyclic").search(asked(p), K))
+_tree("kdtree_chebyshev_P", knn_sql("P", "chebyshev"), lambda p: trees.KdTree.build(p, metric="chebyshev").search(asked(p), K))
+_tree("kdtree_embeddings_E", knn_sql("E"), lambda p: trees.KdTree.build(p).search(asked(p), K))
+_tree("rpforest_exhaustive_E", knn_sql("E"), lambda p: trees.Forest.build(p, stop=trees.max_leaf_size(1 << 30), n_trees=2).search(asked(p), K))
+_tree("pcaforest_exhaustive_E", knn_sql("E"), lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), trees.max_leaf_size(1 << 30), 2).search(asked(p), K))
+
+
+def _floor(name: str, floor: float, make):
+    """A query of one row: whether mean recall reaches the floor."""
+
+    def run(spark, sf_dir):
+        p = points(spark, sf_dir, "E")
+        found = knn.recall(make(p), knn.search(p, asked(p), K), K)
+        return found.agg((F.avg("recall") >= floor).alias("reached"), F.count("*").alias("queries"))
+
+    run.__name__ = name
+    query(f"select true as reached, count(*) as queries from embeddings where vec_id % {EVERY} = 0")(run)
+
+
+_floor("rpforest_recall_floor", 0.35, lambda p: trees.Forest.build(p, n_trees=8).search(asked(p), K))
+_floor("pcaforest_recall_floor", 0.35, lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), n_trees=8).search(asked(p), K))
+_floor("rptree_recall_floor", 0.05, lambda p: trees.Forest.build(p, n_trees=1).search(asked(p), K))
+_floor("pcatree_recall_floor", 0.05, lambda p: trees.Forest.build(p, trees.pca_splitter(), n_trees=1).search(asked(p), K))
+_floor("hnsw_recall", 0.9, lambda p: hnsw.HnswIndex.build(p, hnsw.Params(ef_construction=100)).search(asked(p), K))
+_floor("nndescent_recall", 0.85, lambda p: nndescent.search(nndescent.build(p, 15, 6), p, asked(p), K, beam=64))
+
+
+def _ivf_hnsw(p):
+    model = transforms.KMeans.fit(p, 4, 3, start=_first(p, 4))
+    index = hnsw.HnswIndex.build(model.transform(p), hnsw.Params(ef_construction=100), "bucket")
+    routed = model.transform(asked(p), "qid").select("qid", "vec", F.explode(partitioned.top_routing(4)("distances")).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
+    return index.search(routed, K, routed=True)
+
+
+_floor("ivf_hnsw_recall", 0.9, _ivf_hnsw)
+
+
+@query("select true as reached, count(*) as nodes from embeddings")
+def nndescent_graph_recall(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    found = nndescent.build(p, 15, 8, init="rptree", symmetry="none").select(F.col("src").alias("qid"), F.col("dst").alias("id"), "rank")
+    truth = graph.knn_graph(p, K).select(F.col("src").alias("qid"), F.col("dst").alias("id"), "rank")
+    return knn.recall(found.withColumn("rank", F.when(F.col("rank") <= 15, F.lit(1))), truth, K).agg((F.avg("recall") >= 0.85).alias("reached"), F.count("*").alias("nodes"))
+
+
+@query(f"with {edges_sql('E')}, {BOTH}, r as (select *, row_number() over (partition by src order by dist, dst) as n from both_ways) select src, dst, cast(n as integer) as rank from r where n <= {3 * GRAPH_K // 2}")
+def nndescent_symmetry(spark, sf_dir):
+    return nndescent.symmetrized(edges_of(spark, sf_dir, "E"), GRAPH_K).select("src", "dst", "rank")
+
+
+@query()
+def hnsw_edges(spark, sf_dir):
+    return hnsw.HnswIndex.build(points(spark, sf_dir, "P"), hnsw.Params(m=8, ef_construction=40)).edges().groupBy("layer").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("nodes"))
+
+
+# Paths.
+
+
+@query(f"""with recursive {edges_sql('S')}, hops(src, dst, d) as (select id, id, 0 from pts union select h.src, e.dst, h.d + 1 from hops h join edges e on e.src = h.dst where h.d < 12)
+select src, dst, cast(min(d) as double) as d from hops group by src, dst""")
+def hop_distances(spark, sf_dir):
+    edges = edges_of(spark, sf_dir, "S").withColumn("one", F.lit(1.0))
+    return paths.hop_relax(edges, points(spark, sf_dir, "S"), 12, "one")
+
+
+def _bellman(rounds: int) -> str:
+    sets = ["d0 as (select id as src, id as dst, 0::double as d from pts)"]
+    for r in range(1, rounds + 1):
+        sets.append(f"d{r} as materialized (select src, dst, min(d) as d from (select * from d{r - 1} union all select a.src, e.dst, a.d + e.dist from d{r - 1} a join edges e on e.src = a.dst) group by src, dst)")
+    return ", ".join(sets)
+
+
+@query(f"with {edges_sql('S')}, {_bellman(24)} select src, dst, round(d, 9) as d from d24")
+def shortest_paths(spark, sf_dir):
+    return rounded(paths.shortest_paths(edges_of(spark, sf_dir, "S"), points(spark, sf_dir, "S")), "d")
+
+
+@query(f"with {edges_sql('S')}, {_bellman(24)} select a.id as src, b.id as dst, round(coalesce(d, 'infinity'::double), 9) as d from pts a join pts b on b.id = (a.id * 7 + 3) % (select count(*) from pts) left join d24 on d24.src = a.id and d24.dst = b.id")
+def geodesic_pairs(spark, sf_dir):
+    p = points(spark, sf_dir, "S")
+    n = p.count()
+    pairs = p.select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(n)).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return rounded(paths.pair_paths(edges_of(spark, sf_dir, "S"), pairs).select("src", "dst", "d"), "d")
+
+
+@query()
+def path_refinement(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    found = paths.pair_paths(edges, pairs).where("size(path) > 1")
+    return paths.refine_paths(found, p, geometry.local_geometry(edges, p, geometry.PcaMethod(1)))
+
+
+@query()
+def curvature_corrected_paths(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    scale = edges.agg(F.avg("dist")).first()[0]
+    return paths.refine_paths(paths.pair_paths(edges, pairs).where("size(path) > 1"), p, geometry.local_geometry(edges, p, geometry.PcaMethod(2)), corrections=True, length_scale=scale)
+
+
+@query()
+def path_segments(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return paths.path_segments(paths.pair_paths(edges, pairs), edges)
+
+
+@query()
+def point_geodesics(spark, sf_dir):
+    p = points(spark, sf_dir, "S")
+    q = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("qid"), F.array(F.col("r_regionkey") / F.lit(10.0), F.col("r_regionkey") / F.lit(5.0)).alias("vec"))
+    return paths.point_geodesics(p, edges_of(spark, sf_dir, "S"), q, p)
+
+
+@query(f"with {edges_sql('S')}, {_bellman(24)}, t as (select a.id as src, b.id as dst, {metric_sql('euclidean', 'a.vec', 'b.vec')} as d_true from pts a join pts b on a.id < b.id), j as (select t.*, d from t left join d24 using (src, dst)), g as (select abs(d - d_true) / d_true as e from j where d is not null and d_true >= 1e-12) select round((select avg(e) from g), 6) as mean_error, round((select median(e) from g), 6) as median_error, (select count(*) from j where d is null or d_true < 1e-12) as n_disconnected")
+def geodesic_error(spark, sf_dir):
+    p = points(spark, sf_dir, "S")
+    a, b = p.select(F.col("id").alias("src"), F.col("vec").alias("x")), p.select(F.col("id").alias("dst"), F.col("vec").alias("y"))
+    truth = knn.search(p, p.withColumnRenamed("id", "qid"), p.count()).where("qid < id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d_true"))
+    found = paths.shortest_paths(edges_of(spark, sf_dir, "S"), p)
+    return rounded(evaluate.geodesic_error(found, truth), "mean_error", "median_error", digits=6).select("mean_error", "median_error", "n_disconnected")
+
+
+@query()
+def shortcut_labels(spark, sf_dir):
+    edges = edges_of(spark, sf_dir, "S")
+    return evaluate.shortcut_labels(edges.withColumn("r", F.lit(0.5)))
+
+
+@query("select i as id, round((1.5 * pi() + 3 * pi() * i / 500.0) * cos(1.5 * pi() + 3 * pi() * i / 500.0), 6) + 0 as x, round((1.5 * pi() + 3 * pi() * i / 500.0) * sin(1.5 * pi() + 3 * pi() * i / 500.0), 6) + 0 as z from range(500) t(i)")
+def swiss_roll(spark, sf_dir):
+    return paths.swiss_roll(spark, 500).select("id", (F.round(F.col("vec")[0], 6) + F.lit(0.0)).alias("x"), (F.round(F.col("vec")[2], 6) + F.lit(0.0)).alias("z"))
+
+
+@query()
+def torus(spark, sf_dir):
+    return paths.torus(spark, 500)
+
+
+# Geometry.
+
+
+def _geometry(spark, sf_dir, dim=1, **options):
+    p, edges = points(spark, sf_dir, "P"), edges_of(spark, sf_dir, "P")
+    return p, edges, geometry.local_geometry(edges, p, geometry.PcaMethod(dim), **options)
+
+
+@query(f"select p_partkey as id, true as unit_basis, true as at_center, {GRAPH_K} as used from part")
+def local_pca_invariants(spark, sf_dir):
+    p, _, g = _geometry(spark, sf_dir)
+    unit = F.abs(F.aggregate("basis", F.lit(0.0), lambda s, row: s + row[0] * row[0]) - 1) < 1e-9
+    return g.join(p, "id").select("id", unit.alias("unit_basis"), (distance("center", "vec") < 1e-12).alias("at_center"), "used")
+
+
+@query(f"with {edges_sql('P')} select src, dst, round(dist, 9) as chord, true as ordered from edges")
+def edge_weight_tangent(spark, sf_dir):
+    _, edges, g = _geometry(spark, sf_dir)
+    w = geometry.edge_weights(edges, g)
+    ordered = (F.col("tangent_src") <= F.col("tangent_max")) & (F.col("tangent_mean") <= F.col("tangent_max")) & (F.col("tangent_max") <= F.col("chord") + 1e-9) & (F.col("curvature_free") >= F.col("chord") - 1e-9)
+    return rounded(w.select("src", "dst", "chord", ordered.alias("ordered")), "chord")
+
+
+@query("select 0::bigint as n_negative_fallbacks, count(*) * %d as n_edges from part" % GRAPH_K)
+def curvature_free_diagnostics(spark, sf_dir):
+    _, edges, g = _geometry(spark, sf_dir)
+    return geometry.diagnostics(geometry.edge_weights(edges, g))
+
+
+@query()
+def tangent_angles(spark, sf_dir):
+    _, edges, g = _geometry(spark, sf_dir)
+    return geometry.tangent_angles(edges, g)
+
+
+@query()
+def adaptive_neighborhoods(spark, sf_dir):
+    return _geometry(spark, sf_dir, strategy="adaptive")[2].groupBy("used", "rounds").agg(F.count("*").alias("n"))
+
+
+@query()
+def expanding_neighborhoods(spark, sf_dir):
+    return _geometry(spark, sf_dir, strategy="expanding", limit=0.5, first=2)[2].groupBy("used", "rounds").agg(F.count("*").alias("n"))
+
+
+@query()
+def tangent_sharing(spark, sf_dir):
+    _, edges, g = _geometry(spark, sf_dir)
+    return geometry.sharing(geometry.share_tangents(g, edges, 0.1))
+
+
+@query("select vec_id as id, true as restored from embeddings")
+def pca_round_trip(spark, sf_dir):
+    p = points(spark, sf_dir, "E")
+    model = transforms.Pca.fit(p, DIMS)
+    back = model.inverse_transform(model.transform(p)).withColumnRenamed("vec", "again")
+    return p.join(back, "id").select("id", (distance("vec", "again") < 1e-9).alias("restored"))
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    model = transforms.Pca.fit(points(spark, sf_dir, "E"))
+    return spark.createDataFrame([(j, float(v)) for j, v in enumerate(model.explained_variance_ratio)], "component int, ratio double")
+
+
+# Curvature.
+
+
+def _curvature(spark, sf_dir, variant, solver="exact"):
+    p = points(spark, sf_dir, "S")
+    return curvature.curvatures(graph.symmetrize(edges_of(spark, sf_dir, "S")), p, GRAPH_K, variant, solver)
+
+
+@query(f"with {edges_sql('S')}, {BOTH} select src, dst, true as bounded from both_ways")
+def orc_standard(spark, sf_dir):
+    return _curvature(spark, sf_dir, curvature.Standard()).select("src", "dst", (F.col("kappa").isNull() | F.isnan("kappa") | (F.col("kappa") <= 1 + 1e-9)).alias("bounded"))
+
+
+@query()
+def orc_manifold(spark, sf_dir):
+    return _curvature(spark, sf_dir, curvature.Manifold())
+
+
+@query()
+def orc_manifold_exact(spark, sf_dir):
+    return _curvature(spark, sf_dir, curvature.Manifold(curvature.Profile(exact=True)))
+
+
+@query(f"with {edges_sql('S')}, {BOTH} select src, dst, true as agree, true as greedy_over, true as entropic_near from both_ways")
+def orc_solver_agreement(spark, sf_dir):
+    exact = _curvature(spark, sf_dir, curvature.Standard()).select("src", "dst", "w1")
+    others = {n: _curvature(spark, sf_dir, curvature.Standard(), n).select("src", "dst", F.col("w1").alias(n)) for n in ("reference", "greedy", "sinkhorn")}
+    for df in others.values():
+        exact = exact.join(df, ["src", "dst"])
+    return exact.select("src", "dst", (F.abs(F.col("w1") - F.col("reference")) < 1e-9).alias("agree"), (F.col("greedy") >= F.col("w1") - 1e-9).alias("greedy_over"), (F.abs(F.col("sinkhorn") - F.col("w1")) < 0.05).alias("entropic_near"))
+
+
+@query()
+def orc_filter(spark, sf_dir):
+    return graph.filter_graph(_curvature(spark, sf_dir, curvature.Manifold())).select("src", "dst", "rn")
+
+
+@query()
+def orc_statistics(spark, sf_dir):
+    return graph.score_statistics(_curvature(spark, sf_dir, curvature.Standard()).where("not isnan(kappa)"))
