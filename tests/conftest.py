@@ -15,5 +15,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment["PYTHONPATH"] = sys.path[0]
     yield session
     session.stop()
