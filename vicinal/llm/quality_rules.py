@@ -8,6 +8,7 @@ Nulls: a null text has no words and so fails the base rules; a null doc_id stays
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ STOP_WORDS = (
     "el y los se del las por con no una su para es al lo"
 ).split()
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-WORD = "[^\\x20\\x09-\\x0D]"
+WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -46,31 +47,43 @@ RULES = (
 )
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """docs with _words, _lines and the counts; docs needs a column text."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body with name bound to value. A lambda binds it, so that it is worked out once per row wherever Spark moves the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def verdict_sql(text: str = "text") -> str:
+    """One SQL expression: a struct of the counts, base_failed and kept."""
     stop = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
-    frame = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    frame = frame.withColumn("_words", F.array_remove(F.split("_text", "[\\x20\\x09-\\x0D]+"), "")).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
-    frame = frame.withColumn("_n", F.size("_words"))
-    frame = frame.withColumn("_hashes", F.expr("case when _n >= 3 then transform(sequence(0, _n - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) else array() end"))
-    frame = frame.withColumn("_sorted", F.expr("case when size(array_distinct(_hashes)) < size(_hashes) then array_sort(transform(_hashes, (h, i) -> struct(h as h, i as i))) end"))
-    covered = "size(array_distinct(flatten(transform(filter(sequence(0, size(_sorted) - 1), k -> coalesce(get(_sorted, k - 1).h = _sorted[k].h, false) or coalesce(get(_sorted, k + 1).h = _sorted[k].h, false)), k -> array(_sorted[k].i, _sorted[k].i + 1, _sorted[k].i + 2)))))"
-    return frame.select(
-        "*",
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"case when _sorted is null then 0L else cast({covered} as long) end").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.expr(f"cast(size(filter(_words, w -> lower(w) in ({stop}))) as long)").alias("n_stop_words"),
+    covered = (
+        "size(array_distinct(flatten(transform(filter(sequence(0, size(q_sorted) - 1), "
+        "k -> coalesce(get(q_sorted, k - 1).h = q_sorted[k].h, false) or coalesce(get(q_sorted, k + 1).h = q_sorted[k].h, false)), "
+        "k -> array(q_sorted[k].i, q_sorted[k].i + 1, q_sorted[k].i + 2)))))"
     )
+    values = {
+        "n_words": "size(q_words)",
+        "word_chars": "length(array_join(q_words, ''))",
+        "n_symbols": f"length(q_text) - length(translate(q_text, '{SYMBOLS}', ''))",
+        "n_dup_lines": "size(q_lines) - size(array_distinct(q_lines))",
+        "n_repeat_words": f"case when q_sorted is null then 0 else {covered} end",
+        "n_lines": "size(q_lines)",
+        "n_stop_words": f"size(filter(q_words, w -> lower(w) in ({stop})))",
+    }
+    failed = f"q_n.n_words < {LEAST_WORDS} or 100 * q_n.n_repeat_words > {MOST_REPEATED_PERCENT} * q_n.n_words"
+    rules = re.sub(rf"\b({'|'.join(COUNTS)})\b", r"q_n.\1", " and ".join(rule.sql() for rule in RULES))
+    out = "named_struct(" + ", ".join(f"'{n}', q_n.{n}" for n in COUNTS) + f", 'base_failed', {failed}, 'kept', case when {failed} then false else {rules} end)"
+    out = let("q_n", "named_struct(" + ", ".join(f"'{n}', cast({v} as long)" for n, v in values.items()) + ")", out)
+    out = let("q_sorted", "case when size(array_distinct(q_hashes)) < size(q_hashes) then array_sort(transform(q_hashes, (h, i) -> struct(h as h, i as i))) end", out)
+    out = let("q_hashes", "case when size(q_words) >= 3 then transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])) else array() end", out)
+    out = let("q_lines", f"filter(split(q_text, '\\n'), x -> x rlike r'{WORD}')", out)
+    out = let("q_words", r"array_remove(split(q_text, r'[\x20\x09-\x0D]+'), '')", out)
+    return let("q_text", f"coalesce({text}, '')", out)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs (with a column text) with the counts, base_failed and kept. Own columns of these names are replaced."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept"]
-    plain = docs.drop(*own, *(c for c in docs.columns if c.startswith("_")))
-    frame = counts(plain).withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words"))
-    verdict = " and ".join(rule.sql() for rule in RULES)
-    return frame.withColumn("kept", F.expr(f"case when base_failed then false else {verdict} end")).select(*plain.columns, *own)
+    plain = docs.drop(*COUNTS, "base_failed", "kept", "_quality")
+    return plain.withColumn("_quality", F.expr(verdict_sql())).select(*plain.columns, "_quality.*")
