@@ -198,7 +198,9 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, audited: int =
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
-    frame = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label"))
+    # Single-precision vectors stay so in shuffles, at half the size; every product is in double.
+    kept_as = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    frame = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kept_as).alias("vec"), F.col("label"))
     usable = F.expr("vec_id is not null and label is not null and vec is not null and size(vec) > 0 and forall(vec, x -> coalesce(not isnan(x) and abs(x) < 1e300, false)) and exists(vec, x -> x <> 0)")
     frame = frame.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("part", F.concat_ws(":", F.size("vec"), F.col("label").cast("string")))
     frame = frame.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1)))
