@@ -182,6 +182,45 @@ def test_embeddings_by_brute_force(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(240, 245))
 
 
+def links_by_brute_force(x, threshold=0.98):
+    y = np.float64(np.float32(x))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= threshold
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), components.local_labels(len(x), *np.nonzero(near))
+
+
+def embedding_rows(spark, x):
+    frame = spark.createDataFrame([(k, [float(v) for v in np.float32(r)], 0) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame).collect()}
+
+
+def test_embeddings_link_dense_groups(spark):
+    # Two groups of 40 vectors: all pairs are linked, but those inside a group are nearer than those across.
+    rng = np.random.default_rng(9)
+    first, second = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = [first, 0.985 * first + np.sqrt(1 - 0.985**2) * second]
+    x = np.concatenate([c + 0.002 * rng.standard_normal((40, 64)) for c in centres])
+    degrees, truth = links_by_brute_force(x)
+    assert set(degrees) == {79} and set(truth) == {0}
+    assert embedding_rows(spark, x) == {k: (79, 0) for k in range(80)}
+
+
+def test_embeddings_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.standard_normal((150, 8)), 4, axis=0) + 0.1 * rng.standard_normal((600, 8))
+    degrees, truth = links_by_brute_force(x)
+    assert degrees.max() == 3 and degrees.min() == 0
+    members = spark.createDataFrame([(k, "8:0", 1, [float(v) for v in np.float32(r)], k % 7) for k, r in enumerate(x)], "id long, part string, n long, vec array<float>, root long")
+    for rows in (7, 64):
+        found = embedding_dedup.compare_all(members, 0.98, rows).collect()
+        sums = np.zeros(600, int)
+        for r in found:
+            sums[r["id"]] += r["linked"]
+        assert (sums == degrees).all()
+        assert (components.local_labels(600, np.array([r["id"] for r in found]), np.array([r["star"] for r in found])) == truth).all()
+
+
 def reference_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

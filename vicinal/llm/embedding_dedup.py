@@ -4,8 +4,10 @@ Equal vectors of a label become one representative. A neighbour graph starts fro
 refined in rounds: everything a vector lists, and what lists it, meets at that vector (the pivot), where all pairs are compared;
 better neighbours replace worse ones. Lists whose entries are all over the threshold are saturated and grow. An audit
 compares a bounded set of vectors with all others; while too few of their links are found, further trees and rounds follow.
-Edges over the threshold give components. Two linked vectors share a component, so the lists are at last enlarged to
-their components, which are compared in blocks of bounded size; only counts leave these tasks, never pairs.
+Lists are bounded, so the graph can miss links, also those between whole components. It therefore only says which vectors to
+put together: blocks of vectors in the order of the graph's components are all compared with each other, but for pairs of
+blocks whose centres are too far apart for any link. Links and components come from this pass and equal those of all pairs;
+only counts and stars leave its tasks, never pairs.
 
 Vectors that are null, zero, of another size, or hold null or non-finite components, and rows with a null label or vec_id, link
 with nothing: n_links 0, their own component, kept (kept is null for a null vec_id). vec_id is taken as the vectors' key.
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, map_stream
-from .components import connected_components
+from .components import connected_components, local_labels
 
 #: List length, entries of a saturated list, trees per start, vectors of a leaf, neighbours compared along a leaf.
 LIST, LONG_LIST, TREES, LEAF, ALONG = 8, 16, 6, 24, 12
 #: Rounds after a start, the share of changed entries at which rounds end, starts, audited vectors, and the recall they need.
 ROUNDS, SETTLED, STARTS, AUDITED, RECALL = 2, 0.001, 4, 256, 0.97
-#: Vectors of a block when components are compared.
-BLOCK = 512
+#: Vectors of a block when components are compared, and when all blocks are.
+BLOCK, WIDE_BLOCK = 512, 1024
 EDGES = "id long, nbr long, sim double, fresh boolean"
 
 
@@ -169,6 +171,87 @@ def compare_components(members: DataFrame, threshold: float) -> DataFrame:
     return map_stream(blocked, count, "id long, linked long", rows=4096).groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
+def blocks_of(members: DataFrame, rows: int) -> DataFrame:
+    """Blocks (part, block, centre, radius, ids, n, vecs) of at most `rows` members (id, part, n, vec, root), by root. The radius is an angle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = dict(zip(batch.schema.names, batch.columns, strict=True))
+        parts, ids, n = np.array(held["part"].to_pylist()), np.asarray(held["id"]), np.asarray(held["n"])
+        out = []
+        for part in np.unique(parts):
+            own = np.flatnonzero(parts == part)
+            raw = matrix(held["vec"].take(pa.array(own)))
+            x = unit(raw)
+            centre = x.mean(axis=0)
+            centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            out.append((str(part), centre.tolist(), radius, ids[own].tobytes(), n[own].tobytes(), raw.astype(kind).tobytes()))
+        part, centre, radius, *blobs = zip(*out, strict=True) if out else ((),) * 6
+        columns = [pa.array(part, pa.string()), pa.array(centre, pa.list_(pa.float64())), pa.array(radius, pa.float64()), *(pa.array(b, pa.binary()) for b in blobs)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "centre", "radius", "ids", "n", "vecs"])
+
+    kind = blob_type(members)
+    laid = members.select("part", "root", "id", "n", "vec").repartitionByRange("part", "root", "id").sortWithinPartitions("part", "root", "id")
+    made = map_batches(laid, run, "part string, centre array<double>, radius double, ids binary, n binary, vecs binary", rows=rows)
+    return cut(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+def blob_type(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def compare_all(members: DataFrame, threshold: float, rows: int = WIDE_BLOCK) -> DataFrame:
+    """id, linked (the sum of n over those linked with it) and star (an id of the same component), for members (id, part, n, vec, root) with
+    links; an id has one row for each pair of blocks in which it has links. All pairs of a part count.
+
+    Blocks of a part are dealt into `groups` groups, so that pairs of groups are about as many as there are cores; each block is
+    sent once to each pair of groups that has its own. A pair of blocks is left out if no two vectors so far from its
+    centres can be linked."""
+    kind, dims_of = blob_type(members), lambda blob, n: np.frombuffer(blob, kind).astype(np.float64).reshape(n, -1)
+    blocks = blocks_of(members, rows)
+    sizes = blocks.groupBy("part").agg(F.count("*").alias("blocks"))
+    squares = sizes.agg(F.sum(F.col("blocks").cast("double") * F.col("blocks"))).first()[0] or 1.0
+    share = float(np.sqrt(2 * members.sparkSession.sparkContext.defaultParallelism / squares))
+    dealt = blocks.join(F.broadcast(sizes.select("part", F.ceil(F.col("blocks") * share).alias("groups"))), "part").withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    dealt = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "block", "centre", "radius", "ids", "n", "vecs")
+    mine = ("own", "block", "centre", "radius", "ids", "n", "vecs")
+    a = dealt.select("part", "i", "j", *(F.col(c).alias(f"a_{c}") for c in mine))
+    b = dealt.select("part", "i", "j", *(F.col(c).alias(f"b_{c}") for c in mine))
+    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    apart = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) - F.col("a_radius") - F.col("b_radius")
+    met = a.join(b, ["part", "i", "j"]).where("a_block <= b_block and (i = j or a_own <> b_own)").where(apart <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = []
+        for a_block, b_block, a_ids, b_ids, a_n, b_n, a_vecs, b_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            same = a_block == b_block
+            a_ids, b_ids, a_n, b_n = (np.frombuffer(c, np.int64) for c in (a_ids, b_ids, a_n, b_n))
+            x = unit(dims_of(a_vecs, len(a_ids)))
+            y = x if same else unit(dims_of(b_vecs, len(b_ids)))
+            near = x @ y.T >= threshold
+            if same:
+                np.fill_diagonal(near, False)
+            p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(p):
+                continue
+            near = near[np.ix_(p, q)]
+            u, v = np.nonzero(near)
+            weights = near.astype(np.float64)
+            if same:  # p and q are the same
+                ids, linked = a_ids[p], weights @ a_n[p]
+                labels = local_labels(len(ids), u, v)
+            else:
+                ids, linked = np.concatenate([a_ids[p], b_ids[q]]), np.concatenate([weights @ b_n[q], weights.T @ a_n[p]])
+                labels = local_labels(len(ids), u, v + len(p))
+            found.append((ids, np.rint(linked).astype(np.int64), ids[labels]))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "linked", "star"])
+
+    return cut(map_batches(met.select("a_block", "b_block", "a_ids", "b_ids", "a_n", "b_n", "a_vecs", "b_vecs"), run, "id long, linked long, star long", rows=4))
+
+
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED) -> tuple[int, int]:
     """Links found and links there are, of at most about `audited` vectors taken by hash, each compared with all vectors."""
     rows = vectors.count()
@@ -231,6 +314,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
         found, there = audit(vectors, counts, threshold)
         if found >= RECALL * there:
             break
+    if roots is not None:
+        placed = vectors.join(roots, vectors["id"] == roots["node"], "left").select("id", "part", "n", "vec", F.coalesce("root", "id").alias("root"))
+        linked = compare_all(placed, threshold)
+        roots = connected_components(linked.where("id <> star").select(F.col("id").alias("u"), F.col("star").alias("v")))
+        counts = linked.groupBy("id").agg(F.sum("linked").alias("linked"))
     own = F.col("vec_id")
     if roots is None:
         return frame.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
