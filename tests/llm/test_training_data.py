@@ -206,6 +206,22 @@ def test_embeddings_link_dense_groups(spark):
     assert embedding_rows(spark, x) == {k: (79, 0) for k in range(80)}
 
 
+def test_embeddings_find_all_single_pairs(spark):
+    # One group of 200 vectors has nearly all links; beside it are 2000 pairs just over the threshold.
+    rng = np.random.default_rng(11)
+    pairs = rng.standard_normal((2000, 64))
+    pairs /= np.linalg.norm(pairs, axis=1, keepdims=True)
+    aside = rng.standard_normal((2000, 64))
+    aside -= (aside * pairs).sum(axis=1, keepdims=True) * pairs
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    near = 0.9805 * pairs + np.sqrt(1 - 0.9805**2) * aside
+    x = np.concatenate([pairs, near, pairs[0] + 0.01 * rng.standard_normal((200, 64))])
+    degrees, truth = links_by_brute_force(x)
+    assert (degrees[1:2000] == 1).all()
+    got = embedding_rows(spark, x)
+    assert [k for k in range(len(x)) if got[k] != (degrees[k], truth[k])] == []
+
+
 def test_embeddings_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(10)
     x = np.repeat(rng.standard_normal((150, 8)), 4, axis=0) + 0.1 * rng.standard_normal((600, 8))

@@ -2,10 +2,9 @@
 
 Equal vectors of a label become one representative. A neighbour graph starts from the leaves of random-hyperplane trees and is
 refined in rounds: everything a vector lists, and what lists it, meets at that vector (the pivot), where all pairs are compared;
-better neighbours replace worse ones. Lists whose entries are all over the threshold are saturated and grow. An audit
-compares a bounded set of vectors with all others; while too few of their links are found, further trees and rounds follow.
-Lists are bounded, so the graph can miss links, also those between whole components. It therefore only says which vectors to
-put together: blocks of vectors in the order of the graph's components are all compared with each other, but for pairs of
+better neighbours replace worse ones. Lists whose entries are all over the threshold are saturated and grow.
+Lists, trees and rounds are bounded, so the graph can miss links, of single pairs as of whole components. It therefore only says which vectors to
+put together: blocks of vectors in the order of their smallest neighbour over the threshold are all compared with each other, but for pairs of
 blocks whose centres are too far apart for any link. Links and components come from this pass and equal those of all pairs;
 only counts and stars leave its tasks, never pairs.
 
@@ -24,10 +23,10 @@ from .components import connected_components, local_labels
 
 #: List length, entries of a saturated list, trees per start, vectors of a leaf, neighbours compared along a leaf.
 LIST, LONG_LIST, TREES, LEAF, ALONG = 8, 16, 6, 24, 12
-#: Rounds after a start, the share of changed entries at which rounds end, starts, audited vectors, and the recall they need.
-ROUNDS, SETTLED, STARTS, AUDITED, RECALL = 2, 0.001, 4, 256, 0.97
-#: Vectors of a block when components are compared, and when all blocks are.
-BLOCK, WIDE_BLOCK = 512, 1024
+#: Rounds, and the share of changed entries at which they end.
+ROUNDS, SETTLED = 2, 0.001
+#: Vectors of a block.
+BLOCK = 1024
 EDGES = "id long, nbr long, sim double, fresh boolean"
 
 
@@ -140,37 +139,6 @@ def refine(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     return cut(merged(graph.withColumn("fresh", F.lit(False)).union(better), threshold))
 
 
-def compare_components(members: DataFrame, threshold: float) -> DataFrame:
-    """id and linked (the sum of n over the other representatives linked) for members (id, n, vec, root), in blocks."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    blocked = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocked = blocked.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "vec").repartition("root", "i", "j")
-
-    def count(batches):
-        if (held := gather(batches)) is None:
-            return
-        root, i, j, own, ids, n = (held[k].to_numpy() for k in ("root", "i", "j", "own", "id", "n"))
-        x = unit(matrix(held["vec"]))
-        by = np.lexsort((own, j, i, root))
-        change = (np.diff(root[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)
-        edge = [0, *(np.flatnonzero(change) + 1).tolist(), len(by)]
-        linked = np.zeros(len(ids), np.int64)
-        for lo, hi in zip(edge, edge[1:], strict=False):
-            mine = by[lo:hi]
-            a, b = mine[own[mine] == i[mine]], mine[own[mine] == j[mine]]
-            near = x[a] @ x[b].T >= threshold
-            if i[mine[0]] == j[mine[0]]:
-                near &= ids[a][:, None] != ids[b][None, :]
-                linked[a] += near @ n[b]
-            else:
-                linked[a] += near @ n[b]
-                linked[b] += near.T @ n[a]
-        yield pa.RecordBatch.from_pydict({"id": ids, "linked": linked})
-
-    return map_stream(blocked, count, "id long, linked long", rows=4096).groupBy("id").agg(F.sum("linked").alias("linked"))
-
-
 def blocks_of(members: DataFrame, rows: int) -> DataFrame:
     """Blocks (part, block, centre, radius, ids, n, vecs) of at most `rows` members (id, part, n, vec, root), by root. The radius is an angle."""
 
@@ -200,7 +168,7 @@ def blob_type(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def compare_all(members: DataFrame, threshold: float, rows: int = WIDE_BLOCK) -> DataFrame:
+def compare_all(members: DataFrame, threshold: float, rows: int = BLOCK) -> DataFrame:
     """id, linked (the sum of n over those linked with it) and star (an id of the same component), for members (id, part, n, vec, root) with
     links; an id has one row for each pair of blocks in which it has links. All pairs of a part count.
 
@@ -252,33 +220,6 @@ def compare_all(members: DataFrame, threshold: float, rows: int = WIDE_BLOCK) ->
     return cut(map_batches(met.select("a_block", "b_block", "a_ids", "b_ids", "a_n", "b_n", "a_vecs", "b_vecs"), run, "id long, linked long, star long", rows=4))
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED) -> tuple[int, int]:
-    """Links found and links there are, of at most about `audited` vectors taken by hash, each compared with all vectors."""
-    rows = vectors.count()
-    asked = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * min(1.0, audited / max(rows, 1)))).orderBy(F.xxhash64("id", F.lit(11))).limit(2 * audited).collect()
-    if not asked:
-        return 0, 0
-    by_part: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for part in {r["part"] for r in asked}:
-        own = [r for r in asked if r["part"] == part]
-        by_part[part] = np.array([r["id"] for r in own]), unit(np.array([r["vec"] for r in own], np.float64))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, parts, n = np.asarray(batch.column(0)), np.array(batch.column(1).to_pylist()), np.asarray(batch.column(3))
-        x, out = unit(matrix(batch.column(2))), []
-        for part in np.unique(parts):
-            if part in by_part:
-                mine, (asked_ids, q) = np.flatnonzero(parts == part), by_part[part]
-                near = (q @ x[mine].T >= threshold) & (asked_ids[:, None] != ids[mine][None, :])
-                out.append((asked_ids, near @ n[mine]))
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_pydict({"id": a.astype(np.int64), "there": b.astype(np.int64)})
-
-    there = map_batches(vectors, count, "id long, there long", rows=4096).groupBy("id").agg(F.sum("there").alias("there"))
-    row = there.join(found, "id", "left").agg(F.sum(F.coalesce("linked", F.lit(0))), F.sum("there")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
     # Single-precision vectors stay so in shuffles, at half the size; every product is in double.
@@ -293,29 +234,21 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     vectors = cut(mapped.where("vec_id = rep").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("id"), "part", "vec", "n"))
     parts = {r["part"]: (r["size"], r["vectors"]) for r in vectors.groupBy("part").agg(F.first(F.size("vec")).alias("size"), F.count("*").alias("vectors")).collect()}
     roots = counts = None
-    graphs: dict[int, DataFrame] = {}
-    for attempt in range(STARTS if parts else 0):
-        over = None
-        for dims in sorted({size for size, _ in parts.values()}):
-            own = {k: n for k, (size, n) in parts.items() if size == dims}
-            mine = vectors.where(F.size("vec") == dims)
-            edges = start(mine, dims, own, attempt, threshold)
-            graph = cut(merged(edges.union(graphs[dims]) if dims in graphs else edges, threshold))
-            for _ in range(ROUNDS):
-                graph = refine(mine, graph, threshold)
-                row = graph.agg(F.count_if("fresh"), F.count("*")).first()
-                if row[0] <= SETTLED * row[1]:
-                    break
-            graphs[dims] = graph
-            links = graph.where(F.col("sim") >= threshold).select(F.col("id").alias("u"), F.col("nbr").alias("v"))
-            over = links if over is None else over.union(links)
-        roots = connected_components(over)
-        counts = cut(compare_components(vectors.join(roots, vectors["id"] == roots["node"]).select("id", "n", "vec", "root"), threshold))
-        found, there = audit(vectors, counts, threshold)
-        if found >= RECALL * there:
-            break
-    if roots is not None:
-        placed = vectors.join(roots, vectors["id"] == roots["node"], "left").select("id", "part", "n", "vec", F.coalesce("root", "id").alias("root"))
+    over = None
+    for dims in sorted({size for size, _ in parts.values()}):
+        own = {k: n for k, (size, n) in parts.items() if size == dims}
+        mine = vectors.where(F.size("vec") == dims)
+        graph = cut(merged(start(mine, dims, own, 0, threshold), threshold))
+        for _ in range(ROUNDS):
+            graph = refine(mine, graph, threshold)
+            row = graph.agg(F.count_if("fresh"), F.count("*")).first()
+            if row[0] <= SETTLED * row[1]:
+                break
+        links = graph.where(F.col("sim") >= threshold).select(F.col("id").alias("u"), F.col("nbr").alias("v"))
+        over = links if over is None else over.union(links)
+    if over is not None:
+        first = over.groupBy("u").agg(F.min("v").alias("v"))
+        placed = vectors.join(first, vectors["id"] == first["u"], "left").select("id", "part", "n", "vec", F.least("id", "v").alias("root"))
         linked = compare_all(placed, threshold)
         roots = connected_components(linked.where("id <> star").select(F.col("id").alias("u"), F.col("star").alias("v")))
         counts = linked.groupBy("id").agg(F.sum("linked").alias("linked"))
