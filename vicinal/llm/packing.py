@@ -87,22 +87,24 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     open_count = -(-sum(n for n, *_ in rest) // capacity)
     first = len(used)
     used += [0] * open_count
-    cheapest = [(0.0, first + k) for k in range(open_count)]  # by cost; one entry for each sequence with room
+    cheapest = [(0.0, first + k) for k in range(open_count)]  # by cost
+    parked: list[tuple[int, float, int]] = []  # by room, most first: sequences with too little room for a document so far
     left = []
     for n, doc, start in sorted(rest, key=lambda x: (-x[0], x[1])):
-        passed = []
-        while cheapest and used[cheapest[0][1]] + n > capacity and len(passed) < 64:
-            passed.append(heapq.heappop(cheapest))
-        if cheapest and used[cheapest[0][1]] + n <= capacity:
+        while parked and -parked[0][0] >= n:  # documents only get shorter
+            _, c, s = heapq.heappop(parked)
+            heapq.heappush(cheapest, (c, s))
+        while cheapest and used[cheapest[0][1]] + n > capacity:
             c, s = heapq.heappop(cheapest)
-            pieces.append((doc, start, n, s, used[s]))
-            used[s] += n
-            if used[s] < capacity:
-                passed.append((c + cost(n), s))
-        else:
+            heapq.heappush(parked, (used[s] - capacity, c, s))
+        if not cheapest:
             left.append((n, doc, start))
-        for entry in passed:
-            heapq.heappush(cheapest, entry)
+            continue
+        c, s = heapq.heappop(cheapest)
+        pieces.append((doc, start, n, s, used[s]))
+        used[s] += n
+        if used[s] < capacity:
+            heapq.heappush(cheapest, (c + cost(n), s))
     holes = sorted((s for s in range(first, len(used)) if used[s] < capacity), key=lambda s: (used[s], s))
     for n, doc, start in left:  # cut to fill the sequences that have room; in total there is room for all
         while n:
