@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Extra columns of docs stay until packing. Nulls are as in the
-operators: a null text is empty; a row with a null doc_id is kept by the stages that keep its text, but of near
-duplicates only rows with the component's id stay, so that rows with a null doc_id stay only where the whole component has none.
+operators: a null text is empty; a row with a null doc_id is kept by the stages that keep its text. Of near duplicates exactly
+one row stays, so that a row with a null doc_id stays only where the whole group has none, and rows whose texts differ stay even
+if they repeat a doc_id.
 """
 from __future__ import annotations
 
@@ -32,12 +33,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of rows that repeat a doc_id, one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first.where("doc_id is not null"), "doc_id", "left_semi")
-    unknown = docs.where("doc_id is null").join(F.broadcast(first.where("doc_id is null").limit(1).select(F.lit(1).alias("_some"))), F.lit(True), "left_semi")
-    return known.select(*docs.columns).union(unknown.select(*docs.columns))
+    """Of each group of near duplicates one row: that with the smallest doc_id, a null one last, and then by a hash of the row."""
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+    keyed = docs.withColumn("_row", row)
+    found = simhash.near_duplicates(keyed.select("doc_id", "text", "_row"), key="_row")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    # Rows that share the hash have the same id and text.
+    return keyed.join(first.select(F.col("least._row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,15 @@ def test_pipeline_drops_and_keeps(spark):
         before = now
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    def text(k):
+        return " ".join(f"w{k}x{j}" for j in range(60))
+
+    rows = [(1, text(1)), (5, text(1)), (5, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (6, text(4)), (6, text(4)), (None, text(5)), (7, text(6)), (7, text(7))]
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, text(1)), (5, text(2)), (None, text(3)), (6, text(4)), (None, text(5)), (7, text(6)), (7, text(7))], key=str)
+
+
 def test_counts_and_codes_equal_the_libraries(spark):
     rng = random.Random(1)
     parts = ["a", "the", " ", "  ", "\n", "'", "'re", "'s", "1", "é", "!", "日本", "<|endoftext|>", "x" * 30]

@@ -52,14 +52,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed 64-bit integer) of every row of docs (columns doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
+    """doc_id and fingerprint (as a signed 64-bit integer) of every row of docs (columns doc_id, text), and the string column `key`, if given."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(x, shingle) for x in texts_of(batch)], np.uint64)
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))})
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))} | ({key: batch.column(2)} if key else {}))
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *[key] * bool(key)), run, "doc_id long, fp long" + (f", {key} string" if key else ""))
 
 
 def layout(rows: int, budget: int = BUDGET) -> list[np.ndarray]:
@@ -209,13 +209,13 @@ def links(prints: DataFrame, rows: int, budget: int = BUDGET, hot_trie: int = HO
     return map_stream(spread, join, "u long, v long", rows=65_536)
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, hot_trie: int = HOT_TRIE) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) for every row of docs (columns doc_id, text)."""
-    prints = cut(fingerprints(docs, shingle))
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, hot_trie: int = HOT_TRIE, key: str | None = None) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component), root (a fingerprint of the component, never null), and `key`, if given, for every row of docs (columns doc_id, text, and key)."""
+    prints = cut(fingerprints(docs, shingle, key))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     components = connected_components(links(distinct, distinct.count(), budget, hot_trie))
     rooted = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "rep", "root")
     linked = rooted.where("root is not null")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    final = linked.join(least, "root").select("fp", F.col("least").alias("component_id")).union(rooted.where("root is null").select("fp", F.col("rep").alias("component_id")))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = linked.join(least, "root").select("fp", F.col("least").alias("component_id"), "root").union(rooted.where("root is null").select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("root")))
+    return prints.join(final, "fp").select("doc_id", "fp", "component_id", "root", *[key] * bool(key))
