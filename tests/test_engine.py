@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.operators import curvature, evaluate, graph, hashing, hnsw, knn, trees
+from vicinal.operators import curvature, evaluate, graph, hashing, hnsw, knn, paths, trees
 from vicinal.operators.transforms import KMeans
 from vicinal.sources import io
 
@@ -87,3 +87,9 @@ def test_pending_and_merge(spark):
     jobs = spark.range(5).withColumnRenamed("id", "run")
     assert io.pending(jobs, jobs.where("run < 3"), ["run"]).count() == 2
     assert io.merge_shards([jobs, jobs.withColumn("error", F.lit("x"))]).where("error is null").count() == 5
+
+
+def test_hops_have_no_limit(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(30)], "src long, dst long, dist double")
+    found = paths.hop_relax(edges, spark.createDataFrame([(0,), (25,)], "id long")).collect()
+    assert {(r["src"], r["dst"]): r["d"] for r in found} == {(s, t): float(t - s) for s in (0, 25) for t in range(s, 31)}

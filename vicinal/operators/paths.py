@@ -83,10 +83,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "dist") -
     return stream(sources.select("id").repartition(sources.sparkSession.sparkContext.defaultParallelism), run, "src long, dst long, d double", rows=64)
 
 
-def hop_relax(edges: DataFrame, sources: DataFrame, rounds: int, weight: str = "dist") -> DataFrame:
-    """Distances over at most `rounds` edges, by joins."""
+def hop_relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None, weight: str = "dist") -> DataFrame:
+    """Distances by joins: over at most `rounds` edges, or over any number, until a round changes nothing. Weights are not negative."""
     e = edges.groupBy(F.col("src").alias("m"), "dst").agg(F.min(weight).alias("w"))
-    reached = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d"))
+    reached = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d")).distinct()
+    if rounds is None:
+        e = cut(e)
+        reached = cut(reached.withColumn("fresh", F.lit(True)))
+        while True:
+            further = reached.where("fresh").select("src", F.col("dst").alias("m"), "d").join(e, "m").select("src", "dst", (F.col("d") + F.col("w")).alias("d"))
+            old = reached.select("src", "dst", "d", F.col("d").alias("had"))
+            best = old.union(further.withColumn("had", F.lit(None).cast("double"))).groupBy("src", "dst").agg(F.min("d").alias("d"), F.min("had").alias("had"))
+            reached = cut(best.select("src", "dst", "d", (F.col("had").isNull() | (F.col("d") < F.col("had"))).alias("fresh")))
+            if reached.where("fresh").isEmpty():
+                return reached.select("src", "dst", "d")
     for r in range(rounds):
         further = reached.withColumnRenamed("dst", "m").join(e, "m").select("src", "dst", (F.col("d") + F.col("w")).alias("d"))
         reached = reached.union(further).groupBy("src", "dst").agg(F.min("d").alias("d"))

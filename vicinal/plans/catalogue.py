@@ -563,7 +563,7 @@ def hnsw_edges(spark, sf_dir):
 select src, dst, cast(min(d) as double) as d from hops group by src, dst""")
 def hop_distances(spark, sf_dir):
     edges = edges_of(spark, sf_dir, "S").withColumn("one", F.lit(1.0))
-    return paths.hop_relax(edges, points(spark, sf_dir, "S"), 12, "one")
+    return paths.hop_relax(edges, points(spark, sf_dir, "S"), weight="one")
 
 
 def _bellman(rounds: int) -> str:
