@@ -8,7 +8,6 @@ if they repeat a doc_id.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm import packing, pii, quality_rules, simhash, toxicity
-from vicinal.llm.common import crc_mod, table
+from vicinal.llm.common import crc_mod, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,11 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What stages hand on lies in the shared checkpoint folder."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    """The last stage's rows. What stages hand on lies in the shared checkpoint folder; a stage's folder goes when the next one's is written."""
+    root, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = f"{root}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs

@@ -7,7 +7,9 @@ order, each to the sequence of lowest cost that has room. What finds no room is
 group's last sequences may be short, and these are cut to powers of two, which need no padding.
 
 Sequence ids are the task's number times 2**33 plus a counter: unique, and equal when a task is run again on the same split.
-Nulls: a null text is empty and has only the closing id; a null doc_id stays null. Repeated rows are packed each.
+Nulls: a null text is empty and has only the closing id; a null doc_id stays null. Repeated rows are packed each. An empty table has no
+pieces. Very long texts fill sequences of their own. Of documents of one length the first comes first, of sequences of one cost the one
+opened first. Only doc_id and text are read, so other columns cannot clash.
 """
 from __future__ import annotations
 
@@ -30,8 +32,8 @@ from .common import Remembering, map_stream, per_worker, texts_of
 CAPACITY, END_ID = 4096, 2
 #: Ids that a task packs together: 1024 sequences.
 GROUP_TOKENS = 1024 * CAPACITY
-#: Runs of text whose ids a worker remembers, about 200 bytes each.
-CACHED_RUNS = 1_000_000
+#: Bytes of the ids of runs of text that a worker remembers.
+RUN_CACHE = 64 << 20
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -43,7 +45,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs = Remembering(self.encode, limit=CACHED_RUNS)
+        self.runs = Remembering(self.encode, size=RUN_CACHE)
         #: White space to Python's split() that is none to the tokenizer.
         self.odd = regex.compile("[\x1c-\x1f]")
         #: The file's own split into pieces; its model's alphabet has a character for every byte.
@@ -51,16 +53,21 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.model = self.tokenizer.model
-        self.pieces = Remembering(self.piece, limit=CACHED_RUNS // 4)
 
     def piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(self.alphabet))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        """The ids of an unbroken run, or of any text. Runs of Latin letters, which normalising only puts in lower case, go to the model piece by piece."""
-        if max(text, default=" ") < "\u0250" and "\u0130" not in text and "<|" not in text and not text.isspace() and len(text.split()) == 1:
-            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        """The ids of an unbroken run, or of any text. Runs of Latin letters, which normalising only puts in lower case, go to the model piece by piece; a piece is a run itself."""
+        if (text.isascii() or max(text) < "\u0250" and "\u0130" not in text) and "<|" not in text and text and len(text.split()) == 1:
+            low = text.lower()
+            if low.isalpha():
+                return self.piece(low) if low == text else self.runs[low]
+            if low[:-1].isalpha():  # then the last character is a piece of its own
+                return self.runs[low[:-1]] + self.runs[low[-1]]
+            pieces = self.split(low)
+            return self.piece(text) if pieces == [text] else b"".join(map(self.runs.__getitem__, pieces))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -6,7 +6,10 @@ built lazily and remembered, so that a word that no term is near leaves it after
 words round it: quotation marks, words of reporting, the density of other hits. Sums of these go into a logistic model.
 
 Labels, lang, source and doc_id never enter a score. Nulls: a null text scores as an empty one; a null doc_id stays null.
-Labels with null or other values are left out. Without labelled rows of both kinds every score is 0.
+Labels with null or other values are left out. Without labelled rows of both kinds, as in empty tables, every score is a half and predicted 0.
+Texts are read whole, however long. Repeated rows are scored each; in the choice of terms a text with its label counts once. Of a
+doc_id with several labels 1 counts. Of terms equally near, the one with fewer edits and then the more frequent one is hit. A score at the
+threshold is predicted 1. Columns named score or predicted are replaced.
 """
 from __future__ import annotations
 
@@ -30,6 +33,8 @@ STEM_LENGTHS = range(3, 9)
 #: Words on either side of a hit that make its context.
 WINDOW = 4
 THRESHOLD = 0.7
+#: Steps of the product automaton that a worker remembers, some 400 bytes each.
+MOST_STATES = 60_000
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 QUOTES = "\"“”„«»‘`"
 #: Words that report someone's speech, or speak about a word.
@@ -80,7 +85,7 @@ class Lexicon:
     def step(self, state: tuple, c: str) -> tuple:
         key = (state, c)
         if key not in self.steps:
-            if len(self.steps) > 200_000:
+            if len(self.steps) > MOST_STATES:
                 self.steps.clear()
             after = set()
             for node, e in state:
@@ -113,7 +118,7 @@ class Scorer:
 
     def __init__(self, terms: list[tuple[str, bool]], weights: list[float] | None = None):
         self.lexicon = Lexicon(terms)
-        self.found = Remembering(self.lexicon.find, limit=400_000)
+        self.found = Remembering(self.lexicon.find)
         self.weights = np.array(weights or [0.0] * FEATURES)
 
     def features(self, text: str) -> np.ndarray:
