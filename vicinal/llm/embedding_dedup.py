@@ -1,33 +1,52 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors of a label become one representative. A neighbour graph starts from the leaves of random-hyperplane trees and is
-refined in rounds: everything a vector lists, and what lists it, meets at that vector (the pivot), where all pairs are compared;
-better neighbours replace worse ones. Lists whose entries are all over the threshold are saturated and grow.
-Lists, trees and rounds are bounded, so the graph can miss links, of single pairs as of whole components. It therefore only says which vectors to
-put together: blocks of vectors in the order of their smallest neighbour over the threshold are all compared with each other, but for pairs of
-blocks whose centres are too far apart for any link. Links and components come from this pass and equal those of all pairs;
-only counts and stars leave its tasks, never pairs.
-
-Vectors that are null, zero, of another size, or hold null or non-finite components, and rows with a null label or vec_id, link
-with nothing: n_links 0, their own component, kept (kept is null for a null vec_id). vec_id is taken as the vectors' key.
+Equal vectors of a label become one representative. Signs of projections make a signature of SIGNATURE bits; two vectors that can be
+linked differ in at most `reach` bits (seven deviations over the mean at the threshold). A neighbour graph of pairs within reach is
+started from the leaves of random-hyperplane trees and refined in rounds: what a vector lists, and what lists it, meets at that
+vector (the pivot), where all pairs are compared. In a round, the pivots are those that come first among their own neighbours by a
+seeded hash, so that a clique meets once. The number of trees grows with the logarithm of a label's size, so that a
+pair just at the threshold shares no leaf with a probability of at most MISS. Trees and rounds move ids and signatures, never vectors.
+
+Lists grow while they are saturated, that is hold only entries within reach, up to LONG_LIST entries. A vector whose list is full then,
+or that has so many within reach in one leaf, is dense. A pair with a vector that isn't dense stands in that vector's list and
+is compared exactly. Pairs of dense vectors are counted in blocks: blocks hold one group each, with a centre and a radius, so that
+blocks too far apart for any link fall out, blocks wholly within the threshold are counted without products, and only others are
+multiplied. So a dense group costs up to the square of its own size, not of its label's.
+
+Recall is audited: drawn vectors are compared with all others until AUDIT_LINKED of them have links or AUDIT_MOST are drawn. Under
+AUDIT_RECALL, further trees are drawn from another seed; after STARTS starts the job fails rather than returning less.
+
+Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or vec_id, link
+with nothing: n_links 0, their own component, kept (kept is null for a null vec_id). Vectors of different sizes are never linked. A
+row repeated counts once as a link; rows that repeat a vec_id with other vectors each have the links of their own vector. Ties need no
+rule: all that is at the threshold is linked. An empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, map_stream
+from .common import cut, groups_of, map_batches, map_stream
 from .components import connected_components, local_labels
 
-#: List length, entries of a saturated list, trees per start, vectors of a leaf, neighbours compared along a leaf.
-LIST, LONG_LIST, TREES, LEAF, ALONG = 8, 16, 6, 24, 12
-#: Rounds, and the share of changed entries at which they end.
-ROUNDS, SETTLED = 2, 0.001
-#: Vectors of a block.
-BLOCK = 1024
-EDGES = "id long, nbr long, sim double, fresh boolean"
+#: Bits of a signature; the chance that a pair at the threshold shares no leaf; expected vectors of a leaf.
+SIGNATURE, MISS, LEAF = 256, 1e-4, 1024
+#: Entries of a list at most; a saturated list grows up to it.
+LONG_LIST = 64
+#: Leaves with more vectors are salted into parts of half as many.
+HOT_LEAF = 8192
+#: Levels of a tree at most.
+DEEPEST = 40
+#: Rounds, drawn starts, and what the audit asks for.
+ROUNDS, STARTS, AUDIT_FIRST, AUDIT_MOST, AUDIT_LINKED, AUDIT_RECALL = 4, 4, 1024, 8192, 400, 0.97
+#: Vectors of a block of dense vectors, blocks of a chunk, and centres compared at once.
+BLOCK, CHUNK, CENTRES = 1024, 64, 2048
+EDGES = "id long, nbr long, differ int, fresh boolean, dense boolean"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,188 +55,403 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def gather(batches) -> dict[str, pa.Array] | None:
-    held = list(batches)
-    return dict(zip(held[0].schema.names, (c.combine_chunks() for c in pa.Table.from_batches(held).columns), strict=True)) if held else None
-
-
-def best(ids: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray, threshold: float, size: int, long: int) -> pa.RecordBatch:
-    """The best distinct neighbours of each id; more where all are over the threshold."""
-    by = np.lexsort((fresh, nbrs, -sims, ids))
-    ids, nbrs, sims, fresh = ids[by], nbrs[by], sims[by], fresh[by]
-    twice = np.concatenate([[False], (ids[1:] == ids[:-1]) & (nbrs[1:] == nbrs[:-1])]) if len(ids) else np.zeros(0, bool)
-    ids, nbrs, sims, fresh = (x[~twice] for x in (ids, nbrs, sims, fresh))
-    first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1]) if len(ids) else np.zeros(0, int)
-    rank = np.arange(len(ids)) - np.repeat(first, np.diff([*first, len(ids)]))
-    keep = (rank < size) | ((rank < long) & (sims >= threshold))
-    return pa.RecordBatch.from_pydict({"id": ids[keep], "nbr": nbrs[keep], "sim": sims[keep], "fresh": fresh[keep]})
+def by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one vector size at a time, with their unit vectors."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dims in np.unique(sizes):
+        own = np.flatnonzero(sizes == dims)
+        yield own, unit(matrix(column.take(pa.array(own)) if len(own) < len(column) else column))
 
 
-def start(vectors: DataFrame, dims: int, groups: dict[str, int], seed: int, threshold: float) -> DataFrame:
-    """Edges along the leaves of TREES trees of random hyperplanes. groups: vectors by part."""
-    draws = np.random.default_rng([seed, dims])
-    planes = draws.standard_normal((TREES, 32, dims))
-    levels = {k: max(0, int(np.ceil(np.log2(max(1, n) / LEAF)))) for k, n in groups.items()}
+def agreement(threshold: float) -> float:
+    """The chance that a random hyperplane has two vectors at the threshold on one side."""
+    return 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+
+
+def reach_of(threshold: float) -> int:
+    p = 1 - agreement(threshold)
+    return int(np.ceil(SIGNATURE * p + 7 * np.sqrt(SIGNATURE * p * (1 - p))))
+
+
+def trees_of(levels: np.ndarray, threshold: float) -> np.ndarray:
+    """Trees for leaves `levels` deep, so that a pair at the threshold misses all of them with a probability of at most MISS."""
+    shared = agreement(threshold) ** np.maximum(levels, 1)
+    return np.where(levels == 0, 1, np.ceil(np.log(MISS) / np.log1p(-np.minimum(shared, 1 - 1e-9)))).astype(np.int64)
+
+
+@functools.lru_cache(128)
+def planes(dims: int, rows: int, *seed: int) -> np.ndarray:
+    """Random directions, at right angles to each other as far as `dims` allows."""
+    draws, out = np.random.default_rng([dims, *seed]), []
+    while (left := rows - sum(map(len, out))) > 0:
+        out.append(np.linalg.qr(draws.standard_normal((dims, min(dims, left))))[0].T)
+    return np.concatenate(out)
+
+
+def sign_bits(x: np.ndarray) -> np.ndarray:
+    """Rows of SIGNATURE bits as unsigned 64-bit integers."""
+    return np.packbits(x @ planes(x.shape[1], SIGNATURE, 1).T >= 0, axis=1).view(np.uint64)
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), np.int16)
+    for k in range(SIGNATURE // 64):
+        out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return out
+
+
+def edges_between(*keys: np.ndarray) -> list[int]:
+    """Bounds of runs in which no key changes."""
+    change = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return [0, *(np.flatnonzero(change) + 1).tolist(), len(keys[0])]
+
+
+def in_leaf(ids: np.ndarray, bits: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Edges (id, nbr, differ, dense) of a leaf: all within reach; of vectors with LONG_LIST or more within reach only the nearest two, as dense."""
+    for a in range(0, len(ids), 256):
+        own = slice(a, a + 256)
+        apart = differing(bits[own], bits)
+        apart[ids[own][:, None] == ids[None, :]] = SIGNATURE + 1
+        near = apart <= reach
+        dense = near.sum(axis=1) >= LONG_LIST
+        if dense.any():
+            i = np.flatnonzero(dense)
+            for _ in range(2):
+                j = apart[i].argmin(axis=1)
+                yield ids[own][i], ids[j], apart[i, j], np.ones(len(i), bool)
+                apart[i, j] = SIGNATURE + 1
+            near[dense] = False
+        i, j = np.nonzero(near)
+        yield ids[own][i], ids[j], apart[i, j], np.zeros(len(i), bool)
+
+
+def best(ids: np.ndarray, nbrs: np.ndarray, differ: np.ndarray, fresh: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
+    """The distinct neighbours of each id, nearest first. All are within reach, so lists are saturated and grow until they have LONG_LIST entries. An id with so
+    many, or that is dense by any of its edges, is dense in all, and keeps the nearest two. An edge that was there before isn't fresh."""
+    by = np.lexsort((nbrs, ids))
+    ids, nbrs, differ, fresh, dense = (x[by] for x in (ids, nbrs, differ, fresh, dense))
+    marked = np.unique(ids[dense])
+    once = np.ones(len(ids), bool)
+    once[1:] = (ids[1:] != ids[:-1]) | (nbrs[1:] != nbrs[:-1])
+    old = np.minimum.reduceat(fresh, np.flatnonzero(once)) if len(ids) else fresh
+    ids, nbrs, differ = ids[once], nbrs[once], differ[once]
+    by = np.lexsort((nbrs, differ, ids))
+    ids, nbrs, differ, fresh = ids[by], nbrs[by], differ[by], old[by]
+    first = np.array(edges_between(ids))
+    rank = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    listed = np.repeat(np.diff(first), np.diff(first))
+    dense = np.isin(ids, marked) | (listed >= LONG_LIST)
+    keep = ~dense | (rank < 2)
+    return pa.RecordBatch.from_pydict({"id": ids[keep], "nbr": nbrs[keep], "differ": differ[keep].astype(np.int32), "fresh": fresh[keep], "dense": dense[keep]})
+
+
+def edge_arrays(held: pa.Table) -> list[np.ndarray]:
+    return [held.column(k).to_numpy() for k in ("id", "nbr", "differ", "fresh", "dense")]
+
+
+def start(vectors: DataFrame, threshold: float, seed: int, rows: int) -> DataFrame:
+    """Edges within reach in the leaves of random-hyperplane trees over vectors (id, p, levels, vec)."""
+    reach = reach_of(threshold)
+
+    def leaves(with_bits: bool):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, p, levels = (batch.column(k).to_numpy() for k in range(3))
+            trees = trees_of(levels, threshold)
+            out: list[tuple] = []
+            for own, x in by_size(batch.column(3)):
+                bits = sign_bits(x).tobytes() if with_bits else b""
+                width = SIGNATURE // 8
+                for t in range(int(trees[own].max(initial=0))):
+                    some = np.flatnonzero(trees[own] > t)
+                    deep = levels[own][some]
+                    sides = x[some] @ planes(x.shape[1], DEEPEST, 2, seed, t).T >= 0
+                    code = (sides.astype(np.int64) * (np.arange(sides.shape[1])[None] < deep[:, None]) << np.arange(sides.shape[1])[None]).sum(axis=1)
+                    out.append((p[own][some], (np.int64(t) << 40) | code, ids[own][some], [bits[width * k : width * (k + 1)] for k in some.tolist()] if with_bits else []))
+            columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+            names = ["p", "leaf", "id"]
+            if with_bits:
+                return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([b for o in out for b in o[3]], pa.binary())], [*names, "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        return run
 
-    def codes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, parts = matrix(batch.column(2)), batch.column(1).to_pylist()
-        shift = np.array([32 - min(32, levels[p]) for p in parts], np.int64)
-        out = []
-        for t in range(TREES):
-            side = x @ planes[t].T
-            code = ((side >= 0).astype(np.int64) << np.arange(31, -1, -1)).sum(axis=1)
-            out.append((np.full(len(x), t, np.int32), code >> shift, code, side[:, 31]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        again = pa.Table.from_batches([batch] * TREES).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_arrays([*again.columns, *map(pa.array, columns)], [*batch.schema.names, "tree", "leaf", "code", "side"])
-
-    def along(batches):
-        if (held := gather(batches)) is None:
-            return
-        ids, parts = held["id"].to_numpy(), np.unique(held["part"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
-        by = np.lexsort((held["side"].to_numpy(), held["code"].to_numpy(), parts, held["tree"].to_numpy()))
-        x, ids, parts, trees, leaf = unit(matrix(held["vec"]))[by], ids[by], parts[by], held["tree"].to_numpy()[by], held["leaf"].to_numpy()[by]
-        found = []
-        for k in range(1, min(ALONG, len(ids) - 1) + 1):
-            same = np.flatnonzero((parts[k:] == parts[:-k]) & (trees[k:] == trees[:-k]) & (leaf[k:] == leaf[:-k]) & (ids[k:] != ids[:-k]))
-            sims = np.einsum("ij,ij->i", x[same], x[same + k])
-            found += [(ids[same], ids[same + k], sims), (ids[same + k], ids[same], sims)]
-        if found:
-            a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield best(a, b, s, np.ones(len(a), bool), threshold, LIST, LONG_LIST)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-    dealt = map_batches(vectors, codes, schema + ", tree int, leaf long, code long, side double", rows=2048).repartition("part", "tree", "leaf")
-    return map_stream(dealt, along, EDGES, rows=2048)
-
-
-def merged(edges: DataFrame, threshold: float) -> DataFrame:
-    """Lists of at most LIST or LONG_LIST entries from any edges. Entries that the list already had are not fresh."""
+    def compare(batches):
+        for held in groups_of(batches, 3):
+            p, leaf, salt, ids = (held.column(k).to_numpy() for k in range(4))
+            bits, found = signatures(held.column(4).combine_chunks()), []
+            bounds = edges_between(p, leaf, salt)
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo > 1:
+                    found += in_leaf(ids[lo:hi], bits[lo:hi], reach)
+            if found:
+                a, b, d, dense = (np.concatenate(c) for c in zip(*found, strict=True))
+                if len(a):
+                    yield best(a, b, d, np.ones(len(a), bool), dense)
+
+    plain = vectors.select("id", "p", "levels", "vec")
+    counts = map_batches(plain, leaves(False), "p long, leaf long, id long", rows=4096).groupBy("p", "leaf").count()
+    hot = cut(counts.where(F.col("count") > HOT_LEAF).select("p", "leaf", F.ceil(F.col("count") * 2 / HOT_LEAF).alias("salts")))
+    dealt = map_batches(plain, leaves(True), "p long, leaf long, id long, bits binary", rows=4096)
+    if (n := hot.count()) == 0:
+        dealt = dealt.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        # 24 bytes a hot leaf: broadcast up to 5 MB of them, else joined.
+        dealt = dealt.join(F.broadcast(hot) if n <= 200_000 else hot, ["p", "leaf"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "leaf"), F.col("salts")), F.lit(0).cast("long")))
+    tasks = tasks_for(vectors, rows * 8)
+    laid = dealt.select("p", "leaf", "salt", "id", "bits").repartition(tasks, "p", "leaf", "salt").sortWithinPartitions("p", "leaf", "salt")
+    return merged(map_stream(laid, compare, EDGES, rows=65_536), tasks_for(vectors, rows))
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Shuffle partitions for about a million small rows each, but no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
+
+
+def merged(edges: DataFrame, tasks: int) -> DataFrame:
+    """Lists from any edges."""
 
     def run(batches):
-        if (held := gather(batches)) is not None:
-            yield best(*(held[k].to_numpy(zero_copy_only=False) for k in ("id", "nbr", "sim", "fresh")), threshold, LIST, LONG_LIST)
+        for held in groups_of(batches, 1):
+            yield best(*edge_arrays(held))
 
-    return map_stream(edges.repartition("id"), run, EDGES, rows=65_536)
+    return cut(map_stream(edges.repartition(tasks, "id").sortWithinPartitions("id"), run, EDGES, rows=65_536))
 
 
-def refine(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """One round: all pairs that meet at a pivot, of which one entry is fresh; those better than a list's last entry."""
-    last = graph.groupBy("id").agg(F.min("sim").alias("last"), F.count("*").alias("listed"))
-    last = last.select("id", F.when(F.col("listed") < LIST, F.lit(-2.0)).otherwise(F.least("last", F.lit(threshold))).alias("last"))
-    ranked = graph.select(F.col("nbr").alias("pivot"), F.col("id").alias("member"), "sim", "fresh")
-    from pyspark.sql import Window
+def signed(vectors: DataFrame) -> DataFrame:
+    """id and signature (bits) of every vector."""
 
-    back = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("pivot").orderBy(F.desc("sim"), "member"))).where(F.col("rank") <= LONG_LIST)
-    meets = graph.select(F.col("id").alias("pivot"), F.col("nbr").alias("member"), "fresh").union(back.select("pivot", "member", "fresh"))
-    meets = meets.groupBy("pivot", "member").agg(F.max("fresh").alias("fresh"))
-    meets = meets.join(vectors.select(F.col("id").alias("member"), "vec"), "member").join(last.withColumnRenamed("id", "member"), "member", "left").repartition("pivot")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[bytes] = [b""] * batch.num_rows
+        for own, x in by_size(batch.column(1)):
+            for k, row in zip(own.tolist(), sign_bits(x), strict=True):
+                out[k] = row.tobytes()
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "bits"])
+
+    return map_batches(vectors.select("id", "vec"), run, "id long, bits binary", rows=4096)
+
+
+def refine(signs: DataFrame, graph: DataFrame, threshold: float, seed: int, tasks: int) -> DataFrame:
+    """One round: all pairs that meet at a pivot and are within reach join the lists."""
+    reach = reach_of(threshold)
+    listed = graph.where("not dense")
+    meets = listed.select(F.col("id").alias("pivot"), F.col("nbr").alias("member"), "differ", "fresh").union(listed.select(F.col("nbr").alias("pivot"), F.col("id").alias("member"), "differ", "fresh"))
+    meets = meets.groupBy("pivot", "member").agg(F.min("differ").alias("differ"), F.max("fresh").alias("fresh"))
+    # The nearest 2 * LONG_LIST of a pivot; pivots that come first among all that they meet.
+    order = Window.partitionBy("pivot").orderBy("differ", "member")
+    near = meets.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * LONG_LIST)
+    turn = lambda c: F.xxhash64(c, F.lit(seed))
+    near = near.withColumn("first", F.min(turn("member")).over(Window.partitionBy("pivot"))).where(turn("pivot") < F.col("first"))
+    met = near.select("pivot", "member", "fresh").join(signs.withColumnRenamed("id", "member"), "member").select("pivot", "member", "fresh", "bits").repartition(tasks, "pivot").sortWithinPartitions("pivot")
 
     def compare(batches):
-        if (held := gather(batches)) is None:
-            return
-        pivot, member, fresh = (held[k].to_numpy(zero_copy_only=False) for k in ("pivot", "member", "fresh"))
-        limit = np.nan_to_num(held["last"].to_numpy(zero_copy_only=False).astype(np.float64), nan=-2.0)
-        by = np.argsort(pivot, kind="stable")
-        x = unit(matrix(held["vec"]))
-        edge = [0, *(np.flatnonzero(np.diff(pivot[by])) + 1).tolist(), len(by)]
-        found = []
-        for lo, hi in zip(edge, edge[1:], strict=False):
-            own = by[lo:hi]
-            sims = x[own] @ x[own].T
-            i, j = np.nonzero((sims > limit[own][:, None]) & (fresh[own][:, None] | fresh[own][None, :]) & (member[own][:, None] != member[own][None, :]))
-            if len(i):
-                found.append((member[own[i]], member[own[j]], sims[i, j]))
-        if found:
-            a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield best(a, b, s, np.ones(len(a), bool), threshold, LIST, LONG_LIST)
-
-    better = map_stream(meets, compare, EDGES, rows=4096)
-    return cut(merged(graph.withColumn("fresh", F.lit(False)).union(better), threshold))
+        for held in groups_of(batches, 1):
+            pivot, member, fresh = (held.column(k).to_numpy() for k in range(3))
+            sign, found = signatures(held.column(3).combine_chunks()), []
+            bounds = edges_between(pivot)
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                apart = differing(sign[lo:hi], sign[lo:hi])
+                i, j = np.nonzero((apart <= reach) & (fresh[lo:hi][:, None] | fresh[lo:hi][None, :]) & (member[lo:hi][:, None] != member[lo:hi][None, :]))
+                found.append((member[lo:hi][i], member[lo:hi][j], apart[i, j]))
+            a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(a):
+                yield best(a, b, d, np.ones(len(a), bool), np.zeros(len(a), bool))
+
+    better = map_stream(met, compare, EDGES, rows=65_536)
+    return merged(graph.withColumn("fresh", F.lit(False)).union(better), tasks)
+
+
+def verified(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v, n_u, n_v), u < v, among the listed pairs of vectors that aren't both dense, by exact cosine."""
+    pairs = graph.where("not dense").select(F.least("id", "nbr").alias("u"), F.greatest("id", "nbr").alias("v")).distinct()
+    ends = [vectors.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("vec").alias(f"vec_{k}")) for k in "uv"]
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(batch.num_rows, bool)
+        sizes = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+        for dims in np.unique(sizes):
+            own = np.flatnonzero(sizes == dims)
+            x, y = (unit(matrix(batch.column(k).take(pa.array(own)))) for k in (4, 5))
+            keep[own] = np.einsum("ij,ij->i", x, y) >= threshold
+        at = pa.array(np.flatnonzero(keep))
+        return pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(4)], ["u", "v", "n_u", "n_v"])
 
-def blocks_of(members: DataFrame, rows: int) -> DataFrame:
-    """Blocks (part, block, centre, radius, ids, n, vecs) of at most `rows` members (id, part, n, vec, root), by root. The radius is an angle."""
+    both = pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "n_u", "n_v", "vec_u", "vec_v")
+    return cut(map_batches(both, run, "u long, v long, n_u long, n_v long", rows=4096))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = dict(zip(batch.schema.names, batch.columns, strict=True))
-        parts, ids, n = np.array(held["part"].to_pylist()), np.asarray(held["id"]), np.asarray(held["n"])
-        out = []
-        for part in np.unique(parts):
-            own = np.flatnonzero(parts == part)
-            raw = matrix(held["vec"].take(pa.array(own)))
-            x = unit(raw)
-            centre = x.mean(axis=0)
-            centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
-            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
-            out.append((str(part), centre.tolist(), radius, ids[own].tobytes(), n[own].tobytes(), raw.astype(kind).tobytes()))
-        part, centre, radius, *blobs = zip(*out, strict=True) if out else ((),) * 6
-        columns = [pa.array(part, pa.string()), pa.array(centre, pa.list_(pa.float64())), pa.array(radius, pa.float64()), *(pa.array(b, pa.binary()) for b in blobs)]
-        return pa.RecordBatch.from_arrays(columns, ["part", "centre", "radius", "ids", "n", "vecs"])
 
+def dense_groups(graph: DataFrame) -> DataFrame:
+    """id and root of dense vectors: what their nearest two join. It only says which go into one block."""
+    own = graph.where("dense").select(F.col("id").alias("u"), F.col("nbr").alias("v"))
+    return own.select(F.col("u").alias("id")).distinct().join(connected_components(own).select(F.col("node").alias("id"), "root"), "id")
+
+
+def blocks_of(members: DataFrame, rows: int) -> DataFrame:
+    """Blocks (p, block, chunk, centre, radius, ids, n, vecs) of at most `rows` members (id, p, n, vec, root) of one root. The radius is an angle."""
     kind = blob_type(members)
-    laid = members.select("part", "root", "id", "n", "vec").repartitionByRange("part", "root", "id").sortWithinPartitions("part", "root", "id")
-    made = map_batches(laid, run, "part string, centre array<double>, radius double, ids binary, n binary, vecs binary", rows=rows)
-    return cut(made.withColumn("block", F.monotonically_increasing_id()))
+
+    def run(batches):
+        for held in batches:
+            p, root, ids, n = (held.column(k).to_numpy() for k in range(4))
+            vecs = held.column(4)
+            bounds, out = edges_between(p, root), []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                for a in range(lo, hi, rows):
+                    b = min(hi, a + rows)
+                    raw = matrix(vecs.slice(a, b - a))
+                    x = unit(raw)
+                    centre = x.mean(axis=0)
+                    centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+                    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+                    out.append((int(p[a]), centre.tolist(), radius, ids[a:b].tobytes(), n[a:b].tobytes(), raw.astype(kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 3), strict=True)], ["p", "centre", "radius", "ids", "n", "vecs"])
+
+    laid = members.select("p", "root", "id", "n", "vec").repartitionByRange("p", "root", "id").sortWithinPartitions("p", "root", "id")
+    made = map_stream(laid, run, "p long, centre array<double>, radius double, ids binary, n binary, vecs binary", rows=4 * rows)
+    # The counter of a partition is in the low bits, so neighbouring blocks share a chunk.
+    return cut(made.withColumn("block", F.monotonically_increasing_id()).withColumn("chunk", F.floor(F.col("block") / CHUNK)))
 
 
 def blob_type(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def compare_all(members: DataFrame, threshold: float, rows: int = BLOCK) -> DataFrame:
-    """id, linked (the sum of n over those linked with it) and star (an id of the same component), for members (id, part, n, vec, root) with
-    links; an id has one row for each pair of blocks in which it has links. All pairs of a part count.
-
-    Blocks of a part are dealt into `groups` groups, so that pairs of groups are about as many as there are cores; each block is
-    sent once to each pair of groups that has its own. A pair of blocks is left out if no two vectors so far from its
-    centres can be linked."""
-    kind, dims_of = blob_type(members), lambda blob, n: np.frombuffer(blob, kind).astype(np.float64).reshape(n, -1)
-    blocks = blocks_of(members, rows)
-    sizes = blocks.groupBy("part").agg(F.count("*").alias("blocks"))
-    squares = sizes.agg(F.sum(F.col("blocks").cast("double") * F.col("blocks"))).first()[0] or 1.0
-    share = float(np.sqrt(2 * members.sparkSession.sparkContext.defaultParallelism / squares))
-    dealt = blocks.join(F.broadcast(sizes.select("part", F.ceil(F.col("blocks") * share).alias("groups"))), "part").withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    dealt = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "block", "centre", "radius", "ids", "n", "vecs")
-    mine = ("own", "block", "centre", "radius", "ids", "n", "vecs")
-    a = dealt.select("part", "i", "j", *(F.col(c).alias(f"a_{c}") for c in mine))
-    b = dealt.select("part", "i", "j", *(F.col(c).alias(f"b_{c}") for c in mine))
-    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    apart = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) - F.col("a_radius") - F.col("b_radius")
-    met = a.join(b, ["part", "i", "j"]).where("a_block <= b_block and (i = j or a_own <> b_own)").where(apart <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = []
-        for a_block, b_block, a_ids, b_ids, a_n, b_n, a_vecs, b_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            same = a_block == b_block
-            a_ids, b_ids, a_n, b_n = (np.frombuffer(c, np.int64) for c in (a_ids, b_ids, a_n, b_n))
-            x = unit(dims_of(a_vecs, len(a_ids)))
-            y = x if same else unit(dims_of(b_vecs, len(b_ids)))
+def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, a_chunk, b_chunk, whole) of pairs of blocks of one label, a <= b, that can have links; whole: all their pairs are links. Only centres move."""
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    sizes = blocks.groupBy("p").agg(F.ceil(F.count("*") / CENTRES).alias("decks"))
+    centres = blocks.select("p", "block", "chunk", "centre", "radius").join(cut(sizes), "p").withColumn("deck", F.pmod(F.xxhash64("block"), F.col("decks")))
+    dealt = centres.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("decks") - 1))).select("p", F.least("deck", "other").alias("i"), F.greatest("deck", "other").alias("j"), "deck", "block", "chunk", "radius", "centre")
+
+    def run(key, held):
+        i, j = key[1].as_py(), key[2].as_py()
+        deck, block, chunk, radius = (held.column(k).to_numpy() for k in ("deck", "block", "chunk", "radius"))
+        x = matrix(held.column("centre").combine_chunks())
+        out = []
+        left, right = np.flatnonzero(deck == i), np.flatnonzero(deck == j)
+        for k in range(0, len(left), 512):
+            own = left[k : k + 512]
+            apart = np.arccos(np.clip(x[own] @ x[right].T, -1, 1))
+            both = radius[own][:, None] + radius[right][None, :]
+            u, v = np.nonzero((apart - both <= angle + 1e-6) & ((block[own][:, None] <= block[right][None, :]) if i == j else True))
+            whole = apart[u, v] + both[u, v] <= angle - 1e-6
+            a, b = own[u], right[v]
+            turned = block[a] > block[b]
+            a, b = np.where(turned, b, a), np.where(turned, a, b)
+            out.append((block[a], block[b], chunk[a], chunk[b], whole))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+        return pa.table(dict(zip(("a", "b", "a_chunk", "b_chunk", "whole"), columns, strict=True)))
+
+    return cut(dealt.groupBy("p", "i", "j").applyInArrow(run, "a long, b long, a_chunk long, b_chunk long, whole boolean"))
+
+
+def compare_dense(members: DataFrame, threshold: float, rows: int = BLOCK) -> DataFrame:
+    """id, linked (the sum of n over those linked with it) and star (an id of the same component), for members (id, p, n, vec, root); an id
+    may have several rows. All pairs of a label count."""
+    kind, blocks = blob_type(members), blocks_of(members, rows)
+    pairs = block_pairs(blocks, threshold)
+
+    # Pairs of blocks in which all are linked: counts and stars without products.
+    whole = pairs.where("whole")
+    facts = map_batches(blocks.select("block", "ids", "n"), lambda b: pa.RecordBatch.from_pydict({"block": b.column(0), "total": pa.array([int(np.frombuffer(x, np.int64).sum()) for x in b.column(2).to_pylist()], pa.int64()), "least": pa.array([int(np.frombuffer(x, np.int64).min()) for x in b.column(1).to_pylist()], pa.int64())}), "block long, total long, least long", rows=64)
+    facts = cut(facts)
+    sides = whole.select(F.col("a").alias("block"), F.col("b").alias("with")).union(whole.where("a <> b").select(F.col("b").alias("block"), F.col("a").alias("with")))
+    added = sides.join(facts.withColumnRenamed("block", "with"), "with").groupBy("block").agg(F.sum("total").alias("total"), F.min("least").alias("star"), F.max(F.col("block") == F.col("with")).alias("itself"))
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for ids, n, total, star, itself in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, n = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
+            out.append((ids, total - n * itself, np.full(len(ids), star)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "linked", "star"])
+
+    ends = [facts.select(F.col("block").alias(k), F.col("least").alias(f"least_{k}")) for k in "ab"]
+    joined = whole.where("a <> b").join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("id"), F.lit(0).cast("long").alias("linked"), F.col("least_b").alias("star"))
+    given = map_batches(blocks.join(added, "block").select("ids", "n", "total", "star", "itself"), spread, "id long, linked long, star long", rows=64)
+
+    # The others are multiplied, a pair of chunks in a task.
+    part = pairs.where("not whole")
+    chunks = part.select("a_chunk", "b_chunk").distinct()
+    sent = chunks.select("a_chunk", "b_chunk", F.explode(F.array_distinct(F.array("a_chunk", "b_chunk"))).alias("chunk")).join(blocks.select("chunk", "block", "ids", "n", "vecs"), "chunk")
+
+    def multiply(key, wanted, held):
+        at = {b: k for k, b in enumerate(held.column("block").to_pylist())}
+        raw = [(np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64), v) for i, n, v in zip(held.column("ids"), held.column("n"), held.column("vecs"), strict=True)]
+
+        def vectors_of(k: int) -> np.ndarray:
+            return unit(np.frombuffer(raw[k][2].as_py(), kind).astype(np.float64).reshape(len(raw[k][0]), -1))
+
+        linked = {k: np.zeros(len(r[0]), np.int64) for k, r in enumerate(raw)}
+        stars: list[tuple[np.ndarray, np.ndarray]] = []
+        last, x = -1, None
+        for a, b in sorted(zip(wanted.column("a").to_pylist(), wanted.column("b").to_pylist(), strict=True)):
+            i, j = at[a], at[b]
+            if last != i:
+                last, x = i, vectors_of(i)
+            y = x if i == j else vectors_of(j)
             near = x @ y.T >= threshold
-            if same:
+            if i == j:
                 np.fill_diagonal(near, False)
             p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if not len(p):
                 continue
             near = near[np.ix_(p, q)]
-            u, v = np.nonzero(near)
+            (a_ids, a_n, _), (b_ids, b_n, _) = raw[i], raw[j]
             weights = near.astype(np.float64)
-            if same:  # p and q are the same
-                ids, linked = a_ids[p], weights @ a_n[p]
-                labels = local_labels(len(ids), u, v)
-            else:
-                ids, linked = np.concatenate([a_ids[p], b_ids[q]]), np.concatenate([weights @ b_n[q], weights.T @ a_n[p]])
-                labels = local_labels(len(ids), u, v + len(p))
-            found.append((ids, np.rint(linked).astype(np.int64), ids[labels]))
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "linked", "star"])
-
-    return cut(map_batches(met.select("a_block", "b_block", "a_ids", "b_ids", "a_n", "b_n", "a_vecs", "b_vecs"), run, "id long, linked long, star long", rows=4))
+            linked[i][p] += np.rint(weights @ b_n[q]).astype(np.int64)
+            if i != j:
+                linked[j][q] += np.rint(weights.T @ a_n[p]).astype(np.int64)
+            u, v = np.nonzero(near)
+            ids = a_ids[p] if i == j else np.concatenate([a_ids[p], b_ids[q]])
+            stars.append((ids, ids[local_labels(len(ids), u, v if i == j else v + len(p))]))
+        ids = np.concatenate([np.zeros(0, np.int64), *(raw[k][0] for k in linked), *(s[0] for s in stars)])
+        sums = np.concatenate([np.zeros(0, np.int64), *linked.values(), *(np.zeros(len(s[0]), np.int64) for s in stars)])
+        star = np.concatenate([np.zeros(0, np.int64), *(raw[k][0] for k in linked), *(s[1] for s in stars)])
+        some = (sums > 0) | (star != ids)
+        return pa.table({"id": ids[some], "linked": sums[some], "star": star[some]})
+
+    asked = part.select("a_chunk", "b_chunk", "a", "b")
+    counted = asked.groupBy("a_chunk", "b_chunk").cogroup(sent.select(F.col("a_chunk").alias("i"), F.col("b_chunk").alias("j"), "block", "ids", "n", "vecs").groupBy("i", "j")).applyInArrow(multiply, "id long, linked long, star long")
+    return cut(given.union(joined).union(counted))
+
+
+def audited(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The mean share of true links that were found, over drawn vectors that have some; 1 if none has."""
+    rows = vectors.count()
+    draws, share = AUDIT_FIRST, 0.0
+    while True:
+        share = min(1.0, draws / max(rows, 1))
+        drawn = vectors.where(F.xxhash64("id", F.lit(3)) < F.lit(int(share * (1 << 64)) - (1 << 63)) if share < 1 else F.lit(True)).select("id", "p", "n", "vec").toArrow()
+        queries = [(drawn.take(pa.array(own)).column("id").to_numpy(), drawn.take(pa.array(own)).column("p").to_numpy(), x) for own, x in by_size(drawn.column("vec").combine_chunks())] if drawn.num_rows else []
+        # At most about AUDIT_MOST vectors.
+        shared = vectors.sparkSession.sparkContext.broadcast(queries)
+
+        def count(batches, shared=shared):
+            total: dict[int, int] = {}
+            for batch in batches:
+                p, n, ids = (batch.column(k).to_numpy() for k in range(3))
+                for own, x in by_size(batch.column(3)):
+                    for q_ids, q_p, q in shared.value:
+                        if q.shape[1] == x.shape[1]:
+                            near = (q @ x.T >= threshold) & (q_p[:, None] == p[own][None, :]) & (q_ids[:, None] != ids[own][None, :])
+                            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                                total[int(q_ids[k])] = total.get(int(q_ids[k]), 0) + int(n[own][near[k]].sum())
+            yield pa.RecordBatch.from_pydict({"id": pa.array(list(total), pa.int64()), "there": pa.array(list(total.values()), pa.int64())})
+
+        there = map_stream(vectors.select("p", "n", "id", "vec"), count, "id long, there long", rows=4096).groupBy("id").agg(F.sum("there").alias("there"))
+        row = there.join(counts, "id", "left").agg(F.count("*").alias("linked"), F.avg(F.coalesce("linked", F.lit(0)) / F.col("there")).alias("recall")).first()
+        if row["linked"] >= AUDIT_LINKED or share >= 1 or draws >= AUDIT_MOST:
+            return 1.0 if row["recall"] is None else float(row["recall"])
+        draws *= 8
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -225,37 +459,41 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     # Single-precision vectors stay so in shuffles, at half the size; every product is in double.
     kept_as = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     frame = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kept_as).alias("vec"), F.col("label"))
-    usable = F.expr("vec_id is not null and label is not null and vec is not null and size(vec) > 0 and forall(vec, x -> coalesce(not isnan(x) and abs(x) < 1e300, false)) and exists(vec, x -> x <> 0)")
+    usable = F.expr("vec_id is not null and label is not null and vec is not null and size(vec) > 0 and forall(vec, x -> coalesce(not isnan(x) and abs(x) < double('infinity'), false)) and exists(vec, x -> x <> 0)")
     frame = frame.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("part", F.concat_ws(":", F.size("vec"), F.col("label").cast("string")))
-    frame = frame.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1)))
-    good = frame.where("usable")
-    groups = good.groupBy("part", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    mapped = good.join(groups, ["part", "k1", "k2"])
-    vectors = cut(mapped.where("vec_id = rep").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("id"), "part", "vec", "n"))
-    parts = {r["part"]: (r["size"], r["vectors"]) for r in vectors.groupBy("part").agg(F.first(F.size("vec")).alias("size"), F.count("*").alias("vectors")).collect()}
-    roots = counts = None
-    over = None
-    for dims in sorted({size for size, _ in parts.values()}):
-        own = {k: n for k, (size, n) in parts.items() if size == dims}
-        mine = vectors.where(F.size("vec") == dims)
-        graph = cut(merged(start(mine, dims, own, 0, threshold), threshold))
-        for _ in range(ROUNDS):
-            graph = refine(mine, graph, threshold)
-            row = graph.agg(F.count_if("fresh"), F.count("*")).first()
-            if row[0] <= SETTLED * row[1]:
+    good = frame.where("usable").withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(1)))
+    keys = ["part", "k1", "k2"]
+    counted = good.select(*keys, "vec_id").distinct().groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    sizes = cut(counted.groupBy("part").agg(F.count("*").alias("size")).withColumn("p", F.monotonically_increasing_id()).withColumn("levels", F.greatest(F.lit(0), F.least(F.lit(DEEPEST), F.ceil(F.log2(F.col("size") / LEAF)))).cast("long")))
+    vectors = good.groupBy(*keys).agg(F.first("vec").alias("vec")).join(counted, keys).join(sizes.select("part", "p", "levels"), "part")
+    vectors = cut(vectors.withColumn("id", F.monotonically_increasing_id()).select("id", *keys, "p", "levels", "rep", "n", "vec"))
+    rows = vectors.count()
+    tasks, graph, recall, signs = tasks_for(vectors, rows), None, 0.0, cut(signed(vectors))
+    for seed in range(STARTS):
+        fresh = start(vectors, threshold, seed, rows)
+        graph = fresh if graph is None else merged(graph.union(fresh), tasks)
+        for k in range(ROUNDS):
+            graph = refine(signs, graph, threshold, 100 * seed + k, tasks)
+            if graph.where("fresh and not dense").isEmpty():
                 break
-        links = graph.where(F.col("sim") >= threshold).select(F.col("id").alias("u"), F.col("nbr").alias("v"))
-        over = links if over is None else over.union(links)
-    if over is not None:
-        first = over.groupBy("u").agg(F.min("v").alias("v"))
-        placed = vectors.join(first, vectors["id"] == first["u"], "left").select("id", "part", "n", "vec", F.least("id", "v").alias("root"))
-        linked = compare_all(placed, threshold)
-        roots = connected_components(linked.where("id <> star").select(F.col("id").alias("u"), F.col("star").alias("v")))
-        counts = linked.groupBy("id").agg(F.sum("linked").alias("linked"))
-    own = F.col("vec_id")
-    if roots is None:
-        return frame.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
-    solved = groups.join(roots, groups["rep"] == roots["node"], "left").join(counts, groups["rep"] == counts["id"], "left").select("part", "k1", "k2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = good.join(solved, ["part", "k1", "k2"]).select("vec_id", "n_links", "component_id")
-    alone = frame.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
-    return linked.union(alone).select("vec_id", "n_links", "component_id", (own == F.col("component_id")).alias("kept"))
+        links = verified(vectors, graph, threshold)
+        stars = links.select("u", "v")
+        both = links.select(F.col("u").alias("id"), F.col("n_v").alias("linked")).union(links.select(F.col("v").alias("id"), F.col("n_u").alias("linked")))
+        groups = dense_groups(graph)
+        if not groups.isEmpty():
+            dense = compare_dense(groups.join(vectors.select("id", "p", "n", "vec"), "id"), threshold)
+            both = both.union(dense.select("id", "linked"))
+            stars = stars.union(dense.where("id <> star").select(F.col("id").alias("u"), F.col("star").alias("v")))
+        counts = cut(both.groupBy("id").agg(F.sum("linked").alias("linked")))
+        recall = audited(vectors, counts, threshold)
+        if recall >= AUDIT_RECALL:
+            break
+    else:
+        raise RuntimeError(f"the neighbour graph holds only {recall:.3f} of the audited links after {STARTS} starts")
+    roots = connected_components(stars).select(F.col("node").alias("id"), "root")
+    solved = vectors.select("id", *keys, "rep", "n").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = solved.groupBy("root").agg(F.min("rep").alias("component_id"))
+    solved = solved.join(least, "root").select(*keys, (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = good.join(solved, keys).select("vec_id", "n_links", "component_id")
+    alone = frame.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
