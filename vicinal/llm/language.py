@@ -1,14 +1,18 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of bytes up to order three with frozen statistics from training. A context predicts the bytes
-that followed it and escapes to the shorter context for others, with the probability D / (T + D), where T bytes in D kinds
-followed. Bytes already predicted by the longer context are excluded from the shorter one, so the probabilities add up to one and
-code lengths are exact. All code lengths of contexts up to order two, and of the frequent contexts of order three, are worked out
-once into a table of (context, byte) rows; a text's code length in every language is a sum of table rows.
-
-Training reads a bounded, hashed sample of the labelled rows (FIT_DOCS for each language). Nulls: a null text, or
-one without letters, is `und` with score 0; rows with a null lang are not learned from; a null doc_id stays null. Without rows
-to learn from, all is `und`.
+Each language has a tree of byte contexts of up to ORDER bytes with frozen statistics from training; all counts are kept. A context predicts
+the bytes that followed it and escapes to the context that is one byte shorter for the others, with the probability D / (T + D), where T bytes of
+D kinds followed; below the empty context all bytes are equal. Bytes that the longer context predicts are excluded from the shorter one, so the
+probabilities of the 256 bytes add up to one and a text's code length is exact. A context that was never seen costs nothing: the longest one that was seen is used.
+
+An escape and the exclusion after it depend on the context only, so they are one number for each context. A text's code length is then a sum of
+table entries: one where the string of context and byte was seen in some language, else the context's number and what is found one byte shorter.
+
+Training reads a bounded, hashed sample of the labelled rows (FIT_BYTES of text for each language, less where there are very many languages,
+so that the tables stay within about MODEL_BYTES). All languages are learned; ties of length go to the first by name. Nulls: a null text, or
+one without letters, is `und` with score 0; rows with a null lang or text are not learned from; a null doc_id stays null. Without rows
+to learn from, all is `und`. An empty table gives an empty result. Repeated rows are scored each; in training they count as often as they are there.
+Very long texts are scored whole, a slice at a time. Columns named lang_pred or score are replaced.
 """
 from __future__ import annotations
 
@@ -22,153 +26,205 @@ from pyspark.sql import functions as F
 
 from .common import hashed_share, map_batches, map_stream, per_worker, texts_of
 
-#: Documents sampled of each language (expected number), the most languages, byte classes, and contexts of order three.
-FIT_DOCS, MOST_LANGUAGES, CLASSES, LONG_CONTEXTS = 800, 256, 96, 6000
+#: Bytes of the longest context; bytes of text sampled of each language (expected number); bytes of all tables.
+ORDER, FIT_BYTES, MODEL_BYTES = 4, 1_600_000, 256 << 20
+#: Languages whose tables share rows.
+TOGETHER = 16
 #: Bytes scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: What stands before a text.
+BEFORE = b"\n" * ORDER
 LETTER = regex.compile(r"\p{L}")
+Counts = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def grams(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS) -> tuple[list[str], dict[tuple[int, int], np.ndarray]]:
-    """Languages, and for each (language, order) its counted byte strings of order + 1 bytes as (key, n) rows."""
-    known = docs.where("lang is not null and text is not null").where(learn)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+def strings(data: np.ndarray, order: int) -> np.ndarray:
+    """The string of order + 1 bytes that ends at each byte after the first ORDER, as a number."""
+    n = len(data) - ORDER
+    out = np.zeros(max(n, 0), np.int64)
+    for k in range(order, -1, -1):
+        out = out << 8 | data[ORDER - k : ORDER - k + n]
+    return out
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counted strings added up, in order."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def counted(docs: DataFrame, learn: Column, fit_bytes: int = FIT_BYTES) -> tuple[list[str], Counts]:
+    """Languages, and for each (language, order) its strings of order + 1 bytes and their counts."""
+    known = docs.where("lang is not null and text is not null").where(learn).select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], {}
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, float(min(1.0, fit_docs / sizes[k])))])
-    number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
-    sample = known.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")] * 1e6)
+    own = min(fit_bytes, MODEL_BYTES // (40 * len(languages)))
+    numbers = known.sparkSession.createDataFrame([(name, k, min(1.0, own / max(1, sizes[name]))) for k, name in enumerate(languages)], "lang string, language int, share double")
+    sample = hashed_share(known.join(F.broadcast(numbers), "lang"), ["doc_id", "text"], F.col("share"))
 
     def count(batches):
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(b"\n" + text.encode(), np.uint8).astype(np.int64)
-                for order in range(4):
-                    if len(data) > order:
-                        key = sum(data[k : len(data) - order + k] << (8 * (order - k)) for k in range(order + 1))
-                        held.setdefault((language, order), []).append(key)
-            for at, parts in held.items():
-                if sum(map(len, parts)) > 1 << 21 and len(parts) > 1:
-                    held[at] = [np.concatenate(parts)]
+                data = text.encode()
+                for k in range(0, len(data), SLICE):
+                    part = np.frombuffer((BEFORE + data)[k : k + SLICE + ORDER], np.uint8).astype(np.int64)
+                    for order in range(ORDER + 1):
+                        rows = held.setdefault((language, order), [])
+                        rows.append(np.unique(strings(part, order), return_counts=True))
+                        if len(rows) > 64:
+                            rows[:] = [added(rows)]
         for (language, order), parts in held.items():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"language": pa.array(np.full(len(keys), language, np.int32)), "o": pa.array(np.full(len(keys), order, np.int32)), "k": keys, "n": n.astype(np.int64)})
+            keys, n = added(parts)
+            yield pa.RecordBatch.from_pydict({"language": pa.array(np.full(len(keys), language, np.int32)), "o": pa.array(np.full(len(keys), order, np.int32)), "k": keys, "n": n})
 
-    counted = map_stream(sample.select(number[F.col("lang")].alias("language"), "text"), count, "language int, o int, k long, n long").groupBy("language", "o", "k").agg(F.sum("n").alias("n")).where("o < 3 or n > 1")
-    out: dict[tuple[int, int], list] = {}
-    for batch in counted.toArrow().to_batches():
+    total = map_stream(sample.select("language", "text"), count, "language int, o int, k long, n long").groupBy("language", "o", "k").agg(F.sum("n").alias("n"))
+    parts: dict[tuple[int, int], list] = {}
+    for batch in total.toArrow().to_batches():
         language, order, k, n = (np.asarray(batch.column(j)) for j in range(4))
         for at in {*zip(language.tolist(), order.tolist(), strict=True)}:
             mine = (language == at[0]) & (order == at[1])
-            out.setdefault(at, []).append(np.stack([k[mine], n[mine]], 1))
-    return languages, {at: np.concatenate(parts) for at, parts in out.items()}
+            parts.setdefault(at, []).append((k[mine], n[mine]))
+    return languages, {at: added(rows) for at, rows in parts.items()}
+
+
+def places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in sorted_keys, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+class Rows:
+    """Finds the rows of distinct keys by hashing into four or more slots for each, with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys) * 4 - 1).bit_length()) if len(keys) else 4
+        self.keys, self.shift, self.mask = np.append(keys, -1), np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, len(keys), np.int32)  # the last row, with the key -1, stands for none
+        left, at = np.arange(len(keys)), self.hashed(keys)
+        while len(left):
+            free = self.slots[at] == len(keys)
+            self.slots[at[free]] = left[free]
+            there = self.slots[at] == left
+            left, at = left[~there], (at[~there] + 1) & self.mask
+
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's row, and whether it has one."""
+        at = self.hashed(keys)
+        rows = self.slots[at]
+        held = self.keys[rows]
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            rows[open_] = self.slots[at[open_]]
+            held = self.keys[rows[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return rows, rows < len(self.keys) - 1
+
+
+class Tables:
+    """Code lengths in bits of a few languages: for each order the strings seen in any of them, with [string, language] lengths of their last byte, and the contexts
+    seen in any, with the [context, language] length of leaving them (0 where the context wasn't seen)."""
+
+    def __init__(self, counts: Counts, languages: range):
+        self.size = len(languages)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.keys, self.lengths, self.contexts, self.leave = [], [], [], []
+        for order in range(ORDER + 1):
+            own = [counts.get((k, order), none) for k in languages]
+            keys = np.unique(np.concatenate([k for k, _ in own]))
+            contexts = np.unique(keys >> 8)
+            if order:
+                at, _ = places(self.keys[-1], keys & ((1 << 8 * order) - 1))
+                shorter = self.lengths[-1][at]
+            else:
+                shorter = np.full((len(keys), self.size), 8.0)
+            context = np.searchsorted(contexts, keys >> 8)
+            leave, lengths = np.zeros((len(contexts), self.size)), np.zeros((len(keys), self.size))
+            for k, (mine, n) in enumerate(own):
+                at, where = np.searchsorted(keys, mine), np.searchsorted(contexts, mine >> 8)
+                total, kinds = np.bincount(where, n, len(contexts)), np.bincount(where, minlength=len(contexts))
+                # What the shorter context gives to the bytes that are excluded.
+                gone = np.bincount(where, np.exp2(-shorter[at, k]), len(contexts))
+                seen, whole = kinds > 0, kinds == 256
+                escape = np.where(whole, 0.0, kinds / np.maximum(total + kinds, 1))
+                with np.errstate(divide="ignore"):
+                    leave[:, k] = np.where(seen & ~whole, np.log2(np.maximum(1 - gone, 1e-300)) - np.log2(np.where(escape > 0, escape, 1.0)), 0.0)
+                lengths[:, k] = leave[context, k] + shorter[:, k]
+                lengths[at, k] = -np.log2((1 - escape[where]) * n / total[where])
+            self.keys.append(keys)
+            self.contexts.append(contexts)
+            self.lengths.append(lengths)
+            self.leave.append(leave)
+        self.lengths, self.leave = ([x.astype(np.float32) for x in xs] for xs in (self.lengths, self.leave))
+        self.rows, self.context_rows = [Rows(k) for k in self.keys], [Rows(k) for k in self.contexts]
+
+    def each(self, data: np.ndarray) -> np.ndarray:
+        """[byte, language] code lengths of the bytes after the first ORDER."""
+        keys = strings(data, ORDER)
+        out, open_rows = np.zeros((len(keys), self.size), np.float32), np.arange(len(keys))
+        for order in range(ORDER, -1, -1):
+            own = keys[open_rows] & ((1 << 8 * (order + 1)) - 1)
+            at, there = self.rows[order].find(own)
+            out[open_rows[there]] += self.lengths[order][at[there]]
+            open_rows, own = open_rows[~there], own[~there]
+            if not len(open_rows):
+                return out
+            at, there = self.context_rows[order].find(own >> 8)
+            out[open_rows[there]] += self.leave[order][at[there]]
+        out[open_rows] += 8.0
+        return out
 
 
 class Trees:
-    """The table of code lengths in bits: table[context row, byte class, language]."""
+    """The tables of all languages."""
 
-    def __init__(self, languages: list[str], counted: dict[tuple[int, int], np.ndarray], classes: int = CLASSES, long_contexts: int = LONG_CONTEXTS):
+    def __init__(self, languages: list[str], counts: Counts):
         self.languages = languages
-        frequency = np.zeros(256)
-        for k in range(len(languages)):
-            for key, n in counted.get((k, 0), ()):
-                frequency[key] += n
-        top = [b for b in np.argsort(-frequency, kind="stable")[: classes - 1] if frequency[b] > 0]
-        self.classes = a = len(top) + 1  # class 0 holds the other bytes and what is before a text
-        self.class_of = np.zeros(256, np.int32)
-        self.class_of[top] = np.arange(1, a)
-        total: dict[int, int] = {}
-        for k in range(len(languages)):
-            for key, n in counted.get((k, 3), ()):
-                context = self.context(int(key) >> 8, 3)
-                total[context] = total.get(context, 0) + int(n)
-        kept = sorted(total, key=lambda c: (-total[c], c))[:long_contexts]
-        self.row_of = (np.arange(a**3) % (a * a)).astype(np.int32)
-        self.row_of[kept] = a * a + np.arange(len(kept))
-        table = np.zeros((a * a + len(kept), a, len(languages)), np.float32)
-        for k in range(len(languages)):
-            counts = [self.counts(counted.get((k, order)), order) for order in range(3)]
-            zero = self.blend(counts[0].reshape(1, a), np.full((1, a), 1 / a))
-            one = self.blend(counts[1].reshape(a, a), np.repeat(zero, a, axis=0))
-            two = self.blend(counts[2].reshape(a * a, a), np.tile(one, (a, 1)))
-            table[: a * a, :, k] = -np.log2(two)
-            if kept:
-                rows = np.zeros((len(kept), a))
-                place = {c: at for at, c in enumerate(kept)}
-                for key, n in counted.get((k, 3), ()):
-                    if (at := place.get(self.context(int(key) >> 8, 3))) is not None:
-                        rows[at, self.class_of[int(key) & 255]] += n
-                table[a * a :, :, k] = -np.log2(self.blend(rows, two[np.array(kept) % (a * a)]))
-        self.table = table.reshape(-1, len(languages))
-        self.digest = hashlib.sha256(self.table.tobytes()).hexdigest()
-
-    def context(self, key: int, n: int) -> int:
-        out = 0
-        for k in range(n):
-            out = out * self.classes + int(self.class_of[key >> (8 * (n - 1 - k)) & 255])
-        return out
-
-    def counts(self, counted: np.ndarray | None, order: int) -> np.ndarray:
-        out = np.zeros(self.classes ** (order + 1))
-        if counted is not None:
-            at = np.zeros(len(counted), np.int64)
-            for k in range(order + 1):
-                at = at * self.classes + self.class_of[counted[:, 0] >> (8 * (order - k)) & 255]
-            np.add.at(out, at, counted[:, 1])
-        return out
-
-    @staticmethod
-    def blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities of contexts from their counts and the shorter contexts' probabilities, by escapes with exclusion."""
-        kinds, total = (counts > 0).sum(axis=1, keepdims=True), counts.sum(axis=1, keepdims=True)
-        rest = np.where(counts > 0, 0.0, shorter)
-        left = rest.sum(axis=1, keepdims=True)
-        escape = np.where(total == 0, 1.0, np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0.0))
-        return np.where(counts > 0, (1 - escape) * counts / np.maximum(total, 1), escape * rest / np.where(left > 0, left, 1.0)).clip(1e-12)
+        self.tables = [Tables(counts, range(k, min(len(languages), k + TOGETHER))) for k in range(0, len(languages), TOGETHER)]
+        digest = hashlib.sha256(repr(languages).encode())
+        for t in self.tables:
+            for x in (*t.keys, *t.lengths):
+                digest.update(x.tobytes())
+        self.digest = digest.hexdigest()
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, one row for each text and one column for each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        k = 0
-        while k < len(texts):
-            n = size = 0
-            while k + n < len(texts) and (n == 0 or size + len(texts[k + n]) + 3 <= SLICE):
-                size += len(texts[k + n]) + 3
-                n += 1
-            if n == 1:
-                out[k] = self.one(texts[k])
-            else:
-                out[k : k + n] = self.many(texts[k : k + n])
-            k += n
+        together, size = [], 0
+        for k, text in enumerate(texts):
+            if len(text) > SLICE:
+                whole = BEFORE + text
+                for j in range(0, len(text), SLICE):
+                    out[k] += self.sums([whole[j : j + SLICE + ORDER]])[0]
+                continue
+            if size + len(text) > SLICE:
+                out[together] = self.sums([BEFORE + texts[j] for j in together])
+                together, size = [], 0
+            together.append(k)
+            size += len(text) + ORDER
+        if together:
+            out[together] = self.sums([BEFORE + texts[j] for j in together])
         return out
 
-    def rows(self, symbols: np.ndarray) -> np.ndarray:
-        """Code lengths of symbols[3:]."""
-        a = self.classes
-        context = (symbols[:-3] * a + symbols[1:-2]) * a + symbols[2:-1]
-        return self.table[self.row_of[context] * a + symbols[3:]]
-
-    def one(self, text: bytes) -> np.ndarray:
-        symbols = np.concatenate([np.zeros(3, np.int32), self.class_of[np.frombuffer(text, np.uint8)]])
-        return sum((self.rows(symbols[k : k + SLICE + 3]).sum(axis=0, dtype=np.float64) for k in range(0, len(text), SLICE)), np.zeros(len(self.languages)))
-
-    def many(self, texts: list[bytes]) -> np.ndarray:
-        ends = np.cumsum([len(x) + 3 for x in texts])
-        symbols = np.zeros(ends[-1], np.int32)
-        for text, end in zip(texts, ends, strict=True):
-            symbols[end - len(text) : end] = self.class_of[np.frombuffer(text, np.uint8)]
-        rows = self.rows(symbols)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k, (text, end) in enumerate(zip(texts, ends, strict=True)):
-            out[k] = rows[end - len(text) - 3 : end - 3].sum(axis=0, dtype=np.float64)
-        return out
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths of texts after their first ORDER bytes."""
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(x) for x in texts])
+        each = np.concatenate([t.each(data) for t in self.tables], axis=1)
+        return np.stack([each[end - len(x) : end - ORDER].sum(axis=0, dtype=np.float64) for x, end in zip(texts, ends.tolist(), strict=True)])
 
 
-def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS) -> Trees | None:
-    languages, counted = grams(docs, learn, fit_docs)
-    return Trees(languages, counted) if languages else None
+def fit(docs: DataFrame, learn: Column, fit_bytes: int = FIT_BYTES) -> Trees | None:
+    languages, counts = counted(docs, learn, fit_bytes)
+    return Trees(languages, counts) if languages else None
 
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
