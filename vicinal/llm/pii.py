@@ -1,16 +1,23 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
-The base patterns find what is certain. The field then labels every token with a digit or an `@` as one of the kinds or as other:
-node potentials come from the token's form and its neighbours, chain potentials join successive candidates, and skip potentials
-join the occurrences of equal or similar tokens (equal letters and digits once marks are dropped). Loopy message passing spreads
-what the base patterns are certain of over the document, so that a repeated number or address has one label throughout. Spans
-that the field is sure of are added; base spans always stay.
+The base patterns find what is certain. The field labels the other candidates, number runs (spaced and bracketed digits are one) and tokens with a
+digit or an `@`, as one of the kinds or as other. Node potentials come from the candidate's form, chain potentials join candidates at
+most GAP characters apart, and skip potentials join the occurrences of equal and of similar keys (letters and digits without marks): keys
+that are one edit apart, or numbers that end alike. Loopy message passing spreads what the base patterns are certain of over the
+document, so that a number or address has one label throughout, however it is written. Spans that the field is sure of are added; base
+spans always stay. Only candidates that skip or chain edges connect with a base span are asked; what nothing certain supports stays other.
 
 The field's weights are learned by pseudo-likelihood from a bounded, hashed sample of documents with the base spans as distant labels.
-Nulls: a null text is empty and has no spans; a null doc_id stays null. Every row is its own document.
+Base spans are masked there: a repeat without its telling marks has the span's kind if an equal or a similar span supports it, and is
+other if nothing does. So the neighbours must explain it. Candidates beside such spans are left out; the others are other.
+
+Nulls: a null text is empty and has no spans; a null doc_id stays null. Empty tables give empty results and zero weights. Every row is
+its own document, so repeated rows have repeated results. Very long texts are read whole: edges grow in proportion to candidates. Of
+overlapping spans that are redacted the one that starts first and is longest names the kind. Columns named base or spans are replaced.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -19,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_share, map_batches, per_worker, texts_of
+from .components import local_labels
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with candidates sampled to learn weights (expected number), rounds of messages, and the belief a further span needs.
-FIT_DOCS, ROUNDS, DAMPING, SURE = 2000, 8, 0.3, 0.95
+#: Documents sampled to learn weights (expected number), rounds of messages, and the belief a further span needs.
+FIT_DOCS, ROUNDS, DAMPING, SURE = 16_000, 8, 0.3, 0.95
 LABELS = 5  # other, then KINDS
+#: Characters between candidates of a chain; letters and digits of keys that have skip edges, and of those whose edits are looked up.
+GAP, KEY, EDITED = 60, 6, (8, 40)
+#: Last digits that make two numbers similar.
+ENDING = 9
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +43,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s\"'<>=,;]*[0-9@][^\s\"'<>=,;]*")
+CANDIDATE = re.compile(r"(?<![\w@])[+(]*[0-9](?:[\x20().-]{0,2}[0-9])*(?![\w@])|[^\s\"'<>=,;]*[0-9@][^\s\"'<>=,;]*")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -77,71 +89,100 @@ def node_features(token: str) -> list[float]:
 
 
 NODE = len(node_features("0"))
-#: Of a token, and of its label given its neighbours': node features, labels before and after, labels of equal tokens.
-WIDTH = NODE + 3 * LABELS
+#: Of a candidate, and of its label given its neighbours': node features, labels before and after, whether an equal and a similar candidate has a label.
+WIDTH = NODE + 4 * LABELS
+BEFORE, AFTER, EQUAL, SIMILAR = (NODE + k * LABELS for k in range(4))
 
 
 def key_of(token: str) -> str:
-    return re.sub(r"\W", "", token).lower()
+    return re.sub(r"[\W_]", "", token).lower()
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Tokens with a digit or an at sign, without the marks that end them, and the kind (1 to 4) of the base span each lies in, or 0."""
-    tokens = []
-    for m in TOKEN.finditer(text):
+    """Candidates, without the marks that end them, and the kind (1 to 4) of the base span each overlaps, or 0."""
+    found = []
+    for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".:!?":
             b -= 1
         if b > a:
-            tokens.append((a, b))
-    kinds, ordered, k = np.zeros(len(tokens), np.int64), sorted(spans, key=lambda s: s[1]), 0
-    for at, (a, b) in enumerate(tokens):
+            found.append((a, b))
+    kinds, ordered, k = np.zeros(len(found), np.int64), sorted(spans, key=lambda s: s[1]), 0
+    for at, (a, b) in enumerate(found):
         while k < len(ordered) and ordered[k][2] <= a:
             k += 1
         for kind, start, end in ordered[k : k + 4]:
             if start < b and a < end:
                 kinds[at] = kind + 1
                 break
-    return tokens, kinds
-
-
-def skip_edges(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Each candidate with the next one of the same key, so their number is linear."""
-    last, out = {}, []
-    for k, (a, b) in enumerate(tokens):
-        if len(key := key_of(text[a:b])) >= 6:
-            if key in last:
-                out.append((last[key], k))
-            last[key] = k
+    return found, kinds
+
+
+def chain_edges(found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    return [(k, k + 1, 0) for k in range(len(found) - 1) if found[k + 1][0] - found[k][1] <= GAP]
+
+
+def similar_marks(key: str) -> tuple[list[str], list[str]]:
+    """What a key is found under by keys that are similar to it, and what it looks for: one character put in, left out or other, or the same last digits."""
+    left, asked = [], []
+    if EDITED[0] <= len(key) <= EDITED[1]:
+        shorter = [key[:i] + key[i + 1 :] for i in range(len(key))]
+        other = [f"{key[:i]}?{key[i + 1:]}" for i in range(len(key))]
+        left += [f"={key}", *(f"-{x}" for x in shorter), *other]
+        asked += [f"-{key}", *(f"={x}" for x in shorter), *other]
+    if key.isdigit() and len(key) >= ENDING:
+        left.append(f"*{key[-ENDING:]}")
+        asked.append(f"*{key[-ENDING:]}")
+    return left, asked
+
+
+def skip_edges(text: str, found: list[tuple[int, int]], kinds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(i, j, 1) for each candidate and its key's first one, if there is any the first in a base span, and (i, j, 2) for such first ones of similar keys. A
+    key is looked up some three times for each character, so the number of edges is linear, and no candidate is more than three edges from a base span that supports it."""
+    keys = [key_of(text[a:b]) for a, b in found]
+    first: dict[str, int] = {}
+    for k in (*np.flatnonzero(kinds > 0).tolist(), *np.flatnonzero(kinds == 0).tolist()):
+        if len(keys[k]) >= KEY:
+            first.setdefault(keys[k], k)
+    out = [(first[key], k, 1) for k, key in enumerate(keys) if key in first and first[key] != k]
+    marked: dict[str, int] = {}
+    for key, k in first.items():  # those of base spans come first
+        left, asked = similar_marks(key)
+        out += [(j, k, 2) for j in sorted({marked[m] for m in asked if m in marked})]
+        for m in left:
+            marked.setdefault(m, k)
     return out
 
 
 def training_rows(text: str) -> list[tuple[list[float], int]]:
     spans = base_spans(text)
-    tokens, kinds = candidates(text, spans)
-    beside: dict[int, list[int]] = {}
-    for i, j in skip_edges(text, tokens):
-        beside.setdefault(i, []).append(int(kinds[j]))
-        beside.setdefault(j, []).append(int(kinds[i]))
-    rows = []
-    for k, (a, b) in enumerate(tokens):
-        x = node_features(text[a:b]) + [0.0] * (3 * LABELS)
-        if k:
-            x[NODE + kinds[k - 1]] = 1.0
-        if k + 1 < len(tokens):
-            x[NODE + LABELS + kinds[k + 1]] = 1.0
-        for label in beside.get(k, []):
-            x[NODE + 2 * LABELS + label] += 1.0
-        rows.append((x, int(kinds[k])))
+    found, kinds = candidates(text, spans)
+    chains, skips = chain_edges(found), skip_edges(text, found, kinds)
+    rows, around = [], np.zeros((len(found), WIDTH))
+    for i, j, kind in [*chains, *skips]:
+        around[i, (AFTER, EQUAL, SIMILAR)[kind] + kinds[j]] = 1.0
+        around[j, (BEFORE, EQUAL, SIMILAR)[kind] + kinds[i]] = 1.0
+    for k, (a, b) in enumerate(found):
+        if kinds[k]:
+            for form in {text[a:b], key_of(text[a:b])}:
+                x = [*node_features(form), *around[k, NODE:EQUAL].tolist(), *[0.0] * (2 * LABELS)]
+                rows.append((x, 0))
+                for block in (EQUAL, SIMILAR):
+                    y = list(x)
+                    y[block + kinds[k]] = 1.0
+                    rows.append((y, int(kinds[k])))
+        elif not (around[k, EQUAL + 1 : SIMILAR].any() or around[k, SIMILAR + 1 :].any()):
+            rows.append(([*node_features(text[a:b]), *around[k, NODE:].tolist()], 0))
     return rows
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-3, rounds: int = 400) -> np.ndarray:
-    """Weights [label, feature] of a multinomial logistic pseudo-likelihood, by accelerated gradient steps."""
+def fit_field(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-5, rounds: int = 1500) -> np.ndarray:
+    """Weights [label, feature] of a multinomial logistic pseudo-likelihood, by accelerated gradient steps. Labels weigh alike."""
     w = np.zeros((LABELS, WIDTH))
     if not len(x):
         return w
-    n, target, before = n / n.sum(), np.eye(LABELS)[y], w
+    share = np.bincount(y, n, LABELS)
+    n, target, before = n / share[y] / np.count_nonzero(share), np.eye(LABELS)[y], w
     rate = 1.0 / (0.5 * float((n * (x * x).sum(axis=1)).sum()) + penalty)
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - before)
@@ -153,33 +194,33 @@ def fit_field(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-3
 
 
 class Field:
-    """Potentials from learned weights; a skip edge always favours equal labels by at least one."""
+    """Potentials from learned weights."""
 
     def __init__(self, weights: np.ndarray):
         self.node = weights[:, :NODE].T
-        self.chain = 0.5 * (weights[:, NODE : NODE + LABELS].T + weights[:, NODE + LABELS : NODE + 2 * LABELS])
-        skip = weights[:, NODE + 2 * LABELS :]
-        self.skip = 0.5 * (skip + skip.T) + 1.0 * np.eye(LABELS)
+        before, after, equal, similar = (weights[:, k : k + LABELS] for k in (BEFORE, AFTER, EQUAL, SIMILAR))
+        chain = 0.5 * (before.T + after)
+        #: [label of the first, label of the second] of chain edges, and of skip edges of equal and of similar keys.
+        self.pair = [chain, 0.5 * (equal + equal.T), 0.5 * (similar + similar.T)]
 
-    def beliefs(self, features: np.ndarray, kinds: np.ndarray, skips: list[tuple[int, int]]) -> np.ndarray:
-        """Label probabilities of each node, after messages over chain and skip edges."""
-        n = len(features)
+    def beliefs(self, features: np.ndarray, kinds: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+        """Label probabilities of each node, after messages over all edges. Memory is in proportion to nodes and edges; potentials are shared."""
         own = features @ self.node
-        own[kinds > 0] = -12.0
+        own[kinds > 0] = -1e9  # certain, whatever the messages
         own[np.flatnonzero(kinds), kinds[kinds > 0]] = 0.0
-        pairs = [(k, k + 1, self.chain) for k in range(n - 1)] + [(i, j, self.skip) for i, j in skips]
-        if not pairs:
+        if not edges:
             return softmax(own)
-        source = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
-        target = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
-        pair = np.exp(np.clip(np.stack([p[2] for p in pairs] + [p[2].T for p in pairs]), -8, 8))
-        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
+        i, j, kind = np.array(edges).T
+        source, target = np.concatenate([i, j]), np.concatenate([j, i])
+        back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
+        moves = [(np.flatnonzero(kind == k) + side * len(i), np.exp(np.clip(m.T if side else m, -8, 8))) for k, m in enumerate(self.pair) for side in (0, 1)]
         messages = np.zeros((len(source), LABELS))
         for _ in range(ROUNDS):
             total = own.copy()
             np.add.at(total, target, messages)
-            out = total[source] - messages[back]
-            out = np.log(np.einsum("ek,ekl->el", softmax(out), pair) + 1e-12)
+            out = softmax(total[source] - messages[back])
+            for rows, m in moves:
+                out[rows] = np.log(out[rows] @ m + 1e-12)
             messages = DAMPING * messages + (1 - DAMPING) * (out - out.max(axis=1, keepdims=True))
         total = own.copy()
         np.add.at(total, target, messages)
@@ -188,13 +229,21 @@ class Field:
     def spans(self, text: str, base: list[tuple[int, int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and all spans, by kind and start."""
         base = base_spans(text) if base is None else base
-        if not (base or "@" in text or DIGIT.search(text)):
+        if not base:
             return [], []
-        tokens, kinds = candidates(text, base)
-        if not tokens or (kinds > 0).all():
+        found, kinds = candidates(text, base)
+        edges = [*chain_edges(found), *skip_edges(text, found, kinds)]
+        if (kinds > 0).all() or not edges:
+            return base, base
+        ends = np.array(edges)
+        part = local_labels(len(found), ends[:, 0], ends[:, 1])
+        some = np.isin(part, np.intersect1d(part[kinds > 0], part[kinds == 0]))
+        if not some.any():
             return base, base
-        belief = self.beliefs(np.array([node_features(text[a:b]) for a, b in tokens]), kinds, skip_edges(text, tokens))
-        more = [(int(k) - 1, a, b) for (a, b), kind, k, p in zip(tokens, kinds, belief.argmax(axis=1), belief.max(axis=1), strict=True) if kind == 0 and k > 0 and p >= SURE]
+        place = np.cumsum(some) - 1
+        own = np.flatnonzero(some)
+        belief = self.beliefs(np.array([node_features(text[found[k][0] : found[k][1]]) for k in own.tolist()]), kinds[own], [(int(place[i]), int(place[j]), e) for i, j, e in edges if some[i]])
+        more = [(int(k) - 1, *found[at]) for at, k, p in zip(own.tolist(), belief.argmax(axis=1), belief.max(axis=1), strict=True) if kinds[at] == 0 and k > 0 and p >= SURE]
         return base, sorted(base + more)
 
 
@@ -209,22 +258,21 @@ def digest_text(spans: list[tuple[int, int, int]]) -> str:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray:
     """The field's weights from a bounded, hashed sample of docs (columns doc_id, text)."""
-    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     total = docs.count()
-    sample = hashed_share(some, "doc_id", min(1.0, 8 * fit_docs / max(total, 1)))
+    sample = hashed_share(docs.select("doc_id", "text"), ["doc_id", "text"], fit_docs / max(total, 1)).where(F.col("text").rlike("[0-9@]"))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [row for text in texts_of(batch) for row in training_rows(text)]
         return pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in found], pa.list_(pa.float64())), "y": pa.array([y for _, y in found], pa.int32())}) if found else None
 
-    counted = map_batches(sample.select("text"), rows, "x array<double>, y int").groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(20_000).collect()
+    counted = map_batches(sample.select("text"), rows, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()  # features are marks, so few rows differ
     return fit_field(np.array([r["x"] for r in counted]), np.array([r["y"] for r in counted], int), np.array([r["count"] for r in counted], float))
 
 
 def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs (with a column text) with base and spans, arrays of (kind, start, end); columns of these names are replaced."""
     plain = docs.drop("base", "spans")
-    shared, key = docs.sparkSession.sparkContext.broadcast(weights), ("pii", weights.tobytes())
+    shared, key = docs.sparkSession.sparkContext.broadcast(weights), ("pii", hashlib.sha256(weights.tobytes()).hexdigest())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         field = per_worker(key, lambda: Field(shared.value))
@@ -240,7 +288,7 @@ def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def redact(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans become one. A null text stays null."""
-    shared, key, at = docs.sparkSession.sparkContext.broadcast(weights), ("pii", weights.tobytes()), docs.columns.index("text")
+    shared, key, at = docs.sparkSession.sparkContext.broadcast(weights), ("pii", hashlib.sha256(weights.tobytes()).hexdigest()), docs.columns.index("text")
 
     def clean(field: Field, text: str | None) -> str | None:
         if not text:
