@@ -11,7 +11,8 @@ provably stays as it is:
   neighbouring pair is the encoding of the pair's bytes. So the window is final once the pairs at its two edges are.
 
 Decoding is a concatenation up the same kind of tree. Nulls: a null text is empty and has no ids; a null doc_id stays
-null. Texts are whole rows; one task holds one batch of them.
+null. Texts are whole rows, however long: a task holds one batch of them. Empty tables give empty results; repeated rows have a result
+each; there are no ties. Only doc_id and text (or ids) are read, so other columns cannot clash.
 """
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ from .common import Remembering, map_batches, per_worker, texts_of
 LEAF_CHARS, LEAF_BYTES = 2048, 1024
 #: Characters before the seam within which a match of the left half may still change.
 REACH = 3
+#: A text, the matches of the pattern in it, and the ids of each match.
+Element = tuple[str, list[str], list[bytes]]
 
 
 class Codec:
@@ -71,18 +74,27 @@ class Codec:
 
     # Over matches.
 
-    def leaf(self, text: str) -> tuple[str, list[str]]:
-        return text, self.pattern.findall(text)
+    def leaf(self, text: str) -> Element:
+        matches = self.pattern.findall(text)
+        return text, matches, list(map(self.pieces.__getitem__, matches))
 
-    def join(self, left: tuple[str, list[str]], right: tuple[str, list[str]]) -> tuple[str, list[str]]:
-        """Elements are (text, its matches); the matches of the joined text differ only round the seam."""
-        (a, x), (b, y) = left, right
+    def seam_ids(self, match: str, left: list[bytes], right: list[bytes]) -> bytes:
+        """The ids of a match over the seam, from those of its part on either side."""
+        if len(match) <= self.leaf_bytes or len(left) != 1 or len(right) != 1:
+            return self.pieces[match]
+        return np.asarray(self.join_ids(*(np.frombuffer(x[0], "<u4").tolist() for x in (left, right))), "<u4").tobytes()
+
+    def join(self, left: Element, right: Element) -> Element:
+        """Elements are (text, its matches, their ids); those of the joined text differ only round the seam, in a window that is matched and encoded anew
+        until a match begins where one of the right half does."""
+        (a, x, x_ids), (b, y, y_ids) = left, right
         text, seam = a + b, len(a)
         start, keep = seam, len(x)
         while keep and start > seam - REACH:  # the last match kept ends at start
             keep -= 1
             start -= len(x[keep])
-        fresh, at, skip, reached = [], start, 0, seam
+        fresh, ids, at, skip, reached = [], [], start, 0, seam
+        held, place = keep, start  # the left half's match that begins at place
         while at < len(text):
             while skip < len(y) and reached < at:
                 reached += len(y[skip])
@@ -90,13 +102,19 @@ class Codec:
             if at >= seam and reached == at:
                 break
             match = self.pattern.match(text, at)
+            end = match.end()
+            while held < len(x) and place < at:
+                place += len(x[held])
+                held += 1
+            whole = at < seam < end and place == at and held == len(x) - 1 and end == seam + len(y[0])
             fresh.append(match[0])
-            at = match.end()
+            ids.append(self.seam_ids(match[0], x_ids[held:], y_ids[:1]) if whole else self.pieces[match[0]])
+            at = end
         else:
             skip = len(y)
-        return text, x[:keep] + fresh + y[skip:]
+        return text, x[:keep] + fresh + y[skip:], x_ids[:keep] + ids + y_ids[skip:]
 
-    def reduce(self, text: str) -> tuple[str, list[str]]:
+    def reduce(self, text: str) -> Element:
         if len(text) <= self.leaf_chars:
             return self.leaf(text)
         half = len(text) // 2
@@ -104,7 +122,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.reduce(text)[1]))
+        return b"".join(self.reduce(text)[2])
 
     def decode(self, ids: bytes) -> bytes:
         numbers = np.frombuffer(ids, "<u4")
