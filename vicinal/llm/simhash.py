@@ -11,7 +11,9 @@ nodes that lie wholly in one component, so that a group of near copies costs abo
 Tasks return stars, not pairs; components are made from these on executors.
 
 Nulls: a null text has no words, so the fingerprint zero, linked like any other; rows with a null doc_id take part and have
-the component of the others; a component with only null ids has a null component_id.
+the component of the others; a component with only null ids has a null component_id. An empty table gives an empty result. Very long texts
+are hashed whole, in slices. Repeated rows and repeated ids have a row each. Bits set in exactly half of the shingles are 0. Only
+doc_id, text and the key are read, so other columns cannot clash.
 """
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, map_stream, texts_of
+from .common import cut, groups_of, map_batches, map_stream, texts_of
 from .components import connected_components, local_labels
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -164,10 +166,10 @@ def links(prints: DataFrame, rows: int, budget: int = BUDGET, hot_trie: int = HO
         return run
 
     def join(batches):
-        columns = [[np.asarray(b.column(k)) for k in range(3)] for b in batches]
-        if not columns:
-            return
-        trie, part, fp = (np.concatenate(x) for x in zip(*columns, strict=True))
+        for held in groups_of(batches, 2, 1 << 18):
+            yield from join_tries(*(held.column(k).to_numpy() for k in range(3)))
+
+    def join_tries(trie, part, fp):
         values, at = np.unique(fp.view(np.uint64), return_inverse=True)
         labels = np.arange(len(values))
         for k, order in enumerate(tables):
@@ -205,7 +207,7 @@ def links(prints: DataFrame, rows: int, budget: int = BUDGET, hot_trie: int = HO
     counted = map_batches(prints.select("fp"), dealt(frozenset()), schema, rows=16_384).groupBy("trie").count()
     limit = max(hot_trie, rows * len(tables) // 4096)  # so there are at most 4096 hot tries
     hot = frozenset(r["trie"] for r in counted.where(F.col("count") > limit).select("trie").collect())
-    spread = map_batches(prints.select("fp"), dealt(hot), schema, rows=16_384).repartition("trie", "part")
+    spread = map_batches(prints.select("fp"), dealt(hot), schema, rows=16_384).repartition("trie", "part").sortWithinPartitions("trie", "part")
     return map_stream(spread, join, "u long, v long", rows=65_536)
 
 
