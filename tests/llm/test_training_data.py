@@ -259,9 +259,9 @@ def test_embeddings_blocks_equal_brute_force(spark):
     x = np.repeat(rng.standard_normal((150, 8)), 4, axis=0) + 0.1 * rng.standard_normal((600, 8))
     degrees, truth = links_by_brute_force(x)
     assert degrees.max() == 3 and degrees.min() == 0
-    members = spark.createDataFrame([(k, "8:0", 1, [float(v) for v in np.float32(r)], k % 7) for k, r in enumerate(x)], "id long, part string, n long, vec array<float>, root long")
+    members = spark.createDataFrame([(k, 0, 1, [float(v) for v in np.float32(r)], k // 40) for k, r in enumerate(x)], "id long, p long, n long, vec array<float>, root long")
     for rows in (7, 64):
-        found = embedding_dedup.compare_all(members, 0.98, rows).collect()
+        found = embedding_dedup.compare_dense(members, 0.98, rows).collect()
         sums = np.zeros(600, int)
         for r in found:
             sums[r["id"]] += r["linked"]

@@ -5,11 +5,17 @@ P(grade > g) = logistic(sum - threshold[g]). From these come the expected grade
 Grades follow from `labels`: 0 for quality 0, 1 for quality 1 that is toxic, 2 for other quality 1.
 
 A token's features are itself, its form (letters, digits and marks as classes) and whether it repeats the token before;
-the sum is over means, so a text's length does not matter. Nulls: a null text has only the constant feature; a null doc_id stays
-null; labels without quality are left out. Without labelled rows all weights are zero and the tail probability is a half.
+the sum is over means, so a text's length does not matter. The fit reads a bounded, hashed sample; the driver holds eight bytes for each distinct
+feature of a sampled document.
+
+Nulls: a null text has only the constant feature; a null doc_id stays null; labels without quality are left out. Without labelled rows, as in
+empty tables, all weights are zero and the tail probability is a half. Texts are read whole, however long. Repeated rows of docs are
+scored each, and count as often in the fit; of a doc_id with several labels the highest grade counts. A tail of exactly a half is kept.
+Columns named expected_grade, tail or kept are replaced.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from operator import eq
@@ -98,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashing = per_worker("quality", Hashing)
+        hashing = per_worker("quality features", Hashing)
         found = [hashing.features(x) for x in texts_of(batch)]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "at": pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), "value": pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32())), "y": batch.column(2)})
 
@@ -111,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
 def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (with a column text) with expected_grade (0 to 2), tail (the probability of a grade above 0) and kept (a tail of at least a half)."""
     plain = docs.drop("expected_grade", "tail", "kept")
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("quality", model[0].tobytes(), model[1].tobytes())
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("quality", hashlib.sha256(model[0].tobytes() + model[1].tobytes()).hexdigest())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         weights, cuts = shared.value

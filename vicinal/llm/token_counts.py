@@ -5,7 +5,8 @@ bounded cache in each worker, which encodes what it misses. Pre-tokens never ent
 over the documents. The table only saves time; the counts do not depend on what is in it.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept as null. Empty tables give an empty
-result. Rows are never merged, so repeated rows give repeated results.
+result. Rows are never merged, so repeated rows give repeated results. Texts are counted whole, however long; runs longer than an
+entry are encoded each time. Ties of frequency only decide what is in the table. Only doc_id and text are read, so other columns cannot clash.
 """
 from __future__ import annotations
 
@@ -71,7 +72,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
         top = [(k, n) for k, n in seen.most_common(entries) if n > 1]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    sample = hashed_share(docs.select("doc_id", "text"), "doc_id", sample_docs / rows)
+    sample = hashed_share(docs.select("doc_id", "text"), ["doc_id", "text"], sample_docs / rows)
     total: Counter = Counter()
     for row in map_stream(sample.select("text"), tally, "piece string, n long").toLocalIterator():
         total[row["piece"]] += row["n"]
