@@ -296,29 +296,28 @@ def dense_groups(graph: DataFrame) -> DataFrame:
 
 
 def blocks_of(members: DataFrame, rows: int) -> DataFrame:
-    """Blocks (p, block, chunk, centre, radius, ids, n, vecs) of at most `rows` members (id, p, n, vec, root) of one root. The radius is an angle."""
+    """Blocks (p, block, chunk, centre, radius, ids, n, vecs) of about `rows` members (id, p, n, vec, root) of one root, dealt by hash, however the members are
+    partitioned. The radius is an angle. A chunk holds about CHUNK blocks, of one large root or of several small ones."""
     kind = blob_type(members)
 
-    def run(batches):
-        for held in batches:
-            p, root, ids, n = (held.column(k).to_numpy() for k in range(4))
-            vecs = held.column(4)
-            bounds, out = edges_between(p, root), []
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                for a in range(lo, hi, rows):
-                    b = min(hi, a + rows)
-                    raw = matrix(vecs.slice(a, b - a))
-                    x = unit(raw)
-                    centre = x.mean(axis=0)
-                    centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
-                    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
-                    out.append((int(p[a]), centre.tolist(), radius, ids[a:b].tobytes(), n[a:b].tobytes(), raw.astype(kind).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 3), strict=True)], ["p", "centre", "radius", "ids", "n", "vecs"])
-
-    laid = members.select("p", "root", "id", "n", "vec").repartitionByRange("p", "root", "id").sortWithinPartitions("p", "root", "id")
-    made = map_stream(laid, run, "p long, centre array<double>, radius double, ids binary, n binary, vecs binary", rows=4 * rows)
-    # The counter of a partition is in the low bits, so neighbouring blocks share a chunk.
-    return cut(made.withColumn("block", F.monotonically_increasing_id()).withColumn("chunk", F.floor(F.col("block") / CHUNK)))
+    def run(key, held):
+        ids, n = held.column("id").to_numpy(), held.column("n").to_numpy()
+        raw = matrix(held.column("vec").combine_chunks())
+        x = unit(raw)
+        centre = x.mean(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        out = ([key[0].as_py()], [key[3].as_py()], [centre.tolist()], [radius], [ids.tobytes()], [n.tobytes()], [raw.astype(kind).tobytes()])
+        types = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["p", "chunk", "centre", "radius", "ids", "n", "vecs"])
+
+    sizes = cut(members.groupBy("p", "root").agg(F.ceil(F.count("*") / rows).alias("blocks")))
+    chunks = sizes.groupBy("p").agg(F.ceil(F.sum("blocks") / CHUNK).alias("chunks"))
+    laid = members.join(sizes.join(chunks, "p"), ["p", "root"]).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = F.xxhash64("p", "root", F.floor(F.col("at") / CHUNK))
+    laid = laid.withColumn("chunk", F.when(F.col("blocks") > CHUNK, own).otherwise(F.xxhash64("p", F.pmod(F.xxhash64("root"), F.col("chunks")))))
+    made = laid.groupBy("p", "root", "at", "chunk").applyInArrow(run, "p long, chunk long, centre array<double>, radius double, ids binary, n binary, vecs binary")
+    return cut(made.withColumn("block", F.monotonically_increasing_id()))
 
 
 def blob_type(vectors: DataFrame) -> str:
