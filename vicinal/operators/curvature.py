@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import pairwise
+from ..functions.distance import distance, pairwise
 from .graph import canonical, effective_epsilon, mirror, with_neighbourhoods
-from .knn import stream, vectors
-from .paths import adjacency_of
+from .knn import stream
+from .paths import adjacency_of, pair_paths
 from .transport import wasserstein
 
 
@@ -93,6 +94,36 @@ def curvatures(edges: DataFrame, points: DataFrame, original_k: int, variant: St
     return mirror(solved, edges)
 
 
+DISTANCES = ("euclidean", "geodesic_euclidean", "geodesic_normalized", "geodesic_unit", "normalized")
+
+
+def pair_distances(pairs: DataFrame, edges: DataFrame, points: DataFrame, name: str, original_k: int, profile: Profile = Profile()) -> DataFrame:
+    """(src, dst, d) for pairs by one of DISTANCES: straight; along the graph by edge lengths, by effective epsilons, or by number of edges; or the pair's own effective epsilon.
+    Ways along a directed graph need not be symmetric, which is warned of."""
+    if name not in DISTANCES:
+        raise ValueError(f"unknown distance {name}; there are {', '.join(DISTANCES)}")
+    if name == "euclidean":
+        x, y = points.select(F.col("id").alias("src"), F.col("vec").alias("_x")), points.select(F.col("id").alias("dst"), F.col("vec").alias("_y"))
+        return pairs.select("src", "dst").join(x, "src").join(y, "dst").select("src", "dst", distance("_x", "_y").alias("d"))
+    if name == "normalized":
+        # A pair that is no edge has the epsilons of its ends all the same.
+        means = effective_epsilon(edges, original_k, profile.exact, pairs)
+        return means.select("src", "dst", F.col("eps").alias("d"))
+    if is_directed(edges):
+        warnings.warn("ways along a directed graph can differ by direction", stacklevel=2)
+    if name == "geodesic_normalized":
+        weighted = edges.select("src", "dst").join(effective_epsilon(edges, original_k, profile.exact), ["src", "dst"]).withColumnRenamed("eps", "dist")
+    else:
+        weighted = edges if name == "geodesic_euclidean" else edges.select("src", "dst", F.lit(1.0).alias("dist"))
+    return pair_paths(weighted, pairs).select("src", "dst", "d")
+
+
+def is_directed(edges: DataFrame) -> bool:
+    """Whether some edge lacks its reverse."""
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return not edges.select("src", "dst").join(turned, ["src", "dst"], "left_anti").isEmpty()
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     def kappa(w: float, d: float) -> float:
         return 1 - w / d if d else float("nan") if not w or math.isnan(w) else -math.inf
@@ -100,4 +131,4 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"src": pa.array([r[0] for r in rows], pa.int64()), "dst": pa.array([r[1] for r in rows], pa.int64()), "kappa": pa.array([kappa(r[2], r[3]) for r in rows], pa.float64()), "w1": pa.array([r[2] for r in rows], pa.float64()), "edge_dist": pa.array([r[3] for r in rows], pa.float64())})
 
 
-__all__ = ["Manifold", "Profile", "Standard", "curvatures", "vectors"]
+__all__ = ["DISTANCES", "Manifold", "Profile", "Standard", "curvatures", "is_directed", "pair_distances"]

@@ -1,35 +1,51 @@
 """Evaluation of graphs, scores and benchmark runs: aggregations and windows."""
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import distance
 from .graph import canonical
 from .paths import MOST_EDGES, adjacency_of
 from .knn import stream
 
 
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Ranks from 1 in which equal values share their mean rank. Without `by` all rows are one window."""
-    groups = by or []
-    return F.rank().over(Window.partitionBy(*groups).orderBy(column)) + (F.count("*").over(Window.partitionBy(*groups, column)) - 1) / 2
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with mean ranks; NaN without variance."""
     ranked = ranks_by_counts(ranks_by_counts(df.select(a, b), a, "ra"), b, "rb")
     return ranked.agg(F.coalesce(F.corr("ra", "rb"), F.lit(float("nan"))).alias("spearman"))
 
 
+#: Ranges of values that ranks are added up over.
+RANGES = 64
+
+
+def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
+    """The number of a value's range, with bounds that are fixed as literals, so that a task that runs again finds the same. Equal values share a range."""
+    bounds = sorted({float(b) for b in df.approxQuantile(column, [k / ranges for k in range(1, ranges)], 0.5 / ranges)})
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(column))) if bounds else F.lit(0)
+
+
+def before_in_order(counts: DataFrame, column: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """counts with _before, the sum of `value` over all rows of the group with a lesser `column` (distinct in a group). Windows hold one range of a group; the second step has RANGES rows a group."""
+    groups = by or []
+    ranged = counts.withColumn("_range", range_of(counts, column))
+    sizes = ranged.groupBy(*groups, "_range").agg(F.sum(value).alias("_size"))
+    lesser = sizes.withColumn("_lesser", F.sum("_size").over(Window.partitionBy(*groups, F.lit(0)).orderBy("_range")) - F.col("_size")).drop("_size")
+    within = F.sum(value).over(Window.partitionBy(*groups, "_range").orderBy(column)) - F.col(value)
+    own = ranged.withColumn("_within", within).withColumnRenamed("_range", "_own")
+    on = [F.col("_own") == F.col("_range"), *(F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)]
+    for g in groups:
+        lesser = lesser.withColumnRenamed(g, f"_{g}")
+    joined = own.join(lesser, on)
+    return joined.withColumn("_before", F.col("_lesser") + F.col("_within")).drop("_own", "_range", "_lesser", "_within", *(f"_{g}" for g in groups))
+
+
 def ranks_by_counts(df: DataFrame, column: str, name: str) -> DataFrame:
     """Mean ranks without a window over all rows: counts of distinct values, added up over ranges of values in two steps."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
-    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    before = parts.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))  # one row for each partition
-    placed = counts.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy(column)))
-    return df.join(placed.select(F.col(column).alias("_v"), (F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name)), F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
+    placed = before_in_order(df.groupBy(column).agg(F.count("*").alias("_n")), column, "_n")
+    return df.join(placed.select(F.col(column).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)), F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -37,8 +53,7 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
     groups = by or []
     clean = df.where(~F.isnan(score) & F.col(score).isNotNull())
     per = clean.groupBy(*groups, score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = per.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy(*groups).agg(F.sum("u").alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    total = before_in_order(per, score, "q", groups).withColumn("u", F.col("p") * (F.col("_before") + F.col("q") / 2)).groupBy(*groups).agg(F.sum("u").alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return total.where("np > 0 and nq > 0").select(*groups, (F.col("u") / (F.col("np") * F.col("nq"))).alias("auroc"))
 
 
@@ -105,18 +120,48 @@ def oracle_prune(edges: DataFrame, label: str = "shortcut") -> DataFrame:
 
 def rank_prune(scored: DataFrame, fraction: float, bridges: DataFrame | None = None) -> DataFrame:
     """Without the lowest bround(fraction * scored) edges by (kappa, src, dst); bridges and edges without a score stay."""
-    n = scored.where("kappa is not null").count()
-    take = int(round(fraction * n))
     open_edges = scored.where("kappa is not null")
+    take = int(round(fraction * open_edges.count()))
     if bridges is not None:
         open_edges = open_edges.join(bridges.select("src", "dst"), ["src", "dst"], "left_anti")
-    gone = open_edges.orderBy("kappa", "src", "dst").limit(take)
+    gone = open_edges.where(among_first(open_edges, ["kappa", "src", "dst"], take))
     return scored.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def among_first(df: DataFrame, columns: list[str], n: int, few: int = 4096) -> Column:
+    """Whether a row is among the first n in the order of number columns without nulls. The bound is found by counting in ever finer bins, so no task sorts all rows;
+    rows that agree in all columns are taken or left together."""
+    if n <= 0:
+        return F.lit(False)
+    c = F.col(columns[0])
+    low, high, below = *df.agg(F.min(c), F.max(c)).first(), 0
+    while True:
+        if low is None:
+            return F.lit(True)
+        inside = df.where(c.between(F.lit(low), F.lit(high)))
+        step = (float(high) - float(low)) / few
+        # Numbers that are one in double precision are told apart by themselves; there are few of them.
+        bin_of = F.floor((c.cast("double") - F.lit(float(low))) / F.lit(step)) if step > 0 else c
+        bins = inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy("low").collect()
+        for r in bins:
+            if below + r["n"] >= n:
+                break
+            below += r["n"]
+        else:
+            return F.lit(True)
+        low, high = r["low"], r["high"]
+        if low == high:  # all of the bin are equal
+            equal = c == F.lit(low)
+            rest = F.lit(True) if below + r["n"] == n or len(columns) == 1 else among_first(df.where(equal), columns[1:], n - below, few)
+            return (c < F.lit(low)) | (equal & rest)
+
+
 def random_prune(edges: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Without a seeded share of edges."""
-    return edges.where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) >= int(fraction * 1e6))
+    """Without round(fraction * edges) edges, those that come first by a seeded draw (60 bits of an md5)."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "src", "dst", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long")
+    drawn = edges.withColumn("_draw", draw)
+    take = int(round(fraction * edges.count()))
+    return drawn.where(~among_first(drawn, ["_draw", "src", "dst"], take)).drop("_draw")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
@@ -186,10 +231,63 @@ def shortcut_labels(edges: DataFrame, ratio: float = 0.67, stretch: float = 2.0,
     return stream(own, run, "src long, dst long, dist double, r double, s double", rows=256).withColumn("label", (F.col("r") < ratio) & (F.col("s") > stretch))
 
 
-def cluster_bootstrap(values: list[list[float]], draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float, float]:
-    """Mean, and the interval of means of resampled replicates, whose values are pooled."""
-    rng = np.random.default_rng(seed)
-    sums, sizes = np.array([sum(v) for v in values]), np.array([len(v) for v in values])
-    picks = rng.integers(len(values), size=(draws, len(values)))
-    means = sums[picks].sum(axis=1) / sizes[picks].sum(axis=1)
-    return float(sums.sum() / sizes.sum()), *map(float, np.quantile(means, [alpha / 2, 1 - alpha / 2]))
+def edge_ratios(edges: DataFrame, geodesic: DataFrame) -> DataFrame:
+    """edges (src, dst, dist) with r, their length over the true distance of their ends (src, dst, d_true); 1 where that is at most 1e-12."""
+    return edges.join(geodesic.select("src", "dst", "d_true"), ["src", "dst"]).withColumn("r", F.when(F.col("d_true") > 1e-12, F.col("dist") / F.col("d_true")).otherwise(F.lit(1.0))).drop("d_true")
+
+
+def sample_pairs(nodes: DataFrame, n: int, seed: int = 0, draws: int = 4) -> DataFrame:
+    """(src, dst), src < dst: about n distinct pairs of nodes (column id), at most all. Each node draws partners' numbers by hash, so no task sees all pairs."""
+    count = nodes.count()
+    n = min(n, count * (count - 1) // 2)
+    if n < 1:
+        return nodes.sparkSession.createDataFrame([], "src long, dst long")
+    numbered = before_in_order(nodes.select("id").distinct().withColumn("_one", F.lit(1)), "id", "_one").select("id", F.col("_before").alias("number"))
+    each = -(-draws * n // count)
+    drawn = numbered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", "number", "k", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long"))
+    met = drawn.select("id", F.pmod("h", F.lit(count)).alias("other"), "h").join(numbered.select(F.col("id").alias("to"), F.col("number").alias("other")), "other").where("id <> to")
+    pairs = met.groupBy(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst")).agg(F.min("h").alias("h"))
+    return pairs.where(among_first(pairs, ["h", "src", "dst"], n)).select("src", "dst")
+
+
+def select_band(pairs: DataFrame, low: float, high: float, n: int, seed: int = 0) -> DataFrame:
+    """At most n of the pairs (src, dst, d_true) whose distance lies in the band, by a seeded draw."""
+    inside = pairs.where(F.col("d_true").between(low, high)).withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", "src", "dst", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long"))
+    return inside.where(among_first(inside, ["_h", "src", "dst"], n)).drop("_h")
+
+
+def auroc_table(df: DataFrame, ratio: str, scores: dict[str, bool], grid: list[float], by: list[str]) -> DataFrame:
+    """by, tau, n_pos, n_neg, frac_pos and <score>_auroc for each score (true: higher is likelier): rows with a ratio below tau are positive. Groups with one class
+    drop out; scores that are null or NaN are left out for themselves."""
+    rows = df.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in grid]))).withColumn("_positive", F.col(ratio) < F.col("tau"))
+    keys = [*by, "tau"]
+    out = rows.groupBy(*keys).agg(F.count_if("_positive").alias("n_pos"), F.count_if(~F.col("_positive")).alias("n_neg")).where("n_pos > 0 and n_neg > 0").withColumn("frac_pos", F.col("n_pos") / (F.col("n_pos") + F.col("n_neg")))
+    for name, higher in scores.items():
+        signed = rows.withColumn("_score", F.col(name).cast("double") * (1 if higher else -1))
+        out = out.join(auroc(signed, "_score", "_positive", keys).withColumnRenamed("auroc", f"{name}_auroc"), keys, "left")
+    return out
+
+
+def verify_truth(truth: DataFrame, points: DataFrame, queries: DataFrame, metric: str = "euclidean", tolerance: float = 1e-6) -> DataFrame:
+    """The rows of truth (qid, rank, id, dist) whose distance is not that of their query and point, or that lie nearer than the rank before."""
+    both = truth.join(points.select("id", F.col("vec").alias("_x")), "id", "left").join(queries.select("qid", F.col("vec").alias("_q")), "qid", "left")
+    scored = both.withColumn("found", distance("_q", "_x", metric)).withColumn("before", F.lag("dist").over(Window.partitionBy("qid").orderBy("rank")))
+    wrong = F.col("found").isNull() | (F.abs(F.col("found") - F.col("dist")) > tolerance) | (F.col("dist") < F.col("before"))
+    return scored.where(F.coalesce(wrong, F.lit(False))).select("qid", "rank", "id", "dist", "found")
+
+
+def cluster_bootstrap(errors: DataFrame, replicate: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(mean, low, high): the mean of all values, and the interval of the means of resampled replicates, whose values are pooled. NaN without rows. Only sums and counts of
+    replicates are resampled: each draw takes as many replicates as there are, by a seeded hash of draw and place."""
+    sums = before_in_order(errors.where(F.col(value).isNotNull()).groupBy(replicate).agg(F.sum(value).alias("s"), F.count("*").alias("n")).withColumn("_one", F.lit(1)), replicate, "_one")
+    sums = sums.select("s", "n", F.col("_before").alias("at"))
+    count = sums.count()
+    nan = F.lit(float("nan"))
+    total = sums.agg(F.coalesce(F.sum("s") / F.sum("n"), nan).alias("mean"))
+    if not count:
+        return total.select("mean", nan.alias("low"), nan.alias("high"))
+    picks = errors.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("place"))
+    picks = picks.withColumn("at", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "place", F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(count)))
+    means = picks.join(sums, "at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    ends = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
+    return total.join(ends, F.lit(True))

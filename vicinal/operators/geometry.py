@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .knn import vectors
+from .knn import stream, vectors
 
 GEOMETRY = "id long, center array<double>, basis array<array<double>>, eig array<double>, used int, rounds int, error double"
 
@@ -130,6 +130,106 @@ def edge_weights(edges: DataFrame, geometry: DataFrame) -> DataFrame:
     return both.select("src", "dst", "chord", F.col("tx").alias("tangent_src"), ((F.col("tx") + F.col("ty")) / 2).alias("tangent_mean"), F.greatest("tx", "ty").alias("tangent_max"), F.when(raw < 0, F.col("chord")).otherwise(raw).alias("curvature_free"), (raw < 0).alias("negative"))
 
 
+def weighted_graph(points: DataFrame, k: int, method: PcaMethod | None = None, weight: str = "chord", candidate_k: int | None = None, metadata: DataFrame | None = None, **strategy) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, rank, dist) of the k-nearest-neighbour graph with dist replaced by the weight, and the nodes' geometries. With a candidate_k geometries are
+    fitted to that many neighbours, of which the graph keeps the k nearest. `metadata` (id, ...) is joined to the geometries."""
+    from .graph import knn_graph, with_metadata
+
+    if candidate_k is not None and candidate_k < k:
+        raise ValueError("candidate_k must be at least k")
+    near = knn_graph(points, candidate_k or k)
+    geometry = local_geometry(near, points, method, **strategy)
+    own = near.where(F.col("rank") <= k)
+    weights = edge_weights(own, geometry).select("src", "dst", F.col(weight).alias("dist"))
+    return own.select("src", "dst", "rank").join(weights, ["src", "dst"]), geometry if metadata is None else with_metadata(geometry, metadata)
+
+
+def local_distance(basis: Column | str, x: Column, y: Column) -> Column:
+    """The length of y - x within the tangent space."""
+    return norm(project(basis, F.zip_with(y, x, lambda a, b: a - b)))
+
+
+def reconstruct(center: Column, basis: Column, coordinates: Column) -> Column:
+    """The point with the given tangent coordinates: center + basis * coordinates."""
+    return F.zip_with(center, basis, lambda c, row: c + F.aggregate(F.zip_with(row, coordinates, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
+def recenter(geometry: DataFrame, centers: DataFrame) -> DataFrame:
+    """Geometries with the centres of centers (id, vec) in place of their own; bases and variances stay."""
+    return geometry.join(centers.select("id", F.col("vec").alias("_c")), "id").withColumn("center", F.col("_c")).drop("_c").select(*geometry.columns)
+
+
+def summary(geometry: DataFrame) -> DataFrame:
+    """(id, intrinsic_dim, total_variance, explained): the dimension, the sum of the kept variances and each one's share of it."""
+    total = F.aggregate("eig", F.lit(0.0), lambda s, v: s + v)
+    return geometry.select("id", F.size("eig").alias("intrinsic_dim"), total.alias("total_variance"), F.when(total > 0, F.transform("eig", lambda v: v / total)).otherwise(F.transform("eig", lambda v: F.lit(0.0))).alias("explained"))
+
+
+CRITERIA = "id long, max_relative_error double, distortion double"
+
+
+def evaluate_neighborhoods(edges: DataFrame, points: DataFrame, geometry: DataFrame) -> DataFrame:
+    """(id, max_relative_error, distortion) of each geometry over the neighbours of its node in edges."""
+    near = edges.join(points.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst").join(geometry.select(F.col("id").alias("src"), "center", "basis"), "src")
+
+    def run(key, rows):
+        center, basis, y = np.array(rows.column("center")[0].as_py(), float), np.array(rows.column("basis")[0].as_py(), float), vectors(rows.column("y"))
+        return pa.table({"id": [key[0].as_py()], "max_relative_error": [max_relative_error(center, basis, y)], "distortion": [distortion(basis, y)]})
+
+    return near.groupBy("src").applyInArrow(run, CRITERIA)
+
+
+def passes_threshold(scores: DataFrame, criterion: str, limit: float) -> DataFrame:
+    """Rows whose criterion is at most the limit."""
+    return scores.where(F.col(criterion) <= limit)
+
+
+def compare_geometries(pairs: DataFrame, geometry: DataFrame) -> DataFrame:
+    """(src, dst, angle): the greatest principal angle between the tangent spaces of both ends of pairs (src, dst)."""
+    g = geometry.select("id", "basis")
+    both = pairs.select("src", "dst").join(g.select(F.col("id").alias("src"), F.col("basis").alias("a")), "src").join(g.select(F.col("id").alias("dst"), F.col("basis").alias("b")), "dst")
+
+    def run(batches):
+        for batch in batches:
+            angles = [subspace_angle(np.array(a, float), np.array(b, float)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angles, pa.float64())], ["src", "dst", "angle"])
+
+    return stream(both.select("src", "dst", "a", "b"), run, "src long, dst long, angle double", rows=1024)
+
+
+def shells(edges: DataFrame, rounds: int) -> DataFrame:
+    """(src, dst, shell): every node within `rounds` edges of src, with the least number of edges; the graph's own shells, by joins."""
+    step = edges.select("src", "dst").distinct()
+    reached = step.select("src", "dst", F.lit(1).alias("shell")).where("src <> dst")
+    last = reached
+    for r in range(2, rounds + 1):
+        further = last.select("src", F.col("dst").alias("m")).join(step.select(F.col("src").alias("m"), "dst"), "m").select("src", "dst").where("src <> dst").distinct()
+        last = further.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("shell", F.lit(r))
+        reached = reached.union(last)
+    return reached
+
+
+def expanding_geometry(edges: DataFrame, points: DataFrame, method: PcaMethod | None = None, limit: float = 0.1, rounds: int = 3) -> DataFrame:
+    """One geometry for each source, from its graph shells: a further shell is taken while the greatest relative error stays within the limit."""
+    method = method or PcaMethod()
+    near = shells(edges, rounds).join(points.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst").join(points.select(F.col("id").alias("src"), F.col("vec").alias("x")), "src")
+
+    def run(key, rows):
+        order = np.lexsort((rows.column("dst").to_numpy(), rows.column("shell").to_numpy()))
+        x, y, shell = np.array(rows.column("x")[0].as_py(), float), vectors(rows.column("y"))[order], rows.column("shell").to_numpy()[order]
+        used, taken = int((shell == 1).sum()), 0
+        basis, eig = method.fit(x, y[:used])
+        for r in range(2, int(shell.max()) + 1):
+            n = int((shell <= r).sum())
+            wider = method.fit(x, y[:n])
+            if max_relative_error(x, wider[0], y[:n]) > limit:
+                break
+            (basis, eig), used, taken = wider, n, taken + 1
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "center": [x.tolist()], "basis": [basis.tolist()], "eig": [eig.tolist()], "used": pa.array([used], pa.int32()), "rounds": pa.array([taken], pa.int32()), "error": [max_relative_error(x, basis, y[:used])]})
+
+    return near.groupBy("src").applyInArrow(run, GEOMETRY)
+
+
 def diagnostics(weights: DataFrame) -> DataFrame:
     return weights.agg(F.count_if("negative").alias("n_negative_fallbacks"), F.count("*").alias("n_edges"))
 

@@ -83,10 +83,10 @@ def local_zscores(scores: DataFrame, score: str = "score") -> DataFrame:
     return moved.join(spread, "src").select("src", "dst", ((F.col(score) - F.col("_m")) / (1.4826 * F.col("_mad"))).alias("z"))
 
 
-def effective_epsilon(edges: DataFrame, original_k: int, exact: bool = False) -> DataFrame:
-    """(src, dst, eps): the greater of both ends' mean of nearest neighbour distances. By default the other end is left out and the
+def effective_epsilon(edges: DataFrame, original_k: int, exact: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """(src, dst, eps) of all edges, or of pairs (src, dst): the greater of both ends' mean of nearest neighbour distances. By default the other end is left out and the
     nearest original_k count; exact counts all and drops the nearest, where there are two. An end without any counts as 0."""
-    asked = edges.select("src", "dst")
+    asked = (edges if pairs is None else pairs).select("src", "dst")
     ends = asked.select("src", "dst", F.col("src").alias("at"), F.col("dst").alias("other")).union(asked.select("src", "dst", F.col("dst").alias("at"), F.col("src").alias("other")))
     near = ends.join(edges.select(F.col("src").alias("at"), F.col("dst").alias("n"), "dist"), "at")
     if not exact:
@@ -111,5 +111,33 @@ def score_statistics(scores: DataFrame, score: str = "kappa") -> DataFrame:
     return scores.agg(nan(F.avg(k)).alias("mean"), nan(F.stddev_pop(k)).alias("std"), nan(F.min(k)).alias("min"), nan(F.max(k)).alias("max"), nan(F.percentile(k, 0.5)).alias("median"), F.count_if(k > 0).alias("n_positive"), F.count_if(k < 0).alias("n_negative"))
 
 
+def with_metadata(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """nodes (id, ...) with the columns of metadata (id, ...); ValueError unless each node has exactly one row of it."""
+    ids = nodes.select("id").distinct()
+    if metadata.count() != ids.count() or not ids.join(metadata, "id", "left_anti").isEmpty():
+        raise ValueError("metadata needs one row for each node")
+    return nodes.join(metadata, "id")
+
+
+def has_metadata(nodes: DataFrame, own: tuple[str, ...] = ("id",)) -> bool:
+    return any(c not in own for c in nodes.columns)
+
+
+def node_neighbors(edges: DataFrame, nodes: DataFrame, weight: str = "dist") -> DataFrame:
+    """(id, neighbors, weights) of nodes (column id), in order of weight, then of id; empty lists for nodes without edges."""
+    lists = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(weight).alias("w"), F.col("dst").alias("n")))).alias("e"))
+    empty = F.array().cast("array<struct<w: double, n: long>>")
+    return nodes.select("id").join(lists, "id", "left").withColumn("e", F.coalesce("e", empty)).select("id", F.col("e.n").alias("neighbors"), F.col("e.w").alias("weights"))
+
+
+def edge_weight(edges: DataFrame, pairs: DataFrame, weight: str = "dist") -> DataFrame:
+    """(src, dst, weight) of pairs; null where there is no edge."""
+    return pairs.select("src", "dst").join(edges.groupBy("src", "dst").agg(F.min(weight).alias("weight")), ["src", "dst"], "left")
+
+
+def passes_threshold(kappa: Column, threshold: float) -> Column:
+    return kappa >= threshold
+
+
 def is_positive(kappa: Column) -> Column:
     return kappa > 0

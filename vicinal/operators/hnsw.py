@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import stream, top_k, vectors
+from .knn import Searchable, check_dimensions, stream, top_k, vectors
 from .nndescent import cut
 
 #: Expected points of a shard.
 SHARD = 20_000
+#: Queries that meet a part at once.
+QUERIES = 16_384
 
 
 def closest(ids: list[tuple[float, int]], m: int, between) -> list[tuple[float, int]]:
@@ -118,16 +120,21 @@ class Graph:
 
 
 @dataclass
-class HnswIndex:
+class HnswIndex(Searchable):
+    """shards: (shard, part, graph); a shard is a bucket or a hash class, its parts hold about SHARD points each."""
+
     params: Params
     shards: DataFrame
+    mutable, layered, metadata = True, True, True
 
     @classmethod
     def build(cls, points: DataFrame, params: Params | None = None, shard: str | None = None) -> HnswIndex:
-        """shard names a column that deals points to shards; else a hash deals them to shards of about SHARD points."""
+        """shard names a column that deals points to shards; else all are one. A hash deals a shard's points to parts of about SHARD points."""
+        check_dimensions(points)
         params = params or Params()
-        count = max(1, -(-points.count() // SHARD))
-        dealt = points.select("id", "vec", (F.col(shard).cast("long") if shard else F.pmod(F.xxhash64("id"), F.lit(count))).alias("shard"))
+        own = points.select("id", "vec", (F.col(shard).cast("long") if shard else F.lit(0).cast("long")).alias("shard"))
+        sizes = own.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("parts"))
+        dealt = own.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("shard", "part", "id", "vec")
 
         def make(key, rows):
             x, ids = vectors(rows.column("vec")), rows.column("id").to_numpy()
@@ -136,13 +143,46 @@ class HnswIndex:
             graph.x, graph._room = x[order], True
             for k in order:
                 graph.insert(int(ids[k]), x[k])
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
+
+        return cls(params, cut(dealt.groupBy("shard", "part").applyInArrow(make, "shard long, part long, graph binary")))
+
+    def configured_k(self) -> int:
+        return self.params.m
+
+    def insert(self, more: DataFrame) -> HnswIndex:
+        """A new index with more points, in further parts. Ids go on without a gap where the index ends, or a ValueError is raised."""
+        last = self.nodes().agg(F.max("id")).first()[0]
+        low, high, n, distinct = more.agg(F.min("id"), F.max("id"), F.count("*"), F.count_distinct("id")).first()
+        if n and (low != (-1 if last is None else last) + 1 or high - low + 1 != n or n != distinct):
+            raise ValueError(f"ids must follow {last} without a gap")
+        further = HnswIndex.build(more, self.params).shards
+        first = (self.shards.agg(F.max("part")).first()[0] or 0) + 1
+        return HnswIndex(self.params, self.shards.union(further.withColumn("part", F.col("part") + first)))
+
+    def nodes(self) -> DataFrame:
+        """(id) of all points."""
+
+        def run(batches):
+            for batch in batches:
+                for blob in batch.column(2).to_pylist():
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(pickle.loads(blob).ids, pa.int64())})
 
-        return cls(params, cut(dealt.groupBy("shard").applyInArrow(make, "shard long, graph binary")))
+        return stream(self.shards, run, "id long", rows=1)
 
     def search(self, queries: DataFrame, k: int, ef: int | None = None, routed: bool = False) -> DataFrame:
-        """All queries in all shards; with routed, queries name their shards in a column `shard`."""
-        asked = queries.select("qid", "vec", "shard") if routed else queries.select("qid", "vec").join(self.shards.select(F.col("shard").alias("shard")), F.lit(True))
+        """All queries in all shards; with routed, queries name their shards in a column `shard`. A stated query set is searched in every part, in blocks of QUERIES."""
+        check_dimensions(queries)
+        places = self.shards.select("shard", "part")
+        blocked = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERIES)))))
+        if routed:
+            asked = blocked.select("qid", "vec", "block", "shard").join(places, "shard")
+        else:  # the numbers of all parts, a row for each SHARD points
+            numbers = [(r["shard"], r["part"]) for r in places.collect()]
+            everywhere = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("shard"), F.lit(p).cast("long").alias("part")) for s, p in numbers])) if numbers else F.lit(None).cast("struct<shard: long, part: long>")
+            asked = blocked.select("qid", "vec", "block", everywhere.alias("at")).select("qid", "vec", "block", "at.shard", "at.part")
+        wanted = asked.select(F.col("shard").alias("s"), F.col("part").alias("p"), F.col("block").alias("b")).distinct()
+        graphs = wanted.join(self.shards.select(F.col("shard").alias("s"), F.col("part").alias("p"), "graph"), ["s", "p"])
 
         def run(key, left, right):
             out = []
@@ -153,14 +193,14 @@ class HnswIndex:
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             return pa.table({"qid": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
 
-        return top_k(asked.groupBy("shard").cogroup(self.shards.groupBy("shard")).applyInArrow(run, "qid long, id long, dist double"), k)
+        return top_k(asked.groupBy("shard", "part", "block").cogroup(graphs.groupBy("s", "p", "b")).applyInArrow(run, "qid long, id long, dist double"), k)
 
     def edges(self) -> DataFrame:
         """(layer, src, dst) of all shards."""
 
         def run(batches):
             for batch in batches:
-                for blob in batch.column(1).to_pylist():
+                for blob in batch.column(2).to_pylist():
                     g = pickle.loads(blob)
                     rows = [(lv, g.ids[i], g.ids[j]) for i, levels in enumerate(g.links) for lv, own in enumerate(levels) for j in own]
                     a, b, c = zip(*rows, strict=True) if rows else ((), (), ())

@@ -6,6 +6,7 @@ Points and queries are DataFrames (id long, vec array<double>), (qid long, vec a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,60 @@ def vectors(column: pa.Array) -> np.ndarray:
 
 
 def stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = POINT_ROWS) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    """fn over each task's Arrow batches, sliced to at most `rows` rows; the session's settings stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def check_dimensions(points: DataFrame, queries: DataFrame | None = None, column: str = "vec") -> int:
-    """The one dimension of all vectors; ValueError where there are several, or none."""
-    sizes = {r[0] for df in (points, queries) if df is not None for r in df.select(F.size(column)).distinct().limit(3).collect()}
-    if len(sizes) != 1 or min(sizes) < 1:
-        raise ValueError(f"vectors need one dimension, found {sorted(sizes)}")
-    return sizes.pop()
+    """The one dimension of all vectors (0 without any); ValueError where there are several, or a vector is null or empty. Every search asks this first."""
+    sizes = points.select(F.coalesce(F.size(column), F.lit(-1)).alias("n"))
+    if queries is not None:
+        sizes = sizes.union(queries.select(F.coalesce(F.size(column), F.lit(-1))))
+    low, high = sizes.agg(F.min("n"), F.max("n")).first()
+    if low != high or low is not None and low < 1:
+        raise ValueError(f"vectors need one dimension, found {low} to {high}")
+    return low or 0
+
+
+class Searchable:
+    """What an index can do; subclasses say more where they can."""
+
+    #: Whether insert works, whether the index has layers, and whether its graph can carry metadata.
+    mutable, layered, metadata = False, False, False
+    metric = "euclidean"
+
+    def insert(self, more: DataFrame):
+        raise NotImplementedError(f"{type(self).__name__} takes no further points")
+
+    def configured_k(self) -> int | None:
+        """Neighbours of a node, where that is part of the index."""
+        return None
+
+    def edges(self) -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} has no graph")
+
+
+@dataclass
+class BruteForce(Searchable):
+    """All points, compared with every query."""
+
+    points: DataFrame
+    metric: str = "euclidean"
+    mutable = True
+
+    def insert(self, more: DataFrame) -> BruteForce:
+        """A new index with more points (id, vec); ValueError where an id is there already, or the dimension differs."""
+        check_dimensions(self.points, more)
+        if not more.select("id").join(self.points.select("id"), "id", "left_semi").isEmpty() or more.count() != more.select("id").distinct().count():
+            raise ValueError("an id is there already")
+        return BruteForce(self.points.select("id", "vec").union(more.select("id", "vec")), self.metric)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search(self.points, queries, k, self.metric)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -64,7 +109,8 @@ def search(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
 
     Queries and points are dealt into blocks that meet pairwise (a stated query set against all rows, in blocks). Every pair of blocks keeps
     at most k points for each query before anything is shuffled for the final top k. With one block of queries, it is broadcast
-    (at most QUERY_BLOCK vectors) and points do not move at all. k <= 0 gives an empty result."""
+    (at most QUERY_BLOCK vectors) and points do not move at all. k <= 0 gives an empty result; vectors of several sizes raise a ValueError."""
+    check_dimensions(points, queries)
     if k <= 0:
         return points.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
     options = {"metric": metric, "p": p, "weights": weights}

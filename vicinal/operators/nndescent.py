@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
-from .knn import rerank
+from .knn import check_dimensions, rerank
 from .trees import Forest, max_leaf_size
 
 
@@ -16,7 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder that the session names."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,17 +40,23 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Points of a random order that starting neighbours are taken from.
+GROUP = 8192
+
+
 def build(points: DataFrame, k: int = 15, rounds: int = 10, init: str = "random", sampling: Sampling | None = None, metric: str = "sqeuclidean", threshold: float = 1e-3, seed: int = 0, symmetry: str = "full") -> DataFrame:
     """An approximate k-nearest-neighbour graph (src, dst, dist, rank). symmetry: full adds all reversed edges, pruned at most half
-    as many again as k, none leaves k nearest."""
+    as many again as k, none leaves k nearest; continuous adds reversed edges after each round, so that later rounds start from them."""
+    check_dimensions(points)
     if init == "rptree":
-        start = Forest.build(points, stop=max_leaf_size(2 * k), n_trees=3, seed=seed).candidates(points.select(F.col("id").alias("qid"), "vec")).where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"))
+        found = Forest.build(points, stop=max_leaf_size(2 * k), n_trees=3, seed=seed).search(points.select(F.col("id").alias("qid"), "vec"), k, exclude_self=True)
+        start = found.select(F.col("qid").alias("src"), F.col("id").alias("dst"))
     else:
-        # Successors in several seeded orders, so that every point has k random starting neighbours.
-        starts = []
+        # Successors in several seeded orders, so that every point has k random starting neighbours. An order holds about GROUP points, dealt anew for each.
+        starts, groups = [], max(1, -(-points.count() // GROUP))
         for t in range(k):
-            shuffled = points.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(64)).alias("g"), F.xxhash64("id", F.lit(seed + 1 + t)).alias("h"))
-            order = Window.partitionBy(F.pmod("g", F.lit(1 + t % 4))).orderBy("h")
+            shuffled = points.select("id", F.pmod(F.xxhash64("id", F.lit(seed + 1 + t)), F.lit(groups)).alias("g"), F.xxhash64("id", F.lit(-1 - seed - t)).alias("h"))
+            order = Window.partitionBy("g").orderBy("h", "id")
             starts.append(shuffled.select(F.col("id").alias("src"), F.lead("id").over(order).alias("dst")).where("dst is not null"))
         start = starts[0]
         for s in starts[1:]:
@@ -65,6 +74,8 @@ def build(points: DataFrame, k: int = 15, rounds: int = 10, init: str = "random"
             pairs = pairs.where(F.pmod(F.xxhash64("x", "y", F.lit(r)), F.lit(1_000_000)) < int(sampling.rate * 1e6))
         both = pairs.select(F.col("x").alias("src"), F.col("y").alias("dst")).union(pairs.select(F.col("y").alias("src"), F.col("x").alias("dst")))
         better = score(both, points, metric).withColumn("fresh", F.lit(True))
+        if symmetry == "continuous":
+            better = better.union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", F.lit(True).alias("fresh")))
         merged = graph.select("src", "dst", "dist", F.lit(False).alias("fresh")).union(better).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
         graph = cut(nearest(merged, k).select("src", "dst", "dist", "rank", "fresh"))
         if graph.where("fresh").count() < threshold * n * k:
@@ -81,9 +92,10 @@ def symmetrized(graph: DataFrame, k: int | None = None, strict_reference: bool =
 
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, hops: int = 6, entries: int = 16, beam: int = 32, seed: int = 0, metric: str = "sqeuclidean") -> DataFrame:
     """Best-first search of all queries at once: from seeded entry points, the neighbours of the best `beam` are scored hop after hop."""
+    check_dimensions(points, queries)
     entry = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(entries).select("id")
-    # At most `entries` ids meet each query.
-    seen = rerank(queries.select("qid").join(F.broadcast(entry), F.lit(True)), points, queries, beam, metric)
+    ids = [r["id"] for r in entry.collect()]  # `entries` ids
+    seen = rerank(queries.select("qid", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("id")), points, queries, beam, metric)
     for _ in range(hops):
         further = seen.select("qid", "id").join(graph.select(F.col("src").alias("id"), "dst"), "id").select("qid", F.col("dst").alias("id"))
         after = cut(rerank(seen.select("qid", "id").union(further), points, queries, beam, metric))

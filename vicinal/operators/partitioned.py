@@ -5,11 +5,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance
-from .knn import rerank, top_k
+from ..functions.distance import distance, pairwise
+from .knn import Searchable, check_dimensions, stream, top_k, vectors
+from .nndescent import cut
 from .transforms import KMeans
 
 
@@ -41,7 +43,7 @@ def disjoint_merge(parts: DataFrame, k: int) -> DataFrame:
 
 
 @dataclass
-class IvfFlat:
+class IvfFlat(Searchable):
     """Lists of points by nearest centroid; a query reads the lists of its nprobe nearest centroids."""
 
     model: KMeans
@@ -50,10 +52,12 @@ class IvfFlat:
 
     @classmethod
     def build(cls, points: DataFrame, nlist: int, seed: int = 0, rounds: int = 25, start: np.ndarray | None = None, metric: str = "euclidean") -> IvfFlat:
+        check_dimensions(points)
         model = KMeans.fit(points, nlist, rounds, seed, sample=max(256 * nlist, 32_768), start=start)
         return cls(model, model.transform(points).select("id", "vec", "bucket"), metric)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 10) -> DataFrame:
+        check_dimensions(self.lists, queries)
         route = top_routing(nprobe)
         probes = self.model.transform(queries, "qid").select("qid", "vec", F.explode(route("distances")).alias("bucket"))
         scored = probes.withColumnRenamed("vec", "_q").join(self.lists, "bucket").select("qid", "id", distance("_q", "vec", self.metric).alias("dist"))
@@ -77,45 +81,69 @@ class Transformed:
     seed: int = 0
 
 
+#: Points of a bucket that its centroids are fitted to.
+SAMPLE = 32_768
+
+
 @dataclass
-class MultiLevel:
+class MultiLevel(Searchable):
     """A tree of transforms, as a path column of bucket numbers. Every level is one more join key; ids stay global."""
 
     config: Transformed | Terminal
-    models: list[dict[tuple[int, ...], KMeans]]
+    models: list[dict[str, np.ndarray]]
     points: DataFrame
 
     @classmethod
     def build(cls, points: DataFrame, config: Transformed | Terminal, rounds: int = 10) -> MultiLevel:
+        """One grouped pass fits all buckets of a level, each from a hashed sample of at most SAMPLE points, and one pass deals the points."""
+        check_dimensions(points)
         level, frame, models = config, points.select("id", "vec", F.lit("").alias("path")), []
         while isinstance(level, Transformed):
-            fitted = {}
-            for row in frame.groupBy("path").agg(F.count("*").alias("n")).orderBy("path").collect():
-                own = frame.where(F.col("path") == row["path"])
-                fitted[row["path"]] = KMeans.fit(own.select("id", "vec"), min(level.buckets, row["n"]), rounds, level.seed)
+            fitted = cls._fit(frame, level, rounds)
             models.append(fitted)
-            frame = cls._route(frame, fitted, 1, "id").select("id", "vec", "path")
+            frame = cut(cls._route(frame, fitted, 1, "id"))
             level = level.child
         return cls(config, models, frame)
 
     @staticmethod
-    def _route(frame: DataFrame, fitted: dict, probes: int | None, key: str) -> DataFrame:
-        parts = None
-        for path, model in fitted.items():
-            moved = model.transform(frame.where(F.col("path") == path).select(key, "vec"), key)
-            pick = exhaustive_routing() if probes is None else top_routing(probes)
-            part = moved.select(key, "vec", F.explode(pick("distances")).alias("_b")).select(key, "vec", F.concat(F.lit(path + "/"), F.col("_b").cast("string")).alias("path"))
-            parts = part if parts is None else parts.union(part)
-        return parts
+    def _fit(frame: DataFrame, level: Transformed, rounds: int) -> dict[str, np.ndarray]:
+        """Centroids by path. Their number is that of the level's buckets, which the configuration bounds."""
+        order = Window.partitionBy("path").orderBy(F.xxhash64("id", F.lit(level.seed)), "id")
+        sample = frame.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).drop("_r")
+        buckets, seed = level.buckets, level.seed
+
+        def run(key, rows):
+            by = np.argsort(rows.column("id").to_numpy(), kind="stable")
+            return pa.table({"path": [key[0].as_py()], "centroids": [KMeans.local(vectors(rows.column("vec"))[by], buckets, rounds, seed).tolist()]})
+
+        found = sample.groupBy("path").applyInArrow(run, "path string, centroids array<array<double>>").collect()
+        return {r["path"]: np.array(r["centroids"], float) for r in found}
+
+    @staticmethod
+    def _route(frame: DataFrame, fitted: dict[str, np.ndarray], probes: int | None, key: str) -> DataFrame:
+        """(key, vec, path) with each row's nearest buckets, all of them without probes. Rows under a path that no point has drop out."""
+
+        def run(batches):
+            for batch in batches:
+                paths, x = np.array(batch.column(2).to_pylist()), vectors(batch.column(1))
+                rows, names = [], []
+                for path in np.unique(paths).tolist():
+                    if path in fitted:
+                        own = np.flatnonzero(paths == path)
+                        d = pairwise(x[own], fitted[path])
+                        near = np.argsort(d, axis=1, kind="stable")[:, : len(fitted[path]) if probes is None else probes]
+                        rows.append(np.repeat(own, near.shape[1]))
+                        names += [f"{path}/{j}" for j in near.ravel().tolist()]
+                at = pa.array(np.concatenate(rows) if rows else np.zeros(0, int))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names, pa.string())], [key, "vec", "path"])
+
+        return stream(frame.select(key, "vec", "path"), run, f"{key} long, vec array<double>, path string")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
+        check_dimensions(self.points, queries)
         level, frame = self.config, queries.select("qid", "vec", F.lit("").alias("path"))
         for fitted in self.models:
             frame = self._route(frame, fitted, level.probes, "qid")
             level = level.child
         scored = frame.withColumnRenamed("vec", "_q").join(self.points, "path").select("qid", "id", distance("_q", "vec", level.metric).alias("dist"))
         return simple_merge(scored, k)
-
-
-def exact_within(candidates: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    return rerank(candidates, points, queries, k, metric)

@@ -6,17 +6,22 @@ all sources at once by joins, round after round.
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import pairwise
+from .geometry import PcaMethod, curvature_indicator
 from .knn import search, stream, vectors
 from .nndescent import cut
 
 #: Edges of an adjacency that tasks hold: 12 bytes each.
 MOST_EDGES = 20_000_000
+#: Numbers of all geometries that tasks hold: eight bytes each.
+MOST_NUMBERS = 30_000_000
 
 
 class Adjacency:
@@ -63,6 +68,8 @@ class Adjacency:
 def adjacency_of(edges: DataFrame, nodes: DataFrame | None = None, weight: str = "dist") -> Adjacency:
     if edges.count() > MOST_EDGES:
         raise ValueError("too many edges for one task's memory; use hop_relax")
+    if nodes is not None and nodes.count() > MOST_EDGES:
+        raise ValueError("too many nodes for one task's memory; use hop_relax")
     held = edges.groupBy("src", "dst").agg(F.min(weight).alias("w")).toArrow()
     return Adjacency(held.column("src").to_numpy(), held.column("dst").to_numpy(), held.column("w").to_numpy().astype(float), None if nodes is None else nodes.select("id").toArrow().column("id").to_numpy())
 
@@ -123,11 +130,31 @@ def pair_paths(edges: DataFrame, pairs: DataFrame, weight: str = "dist") -> Data
     return stream(pairs.select("src", "dst"), run, "src long, dst long, d double, path array<long>", rows=256)
 
 
-def point_geodesics(points: DataFrame, edges: DataFrame, queries: DataFrame, targets: DataFrame, entry_k: int = 5) -> DataFrame:
-    """(qid, dst, d): from each outside point (qid, vec) over its entry_k nearest nodes to each target node (column id), by one run with several starts."""
+def entries_of(points: DataFrame, queries: DataFrame, entry_k: int, method: PcaMethod) -> DataFrame:
+    """(qid, e): of each outside point (qid, vec) the entry_k nearest nodes with their local distances, the lengths of the offsets within the tangent space that the entries span."""
+    queries = queries.select(F.col("qid").cast("long"), "vec")
+    near = search(points, queries, entry_k).join(points.select("id", F.col("vec").alias("y")), "id").join(queries, "qid")
+
+    def run(key, rows):
+        by = np.argsort(rows.column("rank").to_numpy())
+        x, y = np.array(rows.column("vec")[0].as_py(), float), vectors(rows.column("y"))[by]
+        basis, _ = method.fit(x, y)
+        local = np.linalg.norm((y - x) @ basis, axis=1)
+        entries = [{"id": int(i), "dist": float(d)} for i, d in zip(rows.column("id").to_numpy()[by], local, strict=True)]
+        return pa.table({"qid": [key[0].as_py()], "e": pa.array([entries], pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())])))})
+
+    return near.groupBy("qid").applyInArrow(run, "qid long, e array<struct<id: long, dist: double>>")
+
+
+def point_geodesics(points: DataFrame, edges: DataFrame, queries: DataFrame, targets: DataFrame, entry_k: int = 5, method: PcaMethod | None = None) -> DataFrame:
+    """(qid, dst, d): from each outside point (qid, vec) over its entry_k nearest nodes to each target node (column id), by one run with several starts.
+    The way to an entry is as long as within the tangent space fitted at the point. Targets are nodes, so they are bounded as the adjacency is."""
     graph = adjacency_of(edges, points.select("id"))
-    shared = edges.sparkSession.sparkContext.broadcast((graph, targets.select("id").toArrow().column("id").to_numpy()))
-    entries = search(points, queries, entry_k).groupBy("qid").agg(F.collect_list(F.struct("id", "dist")).alias("e"))
+    ends = targets.select(F.col("id").cast("long")).distinct()
+    if ends.count() > MOST_EDGES:
+        raise ValueError("too many targets for one task's memory")
+    shared = edges.sparkSession.sparkContext.broadcast((graph, ends.toArrow().column("id").to_numpy()))
+    entries = entries_of(points, queries, entry_k, method or PcaMethod())
 
     def run(batches):
         g, ends = shared.value
@@ -140,6 +167,54 @@ def point_geodesics(points: DataFrame, edges: DataFrame, queries: DataFrame, tar
     return stream(entries, run, "qid long, dst long, d double", rows=64)
 
 
+def point_pair_geodesics(points: DataFrame, edges: DataFrame, queries: DataFrame, pairs: DataFrame, entry_k: int = 5, method: PcaMethod | None = None) -> DataFrame:
+    """(a, b, d) for pairs (a, b) of outside points (qid, vec): the least of local way, graph way and local way over the entries of both."""
+    graph = adjacency_of(edges, points.select("id"))
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    entries = entries_of(points, queries, entry_k, method or PcaMethod())
+    both = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).join(entries.select(F.col("qid").alias("a"), F.col("e").alias("ea")), "a").join(entries.select(F.col("qid").alias("b"), F.col("e").alias("eb")), "b")
+
+    def run(batches):
+        g = shared.value
+        for batch in batches:
+            out = []
+            for ea, eb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                dist, _ = g.dijkstra({g.place(e["id"]): e["dist"] for e in ea})
+                out.append(min(float(dist[g.place(e["id"])]) + e["dist"] for e in eb))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "d"])
+
+    return stream(both.select("a", "b", "ea", "eb"), run, "a long, b long, d double", rows=256)
+
+
+@dataclass
+class GeodesicModel:
+    """A weighted graph on points with what its distances need. `edges` are (src, dst, dist), dist being the chosen weight."""
+
+    points: DataFrame
+    edges: DataFrame
+    geometry: DataFrame
+    k: int
+    method: PcaMethod
+
+    @classmethod
+    def build(cls, points: DataFrame, k: int = 10, method: PcaMethod | None = None, weight: str = "chord", candidate_k: int | None = None) -> GeodesicModel:
+        """From the k-nearest-neighbour graph; `weight` names a column of geometry.edge_weights."""
+        from .geometry import weighted_graph
+
+        method = method or PcaMethod()
+        edges, geometry = weighted_graph(points, k, method, weight, candidate_k)
+        return cls(points, cut(edges), cut(geometry), k, method)
+
+    def node_to_node(self, pairs: DataFrame) -> DataFrame:
+        return pair_paths(self.edges, pairs)
+
+    def point_to_node(self, queries: DataFrame, targets: DataFrame, entry_k: int = 5) -> DataFrame:
+        return point_geodesics(self.points, self.edges, queries, targets, entry_k, self.method)
+
+    def point_to_point(self, queries: DataFrame, pairs: DataFrame, entry_k: int = 5) -> DataFrame:
+        return point_pair_geodesics(self.points, self.edges, queries, pairs, entry_k, self.method)
+
+
 def path_segments(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, step, a, b, w): a path's edges with their weights; one that is missing has the mean weight."""
     steps = paths.select("src", "dst", F.posexplode("path").alias("step", "a"))
@@ -164,22 +239,44 @@ def subdivide(line: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([*(a + t * (b - a) for a, b in zip(line, line[1:], strict=False)), line[-1:]])
 
 
-def smooth(line: np.ndarray, centers: np.ndarray, bases: np.ndarray, parts: int = 5, rounds: int = 20, tolerance: float = 1e-4, rate: float = 0.5) -> np.ndarray:
-    """Inner points move towards their neighbours' middle, within the tangent space of the nearest geometry, all at once in each round."""
+@dataclass
+class Geometries:
+    """Centres, tangent bases and curvature indicators of all nodes, for the nearest one to any point (the least id among equally near ones)."""
+
+    centers: np.ndarray
+    bases: list[np.ndarray]
+    indicators: np.ndarray
+
+    @classmethod
+    def collect(cls, points: DataFrame, geometry: DataFrame) -> Geometries:
+        """All nodes' geometries, in order of id; their size is checked."""
+        held = points.select("id", "vec").join(geometry.select("id", "basis", "eig"), "id")
+        if (held.agg(F.sum(F.size("vec") * (F.lit(1) + F.size(F.col("basis")[0])))).first()[0] or 0) > MOST_NUMBERS:
+            raise ValueError("too many geometries for one task's memory")
+        rows = held.orderBy("id").toArrow()
+        return cls(vectors(rows.column("vec")), [np.array(b, float) for b in rows.column("basis").to_pylist()], np.array([curvature_indicator(e) for e in rows.column("eig").to_pylist()]))
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), int)
+        for k in range(0, len(x), 256):
+            out[k : k + 256] = pairwise(x[k : k + 256], self.centers, "sqeuclidean").argmin(axis=1)
+        return out
+
+    def within_tangent(self, x: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        """The part of each move that lies in the tangent space of the geometry nearest to its point."""
+        return np.array([self.bases[n] @ (self.bases[n].T @ m) for n, m in zip(self.nearest(x).tolist(), moves, strict=True)]).reshape(moves.shape)
+
+
+def smooth(line: np.ndarray, geometries: Geometries, parts: int = 5, rounds: int = 20, tolerance: float = 1e-4, rate: float = 0.5) -> np.ndarray:
+    """Inner points move towards their neighbours' middle, within the tangent space of the nearest of all geometries shifted to the point, all at once in each round."""
     line = subdivide(line, parts)
     for _ in range(rounds):
         if len(line) < 3:
             break
         inner = line[1:-1]
-        move = rate * ((line[:-2] + line[2:]) / 2 - inner)
-        near = ((inner[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-        b = bases[near]
-        moved = inner + move
-        local = np.einsum("ndk,nd->nk", b, moved - centers[near])
-        fresh = centers[near] + np.einsum("ndk,nk->nd", b, local)
-        change = np.abs(fresh - inner).max()
-        line = np.concatenate([line[:1], fresh, line[-1:]])
-        if change < tolerance:
+        move = rate * geometries.within_tangent(inner, (line[:-2] + line[2:]) / 2 - inner)
+        line = np.concatenate([line[:1], inner + move, line[-1:]])
+        if np.linalg.norm(move, axis=1).max() < tolerance:
             break
     return line
 
@@ -188,24 +285,32 @@ def length(line: np.ndarray) -> float:
     return float(np.linalg.norm(np.diff(line, axis=0), axis=1).sum())
 
 
-def refine_paths(paths: DataFrame, points: DataFrame, geometry: DataFrame, parts: int = 5, rounds: int = 20, corrections: bool = False, length_scale: float = 1.0) -> DataFrame:
-    """(src, dst, d_path, d_refined) of paths, smoothed along tangent spaces; with corrections, segments are lengthened by curvature.
-    Each task gets only the points and geometries of its own paths, by joins."""
-    from .geometry import curvature_indicator
-
-    flat = paths.select("src", "dst", F.posexplode("path").alias("step", "id")).join(points.select("id", "vec"), "id").join(geometry.select("id", "basis", "eig"), "id")
+def refine_paths(paths: DataFrame, points: DataFrame, geometry: DataFrame, parts: int = 5, rounds: int = 20, corrections: bool = False, length_scale: float = 1.0, base: bool = True, edges: DataFrame | None = None) -> DataFrame:
+    """(src, dst, d_path, d_refined) of paths (src, dst, path): the length along the nodes and the refined one. With `base` paths are cut and smoothed along tangent spaces; without it
+    segments are the path's own, as long as their edge (src, dst, dist) of `edges` says. With corrections each segment is lengthened by the curvature of the geometry nearest
+    to its midpoint. The geometries of all nodes are broadcast (their size is checked); each task gets only the points of its own paths, by a join."""
+    if length_scale <= 0:
+        raise ValueError("length_scale must be positive")
+    shared = paths.sparkSession.sparkContext.broadcast(Geometries.collect(points, geometry))
+    flat = paths.select("src", "dst", F.posexplode("path").alias("step", "id")).join(points.select("id", "vec"), "id")
+    if base or edges is None:
+        flat = flat.withColumn("w", F.lit(None).cast("double"))
+    else:
+        legs = path_segments(paths, edges).select("src", "dst", "step", "w")
+        flat = flat.join(legs, ["src", "dst", "step"], "left")
 
     def run(key, rows):
         by = np.argsort(rows.column("step").to_numpy())
-        line = vectors(rows.column("vec"))[by]
-        bases = [np.array(rows.column("basis")[int(k)].as_py()) for k in by]
-        width = min(b.shape[1] for b in bases)
-        fine = smooth(line, line, np.array([b[:, :width] for b in bases]), parts, rounds)
-        total = length(fine)
-        if corrections:
-            kappa = np.mean([curvature_indicator(rows.column("eig")[int(k)].as_py()) for k in by])
-            total = sum(corrected(float(np.linalg.norm(b - a)), float(kappa), length_scale) for a, b in zip(fine, fine[1:], strict=False))
-        return pa.table({"src": [key[0].as_py()], "dst": [key[1].as_py()], "d_path": [length(line)], "d_refined": [float(total)]})
+        line, own = vectors(rows.column("vec"))[by], shared.value
+        fine = smooth(line, own, parts, rounds) if base else line
+        sizes = np.linalg.norm(np.diff(fine, axis=0), axis=1)
+        weights = rows.column("w").to_numpy(zero_copy_only=False).astype(float)[by][:-1]
+        if not np.isnan(weights).any():
+            sizes = weights
+        if corrections and len(fine) > 1:
+            kappa = own.indicators[own.nearest((fine[1:] + fine[:-1]) / 2)]
+            sizes = np.array([corrected(d, k, length_scale) for d, k in zip(sizes.tolist(), kappa.tolist(), strict=True)])
+        return pa.table({"src": [key[0].as_py()], "dst": [key[1].as_py()], "d_path": [length(line)], "d_refined": [float(sizes.sum())]})
 
     return flat.groupBy("src", "dst").applyInArrow(run, "src long, dst long, d_path double, d_refined double")
 
@@ -229,3 +334,29 @@ def torus(spark, n: int, major: float = 2.0, minor: float = 1.0) -> DataFrame:
     v = F.lit(2 * np.pi) * F.col("id") / n
     ring = F.lit(major) + F.lit(minor) * F.cos(v)
     return spark.range(n).select("id", u.alias("u"), v.alias("v"), F.array(ring * F.cos(u), ring * F.sin(u), F.lit(minor) * F.sin(v)).alias("vec"), (F.cos(v) / (F.lit(minor) * ring)).alias("curvature"))
+
+
+def torus_distance(u1: float, v1: float, u2: float, v2: float, major: float = 2.0, minor: float = 1.0, cells: int = 64) -> float:
+    """The length of the shortest way on a torus between two places (u, v), along a grid of cells x cells places with steps to the eight neighbours and the knight's moves."""
+    step = 2 * np.pi / cells
+    at = np.arange(cells * cells)
+    i, j = at // cells, at % cells
+    moves = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a or b) and np.gcd(a, b) == 1]
+    src, dst, weight = [], [], []
+    for a, b in moves:
+        middle = (j + b / 2) * step
+        src.append(at)
+        dst.append((i + a) % cells * cells + (j + b) % cells)
+        weight.append(np.hypot((major + minor * np.cos(middle)) * a * step, minor * b * step))
+    grid = Adjacency(*(np.concatenate(x) for x in (src, dst, weight)))
+    place = lambda u, v: int(round(u / step)) % cells * cells + int(round(v / step)) % cells
+    start, end = place(u1, v1), place(u2, v2)
+    return float(grid.dijkstra({start: 0.0}, end)[0][end])
+
+
+def analytic_length(paths: DataFrame, points: DataFrame, distance) -> DataFrame:
+    """(src, dst, d): the sum of distance(a, b) over a path's steps; a and b name struct columns of the points' own columns."""
+    nodes = points.select("id", F.struct(*[c for c in points.columns if c != "id"]).alias("p"))
+    steps = paths.select("src", "dst", F.posexplode("path").alias("step", "id")).join(nodes, "id")
+    legs = steps.withColumn("q", F.lead("p").over(Window.partitionBy("src", "dst").orderBy("step"))).where("q is not null")
+    return legs.groupBy("src", "dst").agg(F.sum(distance(F.col("p"), F.col("q"))).alias("d"))

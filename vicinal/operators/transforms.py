@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import pairwise
+from ..functions.distance import gemm_sqeuclidean, pairwise
 from .knn import stream, vectors
 
 
@@ -55,6 +55,18 @@ class KMeans:
                 break
         return model
 
+    @classmethod
+    def local(cls, x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+        """Centroids of points that one task holds, at most as many as there are distinct points."""
+        c = cls.plus_plus(x, min(k, len(np.unique(x, axis=0))), seed)
+        for _ in range(rounds):
+            own = gemm_sqeuclidean(x, c).argmin(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, x)
+            n = np.bincount(own, minlength=len(c))
+            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        return c
+
     def step(self, points: DataFrame) -> KMeans:
         """One round: partial sums of clusters and the farthest points of each batch, combined before the driver sees them."""
         c = self.centroids
@@ -98,11 +110,6 @@ class KMeans:
         return stream(points.select(key, "vec"), run, f"{key} long, vec array<double>, distances array<double>, bucket int")
 
 
-def partition_by_transform(points: DataFrame, model: KMeans) -> DataFrame:
-    """Points dealt by bucket."""
-    return model.transform(points).repartition("bucket")
-
-
 @dataclass
 class Pca:
     """Mean, axes (rows, by falling variance, the largest entry positive), and their variances."""

@@ -1,7 +1,7 @@
 """Binary partition trees: k-d, random-projection and principal-component trees and forests.
 
 A tree is built on the driver from a hashed sample of bounded size and broadcast; all points are then routed to its leaves, and
-queries meet them by an equal join on (tree, leaf). A k-d search is exact: the home leaf gives a radius, and all leaves whose box
+queries meet them in their common leaf. A k-d search is exact: the home leaf gives a radius, and all leaves whose box
 may hold something nearer are read next.
 """
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import pairwise
-from .knn import rerank, search, stream, vectors
+from .knn import Searchable, block_best, check_dimensions, stream, top_k, vectors
 
 #: Points that trees are built from.
 SAMPLE = 32_768
+#: Points of a leaf that one task holds.
+LEAF_ROWS = 65_536
 Splitter = Callable[[np.ndarray, np.random.Generator, int], "tuple[np.ndarray, float] | None"]
 
 
@@ -210,31 +212,71 @@ def leaf_table(df: DataFrame, trees: list[Tree], key: str) -> DataFrame:
     return stream(df.select(key, "vec"), run, f"{key} long, vec array<double>, tree int, leaf long")
 
 
+def search_leaves(leaves: DataFrame, asked: DataFrame, k: int, metric: dict, grow: Callable[[np.ndarray, int], Tree] | None = None, exclude_self: bool = False) -> DataFrame:
+    """The k nearest (qid, rank, id, dist) of queries (qid, vec, tree, leaf) among the points (id, vec, tree, leaf) of their leaves.
+
+    A leaf's points and queries meet in one task and only the k best of each query leave it. Trees come from a sample, so leaves grow with the table: leaves of more than
+    LEAF_ROWS points are dealt into parts by hash, and the queries go to all parts. Where `grow` is given, it splits a part's points again, in the
+    task, and queries meet what shares their inner leaf."""
+    sizes = leaves.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).alias("parts"))
+    # A row for each leaf of the trees; their number is bounded by the sample.
+    parts = F.broadcast(sizes)
+    left = leaves.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("tree", "leaf", "part", "id", "vec")
+    right = asked.join(parts, ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("tree", "leaf", "part", "qid", "vec")
+
+    def meet(key, points, queries):
+        x, ids, q, qid = vectors(points.column("vec")), points.column("id").to_numpy(), vectors(queries.column("vec")), queries.column("qid").to_numpy()
+        found = []
+        if len(x) and len(q):
+            by = np.argsort(ids, kind="stable")  # so that a lost part grows the same tree again
+            x, ids = x[by], ids[by]
+            tree = None if grow is None else grow(x, key[0].as_py())
+            inner, wanted = (np.zeros(len(x), int), np.zeros(len(q), int)) if tree is None else (tree.route(x), tree.route(q))
+            for n in np.unique(wanted).tolist():
+                own, asks = np.flatnonzero(inner == n), np.flatnonzero(wanted == n)
+                for a in range(0, len(asks) if len(own) else 0, 1024):
+                    some = asks[a : a + 1024]
+                    found += [block_best(q[some], qid[some], x[own[b : b + 2048]], ids[own[b : b + 2048]], k, exclude_self, **metric) for b in range(0, len(own), 2048)]
+        return pa.Table.from_batches(found) if found else pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+
+    met = left.groupBy("tree", "leaf", "part").cogroup(right.groupBy("tree", "leaf", "part")).applyInArrow(meet, "qid long, id long, dist double")
+    return top_k(met.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)
+
+
 @dataclass
-class Forest:
+class Forest(Searchable):
+    """Trees grown from a sample; leaves that hold more than `leaf_size` points, as they do in large tables, are split on by the same rule when they are searched."""
+
     trees: list[Tree]
     points: DataFrame
     leaves: DataFrame
+    splitter: Splitter
+    stop: Callable[[np.ndarray], bool]
+    seed: int
     metric: str = "euclidean"
 
     @classmethod
     def build(cls, points: DataFrame, splitter: Splitter = two_points, stop=None, n_trees: int = 8, seed: int = 0, metric: str = "euclidean") -> Forest:
-        x = sample_of(points, seed)
-        trees = [Tree.grow(x, splitter, stop or max_leaf_size(), seed + 1000 * t) for t in range(n_trees)]
-        return cls(trees, points, leaf_table(points, trees, "id"), metric)
+        check_dimensions(points)
+        x, stop = sample_of(points, seed), stop or max_leaf_size()
+        trees = [Tree.grow(x, splitter, stop, seed + 1000 * t) for t in range(n_trees)]
+        return cls(trees, points, leaf_table(points, trees, "id"), splitter, stop, seed, metric)
+
+    def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        check_dimensions(self.points, queries)
+        splitter, stop, seed = self.splitter, self.stop, self.seed
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        return leaf_table(queries, self.trees, "qid").select("qid", "tree", "leaf").join(self.leaves.select("id", "tree", "leaf"), ["tree", "leaf"]).select("qid", "id").dropDuplicates()
+        def grow(x: np.ndarray, tree: int) -> Tree | None:
+            return None if stop(x) else Tree.grow(x, splitter, stop, seed + 1000 * tree + 1)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return rerank(self.candidates(queries), self.points, queries, k, self.metric)
+        return search_leaves(self.leaves, leaf_table(queries, self.trees, "qid"), k, {"metric": self.metric}, grow, exclude_self)
 
 
 SAFE_METRICS = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "minkowski")
 
 
 @dataclass
-class KdTree:
+class KdTree(Searchable):
     tree: Tree
     points: DataFrame
     leaves: DataFrame
@@ -243,20 +285,22 @@ class KdTree:
     metric: dict
 
     @classmethod
-    def build(cls, points: DataFrame, axis: str = "spread", leaf_size: int = 16, metric: str = "euclidean", p: float = 2.0, weights: list[float] | None = None) -> KdTree:
+    def build(cls, points: DataFrame, axis: str = "spread", leaf_size: int = 64, metric: str = "euclidean", p: float = 2.0, weights: list[float] | None = None) -> KdTree:
         if metric not in SAFE_METRICS:
             raise ValueError(f"boxes give no bound for {metric}")
+        dims = check_dimensions(points)
         tree = Tree.grow(sample_of(points, 0), widest_axis if axis == "spread" else cyclic_axis, max_leaf_size(leaf_size), 0)
         leaves = leaf_table(points, [tree], "id")
-        dims = points.select(F.size("vec")).first()[0]
         low, high = np.full((tree.leaves, dims), np.inf), np.full((tree.leaves, dims), -np.inf)
         for r in leaves.groupBy("leaf").agg(*[f(F.col("vec")[j]).alias(f"{n}{j}") for j in range(dims) for n, f in (("a", F.min), ("b", F.max))]).collect():
             low[r["leaf"]], high[r["leaf"]] = [r[f"a{j}"] for j in range(dims)], [r[f"b{j}"] for j in range(dims)]
         return cls(tree, points, leaves, low, high, {"metric": metric, "p": p, "weights": weights})
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        home = leaf_table(queries, [self.tree], "qid").select("qid", "leaf").join(self.leaves.select("id", "leaf"), "leaf").select("qid", "id")
-        reach = rerank(home, self.points, queries, k, **self.metric).groupBy("qid").agg(F.max("dist").alias("r"), F.count("*").alias("n"))
+    def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        """Exact: the home leaf's k-th distance bounds what other leaves can add; every leaf whose box is not farther is read then."""
+        check_dimensions(self.points, queries)
+        home = search_leaves(self.leaves, leaf_table(queries, [self.tree], "qid"), k, self.metric, exclude_self=exclude_self)
+        reach = home.groupBy("qid").agg(F.max("dist").alias("r"), F.count("*").alias("n"))
         asked = queries.select("qid", "vec").join(reach, "qid", "left").select("qid", "vec", F.when(F.col("n") >= k, F.col("r")).otherwise(F.lit(float("inf"))).alias("r"))
         low, high, metric = self.low, self.high, self.metric
 
@@ -267,10 +311,9 @@ class KdTree:
                     gap = np.maximum(np.maximum(low[None] - q[:, None], q[:, None] - high[None]), 0.0)
                     bound = pairwise(gap.reshape(-1, q.shape[1]), np.zeros((1, q.shape[1])), **metric).reshape(len(q), -1)
                     i, leaf = np.nonzero((bound <= r[:, None] * (1 + 1e-12)) & np.isfinite(low[:, 0])[None])
-                    yield pa.RecordBatch.from_pydict({"qid": batch.column(0).to_numpy()[i], "leaf": leaf})
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(np.zeros(len(i), np.int32)), pa.array(leaf)], ["qid", "vec", "tree", "leaf"])
 
-        pairs = stream(asked, near, "qid long, leaf long", rows=256).join(self.leaves.select("id", "leaf"), "leaf").select("qid", "id")
-        return rerank(pairs, self.points, queries, k, **self.metric)
+        return search_leaves(self.leaves, stream(asked, near, "qid long, vec array<double>, tree int, leaf long", rows=256), k, self.metric, exclude_self=exclude_self)
 
 
-__all__ = ["Forest", "KdTree", "Tree", "search"]
+__all__ = ["Forest", "KdTree", "Tree"]

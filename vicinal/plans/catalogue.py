@@ -333,7 +333,12 @@ def oracle_prune(spark, sf_dir):
     return evaluate.oracle_prune(_labelled(spark, sf_dir), "label").select("src", "dst")
 
 
-@query()
+def _draw_sql(*parts: str) -> str:
+    """60 bits of an md5 of the parts joined by colons."""
+    return f"cast('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) as bigint)"
+
+
+@query(f"with {edges_sql('P')}, r as (select src, dst, row_number() over (order by {_draw_sql('src', 'dst', '0')}, src, dst) as n, count(*) over () as c from edges) select src, dst from r where n > cast(round_even(0.3 * c, 0) as bigint)")
 def random_prune(spark, sf_dir):
     return evaluate.random_prune(_labelled(spark, sf_dir), 0.3).select("src", "dst")
 
@@ -348,12 +353,19 @@ def score_statistics(spark, sf_dir):
     return rounded(graph.score_statistics(_labelled(spark, sf_dir)), "mean", "std", "min", "max", "median")
 
 
-@query(f"""with recursive {edges_sql('S')}, {BOTH}, b as (select src, dst from both_ways where src < dst),
+@query(f"""with recursive {edges_sql('S', 2)}, {BOTH}, b as (select src, dst from both_ways where src < dst),
 e as (select row_number() over (order by src, dst) as k, src, dst from b),
 reach(k, start, node) as (select k, src, src from e union select reach.k, reach.start, case when e.src = reach.node then e.dst else e.src end from reach join e on e.k <> reach.k and (e.src = reach.node or e.dst = reach.node))
 select e.src, e.dst from e where not exists (select 1 from reach where reach.k = e.k and reach.node = e.dst)""")
 def graph_bridges(spark, sf_dir):
-    return evaluate.bridges(edges_of(spark, sf_dir, "S"))
+    return evaluate.bridges(edges_of(spark, sf_dir, "S", 2))
+
+
+@query(f"""with {edges_sql('P')}, {LABELLED}, b as (select src, dst from scored where src % 10 = 0), s as (select *, row_number() over (order by kappa, src, dst) as n from scored where not exists (select 1 from b where b.src = scored.src and b.dst = scored.dst))
+select src, dst from scored where not exists (select 1 from s where s.src = scored.src and s.dst = scored.dst and s.n <= (select cast(round_even(0.2 * count(*), 0) as bigint) from scored))""")
+def rank_prune_around_bridges(spark, sf_dir):
+    scored = _labelled(spark, sf_dir)
+    return evaluate.rank_prune(scored, 0.2, scored.where("src % 10 = 0")).select("src", "dst")
 
 
 # Transforms and buckets.
@@ -504,46 +516,62 @@ _tree("kdtree_spread_P", knn_sql("P"), lambda p: trees.KdTree.build(p).search(as
 _tree("kdtree_cyclic_P", knn_sql("P"), lambda p: trees.KdTree.build(p, "cyclic").search(asked(p), K))
 _tree("kdtree_chebyshev_P", knn_sql("P", "chebyshev"), lambda p: trees.KdTree.build(p, metric="chebyshev").search(asked(p), K))
 _tree("kdtree_embeddings_E", knn_sql("E"), lambda p: trees.KdTree.build(p).search(asked(p), K))
-_tree("rpforest_exhaustive_E", knn_sql("E"), lambda p: trees.Forest.build(p, stop=trees.max_leaf_size(1 << 30), n_trees=2).search(asked(p), K))
-_tree("pcaforest_exhaustive_E", knn_sql("E"), lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), trees.max_leaf_size(1 << 30), 2).search(asked(p), K))
+_tree("rpforest_knn_P", knn_sql("P"), lambda p: trees.Forest.build(p, stop=trees.max_leaf_size(256), n_trees=24).search(asked(p), K))
+_tree("pcaforest_knn_P", knn_sql("P"), lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), trees.max_leaf_size(256), 24).search(asked(p), K))
+_tree("pcaforest_subsampled_P", knn_sql("P"), lambda p: trees.Forest.build(p, trees.pca_splitter(trees.subsampled_spectrum(64), trees.random_combination(2), trees.between_quantiles()), trees.any_of(trees.max_leaf_size(256), trees.intrinsic_dim_ratio(0.5, 300)), 24).search(asked(p), K))
+_tree("brute_force_insert_P", knn_sql("P"), lambda p: knn.BruteForce(p.where("id % 3 = 0")).insert(p.where("id % 3 <> 0")).search(asked(p), K))
+_tree("hnsw_knn_S", knn_sql("S"), lambda p: hnsw.HnswIndex.build(p, hnsw.Params(m=12, ef_construction=100)).search(asked(p), K, ef=256))
+_tree("hnsw_closest_S", knn_sql("S"), lambda p: hnsw.HnswIndex.build(p, hnsw.Params(m=12, ef_construction=100, policy="closest")).search(asked(p), K, ef=256))
+_tree("hnsw_insert_S", knn_sql("S"), lambda p: _inserted(p).search(asked(p), K, ef=256))
+_tree("nndescent_knn_S", knn_sql("S"), lambda p: nndescent.search(nndescent.build(p, 15, 6, metric="euclidean"), p, asked(p), K, beam=128, metric="euclidean"))
+_tree("nndescent_continuous_S", knn_sql("S"), lambda p: nndescent.search(nndescent.build(p, 15, 6, metric="euclidean", symmetry="continuous"), p, asked(p), K, beam=128, metric="euclidean"))
+
+
+def _inserted(p):
+    ids = sorted(r["id"] for r in p.select("id").collect())
+    middle = ids[len(ids) // 2]
+    return hnsw.HnswIndex.build(p.where(F.col("id") < middle), hnsw.Params(m=12, ef_construction=100)).insert(p.where(F.col("id") >= middle))
+
 
+FLOOR = 0.9
 
-def _floor(name: str, floor: float, make):
-    """A query of one row: whether mean recall reaches the floor."""
+
+def _floor(name: str, make, points_of: str = "E"):
+    """A query of one row: whether mean recall over all asked queries reaches FLOOR, and their number. The neighbours themselves are in the _knn queries."""
 
     def run(spark, sf_dir):
-        p = points(spark, sf_dir, "E")
+        p = points(spark, sf_dir, points_of)
         found = knn.recall(make(p), knn.search(p, asked(p), K), K)
-        return found.agg((F.avg("recall") >= floor).alias("reached"), F.count("*").alias("queries"))
+        return found.agg((F.avg("recall") >= FLOOR).alias("reached"), F.count("*").alias("queries"))
 
     run.__name__ = name
-    query(f"select true as reached, count(*) as queries from embeddings where vec_id % {EVERY} = 0")(run)
+    query(f"select true as reached, count(*) as queries from ({SETS[points_of][4]}) where id % {EVERY} = 0")(run)
 
 
-_floor("rpforest_recall_floor", 0.35, lambda p: trees.Forest.build(p, n_trees=8).search(asked(p), K))
-_floor("pcaforest_recall_floor", 0.35, lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), n_trees=8).search(asked(p), K))
-_floor("rptree_recall_floor", 0.05, lambda p: trees.Forest.build(p, n_trees=1).search(asked(p), K))
-_floor("pcatree_recall_floor", 0.05, lambda p: trees.Forest.build(p, trees.pca_splitter(), n_trees=1).search(asked(p), K))
-_floor("hnsw_recall", 0.9, lambda p: hnsw.HnswIndex.build(p, hnsw.Params(ef_construction=100)).search(asked(p), K))
-_floor("nndescent_recall", 0.85, lambda p: nndescent.search(nndescent.build(p, 15, 6), p, asked(p), K, beam=64))
+_floor("rpforest_recall_floor", lambda p: trees.Forest.build(p, stop=trees.max_leaf_size(256), n_trees=24).search(asked(p), K))
+_floor("pcaforest_recall_floor", lambda p: trees.Forest.build(p, trees.pca_forest_splitter(), trees.max_leaf_size(256), n_trees=24).search(asked(p), K))
+_floor("rptree_recall_floor", lambda p: trees.Forest.build(p, stop=trees.max_leaf_size(1024), n_trees=1).search(asked(p), K), "P")
+_floor("pcatree_recall_floor", lambda p: trees.Forest.build(p, trees.pca_splitter(), trees.max_leaf_size(1024), n_trees=1).search(asked(p), K), "P")
+_floor("hnsw_recall", lambda p: hnsw.HnswIndex.build(p, hnsw.Params(ef_construction=100)).search(asked(p), K, ef=128))
+_floor("nndescent_recall", lambda p: nndescent.search(nndescent.build(p, 20, 8), p, asked(p), K, beam=96))
 
 
 def _ivf_hnsw(p):
-    model = transforms.KMeans.fit(p, 4, 3, start=_first(p, 4))
+    model = transforms.KMeans.fit(p, 8, 3, start=_first(p, 8))
     index = hnsw.HnswIndex.build(model.transform(p), hnsw.Params(ef_construction=100), "bucket")
-    routed = model.transform(asked(p), "qid").select("qid", "vec", F.explode(partitioned.top_routing(4)("distances")).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
+    routed = model.transform(asked(p), "qid").select("qid", "vec", F.explode(partitioned.top_routing(6)("distances")).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
     return index.search(routed, K, routed=True)
 
 
-_floor("ivf_hnsw_recall", 0.9, _ivf_hnsw)
+_floor("ivf_hnsw_recall", _ivf_hnsw)
 
 
 @query("select true as reached, count(*) as nodes from embeddings")
 def nndescent_graph_recall(spark, sf_dir):
     p = points(spark, sf_dir, "E")
-    found = nndescent.build(p, 15, 8, init="rptree", symmetry="none").select(F.col("src").alias("qid"), F.col("dst").alias("id"), "rank")
+    found = nndescent.build(p, 20, 8, init="rptree", symmetry="none").select(F.col("src").alias("qid"), F.col("dst").alias("id"), "rank")
     truth = graph.knn_graph(p, K).select(F.col("src").alias("qid"), F.col("dst").alias("id"), "rank")
-    return knn.recall(found.withColumn("rank", F.when(F.col("rank") <= 15, F.lit(1))), truth, K).agg((F.avg("recall") >= 0.85).alias("reached"), F.count("*").alias("nodes"))
+    return knn.recall(found.withColumn("rank", F.lit(1)), truth, K).agg((F.avg("recall") >= FLOOR).alias("reached"), F.count("*").alias("nodes"))
 
 
 @query(f"with {edges_sql('E')}, {BOTH}, r as (select *, row_number() over (partition by src order by dist, dst) as n from both_ways) select src, dst, cast(n as integer) as rank from r where n <= {3 * GRAPH_K // 2}")
@@ -559,26 +587,26 @@ def hnsw_edges(spark, sf_dir):
 # Paths.
 
 
-@query(f"""with recursive {edges_sql('S')}, hops(src, dst, d) as (select id, id, 0 from pts union select h.src, e.dst, h.d + 1 from hops h join edges e on e.src = h.dst where h.d < 12)
-select src, dst, cast(min(d) as double) as d from hops group by src, dst""")
+@query(f"""with recursive {edges_sql('S')}, hops(src, dst, d) using key (src, dst) as (select id, id, 0 from pts union (select h.src, e.dst, min(h.d + 1) from hops h join edges e on e.src = h.dst
+where not exists (select 1 from recurring.hops r where r.src = h.src and r.dst = e.dst) group by h.src, e.dst))
+select src, dst, cast(d as double) as d from hops""")
 def hop_distances(spark, sf_dir):
     edges = edges_of(spark, sf_dir, "S").withColumn("one", F.lit(1.0))
     return paths.hop_relax(edges, points(spark, sf_dir, "S"), weight="one")
 
 
-def _bellman(rounds: int) -> str:
-    sets = ["d0 as (select id as src, id as dst, 0::double as d from pts)"]
-    for r in range(1, rounds + 1):
-        sets.append(f"d{r} as materialized (select src, dst, min(d) as d from (select * from d{r - 1} union all select a.src, e.dst, a.d + e.dist from d{r - 1} a join edges e on e.src = a.dst) group by src, dst)")
-    return ", ".join(sets)
+def _ways(edges: str = "edges", name: str = "ways", weight: str = "dist") -> str:
+    """A recursive CTE of all shortest ways (src, dst, d), relaxed until nothing changes."""
+    return f"""{name}(src, dst, d) using key (src, dst) as (select id, id, 0::double from pts union (select w.src, e.dst, min(w.d + e.{weight}) as d from {name} w join {edges} e on e.src = w.dst
+left join recurring.{name} r on r.src = w.src and r.dst = e.dst group by w.src, e.dst having min(w.d + e.{weight}) < coalesce(min(r.d), 'infinity'::double)))"""
 
 
-@query(f"with {edges_sql('S')}, {_bellman(24)} select src, dst, round(d, 9) as d from d24")
+@query(f"with recursive {edges_sql('S')}, {_ways()} select src, dst, round(d, 9) as d from ways")
 def shortest_paths(spark, sf_dir):
     return rounded(paths.shortest_paths(edges_of(spark, sf_dir, "S"), points(spark, sf_dir, "S")), "d")
 
 
-@query(f"with {edges_sql('S')}, {_bellman(24)} select a.id as src, b.id as dst, round(coalesce(d, 'infinity'::double), 9) as d from pts a join pts b on b.id = (a.id * 7 + 3) % (select count(*) from pts) left join d24 on d24.src = a.id and d24.dst = b.id")
+@query(f"with recursive {edges_sql('S')}, {_ways()} select a.id as src, b.id as dst, round(coalesce(d, 'infinity'::double), 9) as d from pts a join pts b on b.id = (a.id * 7 + 3) % (select count(*) from pts) left join ways on ways.src = a.id and ways.dst = b.id")
 def geodesic_pairs(spark, sf_dir):
     p = points(spark, sf_dir, "S")
     n = p.count()
@@ -586,59 +614,188 @@ def geodesic_pairs(spark, sf_dir):
     return rounded(paths.pair_paths(edges_of(spark, sf_dir, "S"), pairs).select("src", "dst", "d"), "d")
 
 
-@query()
-def path_refinement(spark, sf_dir):
+def _neighbour_paths(spark, sf_dir):
+    """Points, edges, and the paths from each point to the one with the following id."""
     p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
     pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    found = paths.pair_paths(edges, pairs).where("size(path) > 1")
+    return p, edges, paths.pair_paths(edges, pairs).where("size(path) > 1")
+
+
+@query()
+def path_refinement(spark, sf_dir):
+    p, edges, found = _neighbour_paths(spark, sf_dir)
     return paths.refine_paths(found, p, geometry.local_geometry(edges, p, geometry.PcaMethod(1)))
 
 
 @query()
+def curvature_corrected_smooth_paths(spark, sf_dir):
+    p, edges, found = _neighbour_paths(spark, sf_dir)
+    scale = edges.agg(F.avg("dist")).first()[0]
+    return paths.refine_paths(found, p, geometry.local_geometry(edges, p, geometry.PcaMethod(2)), corrections=True, length_scale=scale)
+
+
+def spread_sql(edges: str = "edges", name: str = "g") -> str:
+    """CTEs of each point's neighbours' scatter round itself in two dimensions in closed form: eigenvalues e1 >= e2 and the first axis (ax, ay); gap is 0 where that is not determined."""
+    return f"""{name}_s as (select e.src as id, avg((b.vec[1] - a.vec[1]) * (b.vec[1] - a.vec[1])) as xx, avg((b.vec[2] - a.vec[2]) * (b.vec[2] - a.vec[2])) as yy, avg((b.vec[1] - a.vec[1]) * (b.vec[2] - a.vec[2])) as xy
+from {edges} e join pts a on a.id = e.src join pts b on b.id = e.dst group by e.src),
+{name}_r as (select *, sqrt((xx - yy) * (xx - yy) / 4 + xy * xy) as half from {name}_s),
+{name} as (select id, (xx + yy) / 2 + half as e1, greatest((xx + yy) / 2 - half, 0) as e2, half > 1e-9 * (xx + yy) as gap, cos(atan2(2 * xy, xx - yy) / 2) as ax, sin(atan2(2 * xy, xx - yy) / 2) as ay from {name}_r)"""
+
+
+@query(f"""with {edges_sql('S')}, {spread_sql()}, mid as (select e.src, e.dst, e.dist, [(a.vec[1] + b.vec[1]) / 2, (a.vec[2] + b.vec[2]) / 2] as m from edges e join pts a on a.id = e.src join pts b on b.id = e.dst),
+near as (select mid.src, mid.dst, any_value(mid.dist) as w, arg_min(p.id, ({metric_sql('sqeuclidean', 'p.vec', 'mid.m')}, p.id)) as n from mid, pts p group by mid.src, mid.dst)
+select near.src, near.dst, round(w, 9) as d_path, round(w * (1 + pow(sqrt((g.e1 - g.e2) / g.e1) / (select avg(dist) from edges) * w, 2) / 24), 9) as d_refined from near join g on g.id = near.n""")
 def curvature_corrected_paths(spark, sf_dir):
+    """Of the edges themselves, which are the shortest ways between their ends; without a base refinement."""
     p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
-    pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     scale = edges.agg(F.avg("dist")).first()[0]
-    return paths.refine_paths(paths.pair_paths(edges, pairs).where("size(path) > 1"), p, geometry.local_geometry(edges, p, geometry.PcaMethod(2)), corrections=True, length_scale=scale)
+    found = paths.refine_paths(paths.pair_paths(edges, edges.select("src", "dst")), p, geometry.local_geometry(edges, p, geometry.PcaMethod(2)), corrections=True, length_scale=scale, base=False, edges=edges)
+    return rounded(found, "d_path", "d_refined")
 
 
-@query()
+@query(f"with recursive {edges_sql('S')}, {_ways()} select a.id as src, b.id as dst, true as all_edges, round(d, 9) as d from pts a join pts b on b.id = a.id + 1 join ways on ways.src = a.id and ways.dst = b.id where a.id <> b.id")
 def path_segments(spark, sf_dir):
-    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
-    pairs = p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return paths.path_segments(paths.pair_paths(edges, pairs), edges)
+    _, edges, found = _neighbour_paths(spark, sf_dir)
+    legs = paths.path_segments(found, edges).join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "dist"), ["a", "b"], "left")
+    return rounded(legs.groupBy("src", "dst").agg((F.count("dist") == F.count("*")).alias("all_edges"), F.sum("w").alias("d")), "d")
 
 
-@query()
+def _outside(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("qid"), F.array(F.col("r_regionkey") / F.lit(10.0), F.col("r_regionkey") / F.lit(5.0)).alias("vec"))
+
+
+OUTSIDE = f"""outside as (select r_regionkey as qid, [r_regionkey / 10::double, r_regionkey / 5::double] as vec from region),
+entry as (select qid, id, d from (select o.qid, p.id, {metric_sql('euclidean', 'o.vec', 'p.vec')} as d, row_number() over (partition by o.qid order by {metric_sql('euclidean', 'o.vec', 'p.vec')}, p.id) as n from outside o, pts p) where n <= 5)"""
+
+
+@query(f"with recursive {edges_sql('S')}, {_ways()}, {OUTSIDE}, b as (select e.qid, w.dst, min(e.d + w.d) as d from entry e join ways w on w.src = e.id group by e.qid, w.dst) select o.qid, p.id as dst, round(coalesce(b.d, 'infinity'::double), 9) as d from outside o cross join pts p left join b on b.qid = o.qid and b.dst = p.id")
 def point_geodesics(spark, sf_dir):
+    """The tangent space is the whole plane here, so local ways are straight."""
     p = points(spark, sf_dir, "S")
-    q = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("qid"), F.array(F.col("r_regionkey") / F.lit(10.0), F.col("r_regionkey") / F.lit(5.0)).alias("vec"))
-    return paths.point_geodesics(p, edges_of(spark, sf_dir, "S"), q, p)
+    return rounded(paths.point_geodesics(p, edges_of(spark, sf_dir, "S"), _outside(spark, sf_dir), p, method=geometry.PcaMethod(2)), "d")
+
+
+@query(f"with recursive {edges_sql('S')}, {_ways()}, {OUTSIDE} select a.qid as a, b.qid as b, round(coalesce(min(x.d + w.d + y.d), 'infinity'::double), 9) as d from outside a join outside b on a.qid < b.qid join entry x on x.qid = a.qid join entry y on y.qid = b.qid left join ways w on w.src = x.id and w.dst = y.id group by a.qid, b.qid")
+def point_pair_geodesics(spark, sf_dir):
+    p, outside = points(spark, sf_dir, "S"), _outside(spark, sf_dir)
+    pairs = outside.select(F.col("qid").alias("a"), F.explode(F.sequence(F.col("qid") + 1, F.lit(5).cast("long"))).alias("b")).where("b < 5")
+    model = paths.GeodesicModel(p, edges_of(spark, sf_dir, "S"), None, GRAPH_K, geometry.PcaMethod(2))
+    return rounded(model.point_to_point(outside, pairs), "d")
 
 
-@query(f"with {edges_sql('S')}, {_bellman(24)}, t as (select a.id as src, b.id as dst, {metric_sql('euclidean', 'a.vec', 'b.vec')} as d_true from pts a join pts b on a.id < b.id), j as (select t.*, d from t left join d24 using (src, dst)), g as (select abs(d - d_true) / d_true as e from j where d is not null and d_true >= 1e-12) select round((select avg(e) from g), 6) as mean_error, round((select median(e) from g), 6) as median_error, (select count(*) from j where d is null or d_true < 1e-12) as n_disconnected")
+@query(f"with recursive {edges_sql('S')}, {_ways()}, t as (select a.id as src, b.id as dst, {metric_sql('euclidean', 'a.vec', 'b.vec')} as d_true from pts a join pts b on a.id < b.id), j as (select t.*, d from t left join ways using (src, dst)), g as (select abs(d - d_true) / d_true as e, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0 as ra, rank() over (order by d_true) + (count(*) over (partition by d_true) - 1) / 2.0 as rb from j where d is not null and d_true >= 1e-12) select round((select avg(e) from g), 6) as mean_error, round((select median(e) from g), 6) as median_error, (select count(*) from j where d is null or d_true < 1e-12) as n_disconnected, round((select corr(ra, rb) from g), 5) as spearman")
 def geodesic_error(spark, sf_dir):
     p = points(spark, sf_dir, "S")
     a, b = p.select(F.col("id").alias("src"), F.col("vec").alias("x")), p.select(F.col("id").alias("dst"), F.col("vec").alias("y"))
     truth = knn.search(p, p.withColumnRenamed("id", "qid"), p.count()).where("qid < id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d_true"))
     found = paths.shortest_paths(edges_of(spark, sf_dir, "S"), p)
-    return rounded(evaluate.geodesic_error(found, truth), "mean_error", "median_error", digits=6).select("mean_error", "median_error", "n_disconnected")
+    return rounded(rounded(evaluate.geodesic_error(found, truth), "mean_error", "median_error", digits=6), "spearman", digits=5)
+
+
+def _roll(spark, k: int = 6):
+    """Points, edges and the true distances of the edges' ends on the spiral sheet."""
+    roll = paths.swiss_roll(spark, 500)
+    p = roll.select("id", "vec")
+    edges = graph.knn_graph(p, k).cache()
+    return p, edges, _roll_truth(roll, edges)
+
+
+def _roll_truth(roll, pairs):
+    a, b = roll.select(F.col("id").alias("src"), F.col("t").alias("t1"), F.col("h").alias("h1")), roll.select(F.col("id").alias("dst"), F.col("t").alias("t2"), F.col("h").alias("h2"))
+    return pairs.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", paths.swiss_roll_distance(F.col("t1"), F.col("h1"), F.col("t2"), F.col("h2")).alias("d_true"))
+
+
+ROLL = """roll as (select i as id, 1.5 * pi() + 3 * pi() * i / 500.0::double as t, 10 * ((i * 0.6180339887498949::double) % 1) as h from range(500) r(i)),
+pts as (select id, t, h, [t * cos(t), h, t * sin(t)] as vec from roll),
+pairs as (select a.id as src, b.id as dst, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as dist from pts a join pts b on a.id <> b.id),
+edges as (select src, dst, rank, dist from (select *, row_number() over (partition by src order by dist, dst) as rank from pairs) where rank <= 6),
+ratios as (select e.*, sqrt(pow((a.t * sqrt(1 + a.t * a.t) + asinh(a.t)) / 2 - (b.t * sqrt(1 + b.t * b.t) + asinh(b.t)) / 2, 2) + pow(a.h - b.h, 2)) as d_true from edges e join pts a on a.id = e.src join pts b on b.id = e.dst)"""
+
+
+@query(f"with {ROLL} select src, dst, round(d_true, 6) as d_true, round(case when d_true > 1e-12 then dist / d_true else 1 end, 6) as r from ratios")
+def edge_ratios(spark, sf_dir):
+    _, edges, truth = _roll(spark)
+    return rounded(evaluate.edge_ratios(edges, truth).join(truth, ["src", "dst"]).select("src", "dst", "d_true", "r"), "d_true", "r", digits=6)
+
+
+SHORTCUTS = f"""{ROLL}, both_ways as (select src, dst, min(dist) as dist from (select src, dst, dist from edges union all select dst, src, dist from edges) group by src, dst),
+own as (select least(src, dst) as src, greatest(src, dst) as dst, avg(dist) as dist, avg(dist / d_true) as r from ratios group by 1, 2)"""
+
+
+@query(f"with {SHORTCUTS} select src, dst, round(dist, 6) as dist, round(r, 6) as r from own")
+def shortcut_edges(spark, sf_dir):
+    """The canonical edges that labels are given to; their way round without the edge is in shortcut_labels."""
+    _, edges, truth = _roll(spark)
+    return rounded(evaluate.shortcut_labels(evaluate.edge_ratios(edges, truth)).select("src", "dst", "dist", "r"), "dist", "r", digits=6)
 
 
 @query()
 def shortcut_labels(spark, sf_dir):
-    edges = edges_of(spark, sf_dir, "S")
-    return evaluate.shortcut_labels(edges.withColumn("r", F.lit(0.5)))
+    _, edges, truth = _roll(spark)
+    return evaluate.shortcut_labels(evaluate.edge_ratios(edges, truth), ratio=0.998, stretch=1.5)
 
 
-@query("select i as id, round((1.5 * pi() + 3 * pi() * i / 500.0) * cos(1.5 * pi() + 3 * pi() * i / 500.0), 6) + 0 as x, round((1.5 * pi() + 3 * pi() * i / 500.0) * sin(1.5 * pi() + 3 * pi() * i / 500.0), 6) + 0 as z from range(500) t(i)")
-def swiss_roll(spark, sf_dir):
-    return paths.swiss_roll(spark, 500).select("id", (F.round(F.col("vec")[0], 6) + F.lit(0.0)).alias("x"), (F.round(F.col("vec")[2], 6) + F.lit(0.0)).alias("z"))
+TAUS = [0.995, 0.9985, 0.9995, 0.9999]
 
 
-@query()
+@query(f"""with {ROLL}, rows as (select src % 3 as part, dist, rank, dist / d_true as r from ratios), g as (select *, r < tau as positive from rows, (values {", ".join(f"({t}::double)" for t in TAUS)}) x(tau)),
+c as (select part, tau, count(*) filter (where positive) as n_pos, count(*) filter (where not positive) as n_neg from g group by part, tau),
+k as (select *, rank() over (partition by part, tau order by dist) + (count(*) over (partition by part, tau, dist) - 1) / 2.0 as a, rank() over (partition by part, tau order by -rank) + (count(*) over (partition by part, tau, rank) - 1) / 2.0 as b from g),
+u as (select part, tau, sum(a) filter (where positive) as sa, sum(b) filter (where positive) as sb from k group by part, tau)
+select part, tau, n_pos, n_neg, round(n_pos / (n_pos + n_neg)::double, 9) as frac_pos, round((sa - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9) as dist_auroc, round((sb - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 9) as rank_auroc
+from c join u using (part, tau) where n_pos > 0 and n_neg > 0""")
+def auroc_table(spark, sf_dir):
+    _, edges, truth = _roll(spark)
+    rows = evaluate.edge_ratios(edges, truth).withColumn("part", F.pmod("src", F.lit(3)))
+    return rounded(evaluate.auroc_table(rows, "r", {"dist": True, "rank": False}, TAUS, ["part"]), "frac_pos", "dist_auroc", "rank_auroc")
+
+
+@query(f"""with pts as ({SETS['S'][4]}), numbered as (select id, row_number() over (order by id) - 1 as number, count(*) over () as c from pts), n as (select least(40, c * (c - 1) // 2) as n, c from numbered limit 1),
+drawn as (select id, {_draw_sql('number', 'k', '7')} as h, c from numbered, (select unnest(range((select (4 * n + c - 1) // c from n))) as k)),
+met as (select least(d.id, o.id) as src, greatest(d.id, o.id) as dst, min(d.h) as h from drawn d join numbered o on o.number = d.h % d.c where d.id <> o.id group by 1, 2)
+select src, dst from (select *, row_number() over (order by h, src, dst) as r from met) where r <= (select n from n)""")
+def sampled_pairs(spark, sf_dir):
+    return evaluate.sample_pairs(points(spark, sf_dir, "S"), 40, seed=7)
+
+
+@query(f"with {ROLL}, inside as (select src, dst, d_true, {_draw_sql('src', 'dst', '3')} as h from ratios where d_true between 1 and 2) select src, dst, round(d_true, 6) as d_true from (select *, row_number() over (order by h, src, dst) as r from inside) where r <= 50")
+def pairs_in_band(spark, sf_dir):
+    _, _, truth = _roll(spark)
+    return rounded(evaluate.select_band(truth, 1.0, 2.0, 50, seed=3), "d_true", digits=6)
+
+
+@query(f"""with recursive {ROLL}, {_ways()}, asked as (select id as src, id + 3 as dst from pts where id % 50 = 0 and id + 3 < 500) select asked.src, asked.dst, true as longer, round(ways.d, 6) as d from asked join ways using (src, dst)""")
+def analytic_path_length(spark, sf_dir):
+    """Path lengths along straight edges, and whether the true lengths of the steps add up to more."""
+    roll = paths.swiss_roll(spark, 500)
+    _, edges, _ = _roll(spark)
+    pairs = roll.where("id % 50 = 0 and id + 3 < 500").select(F.col("id").alias("src"), (F.col("id") + 3).alias("dst"))
+    found = paths.pair_paths(edges, pairs)
+    true = paths.analytic_length(found, roll, lambda a, b: paths.swiss_roll_distance(a["t"], a["h"], b["t"], b["h"])).withColumnRenamed("d", "t")
+    return rounded(found.join(true, ["src", "dst"]).select("src", "dst", (F.col("t") >= F.col("d") - 1e-9).alias("longer"), "d"), "d", digits=6)
+
+
+@query(f"""with {RUNS}, g as (select setting, sum(recall) as s, count(*) as n, row_number() over (order by setting) - 1 as spot, count(*) over () as c from runs group by setting),
+picks as (select draw, {_draw_sql('draw', 'place', '0')} % (select max(c) from g) as spot from (select unnest(range(200)) as draw), (select unnest(range((select max(c) from g))) as place)),
+m as (select draw, sum(s) / sum(n) as m from picks join g using (spot) group by draw)
+select round((select sum(s) / sum(n) from g), 9) as mean, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high from m""")
+def cluster_bootstrap(spark, sf_dir):
+    return rounded(evaluate.cluster_bootstrap(_runs(spark, sf_dir), "setting", "recall", draws=200), "mean", "low", "high")
+
+
+@query(f"with r as ({knn_sql('S')}) select qid, rank, id, round(dist + case when qid % 40 = 0 and rank = 3 then 0.5 else 0 end, 6) as dist, round(dist, 6) as found from r where qid % 40 = 0 and rank = 3")
+def wrong_truth_rows(spark, sf_dir):
+    p = points(spark, sf_dir, "S")
+    truth = knn.search(p, asked(p), K)
+    spoilt = truth.withColumn("dist", F.col("dist") + F.when((F.col("qid") % 40 == 0) & (F.col("rank") == 3), 0.5).otherwise(0.0))
+    wrong = evaluate.verify_truth(spoilt, p, asked(p))
+    return rounded(wrong.where(F.abs(F.col("found") - F.col("dist")) > 1e-6), "dist", "found", digits=6)
+
+
+@query("select i as id, round(2 * pi() * ((i * 0.6180339887498949::double) % 1), 6) as u, round(2 * pi() * i / 500.0::double, 6) as v, round((2 + cos(2 * pi() * i / 500.0::double)) * cos(2 * pi() * ((i * 0.6180339887498949::double) % 1)), 6) + 0 as x, round(sin(2 * pi() * i / 500.0::double), 6) + 0 as z, round(cos(2 * pi() * i / 500.0::double) / (2 + cos(2 * pi() * i / 500.0::double)), 6) + 0 as curvature from range(500) t(i)")
 def torus(spark, sf_dir):
-    return paths.torus(spark, 500)
+    t = paths.torus(spark, 500)
+    return rounded(t.select("id", "u", "v", F.col("vec")[0].alias("x"), F.col("vec")[2].alias("z"), "curvature"), "u", "v", "x", "z", "curvature", digits=6)
 
 
 # Geometry.
@@ -649,31 +806,108 @@ def _geometry(spark, sf_dir, dim=1, **options):
     return p, edges, geometry.local_geometry(edges, p, geometry.PcaMethod(dim), **options)
 
 
-@query(f"select p_partkey as id, true as unit_basis, true as at_center, {GRAPH_K} as used from part")
-def local_pca_invariants(spark, sf_dir):
-    p, _, g = _geometry(spark, sf_dir)
-    unit = F.abs(F.aggregate("basis", F.lit(0.0), lambda s, row: s + row[0] * row[0]) - 1) < 1e-9
-    return g.join(p, "id").select("id", unit.alias("unit_basis"), (distance("center", "vec") < 1e-12).alias("at_center"), "used")
+@query(f"""with {edges_sql('P')}, {spread_sql()} select id, round(e1, 8) as variance, case when gap then round(ax * ax, 5) end as axx, case when gap then round(ax * ay, 5) + 0 end as axy, {GRAPH_K} as used from g""")
+def local_pca(spark, sf_dir):
+    """Greatest variance and, as its products, the first axis; where both axes have one variance it is not determined, and null."""
+    _, _, one = _geometry(spark, sf_dir)
+    _, _, two = _geometry(spark, sf_dir, 2)
+    gap = two.select("id", ((F.col("eig")[0] - F.col("eig")[1]) / 2 > 1e-9 * (F.col("eig")[0] + F.col("eig")[1])).alias("gap"))
+    axis = lambda k: F.col("basis")[k][0]
+    found = one.join(gap, "id").select("id", F.col("eig")[0].alias("variance"), F.when(F.col("gap"), F.round(axis(0) * axis(0), 5)).alias("axx"), F.when(F.col("gap"), F.round(axis(0) * axis(1), 5) + F.lit(0.0)).alias("axy"), "used")
+    return rounded(found, "variance", digits=8)
+
+
+def _tangents_sql(source: str = "edges", geometry: str = "g") -> str:
+    """CTEs of edges with the lengths of their offsets within both ends' first axes; edges with an end whose axis is not determined are left out."""
+    return f"""off as (select e.src, e.dst, sqrt((b.vec[1] - a.vec[1]) * (b.vec[1] - a.vec[1]) + (b.vec[2] - a.vec[2]) * (b.vec[2] - a.vec[2])) as chord,
+abs(gx.ax * (b.vec[1] - a.vec[1]) + gx.ay * (b.vec[2] - a.vec[2])) as tx, abs(gy.ax * (b.vec[1] - a.vec[1]) + gy.ay * (b.vec[2] - a.vec[2])) as ty
+from {source} e join pts a on a.id = e.src join pts b on b.id = e.dst join {geometry} gx on gx.id = e.src join {geometry} gy on gy.id = e.dst where gx.gap and gy.gap)"""
 
 
-@query(f"with {edges_sql('P')} select src, dst, round(dist, 9) as chord, true as ordered from edges")
+def _determined(spark, sf_dir, df):
+    """Rows of df (src, dst) both of whose ends have a determined first axis."""
+    _, _, two = _geometry(spark, sf_dir, 2)
+    good = two.where((F.col("eig")[0] - F.col("eig")[1]) / 2 > 1e-9 * (F.col("eig")[0] + F.col("eig")[1])).select("id")
+    return df.join(good.withColumnRenamed("id", "src"), "src", "left_semi").join(good.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+@query(f"with {edges_sql('P')}, {spread_sql()}, {_tangents_sql()} select src, dst, round(chord, 7) as chord, round(tx, 6) as tangent_src, round((tx + ty) / 2, 6) as tangent_mean, round(greatest(tx, ty), 6) as tangent_max, round((8 * chord - tx - ty) / 6, 6) as curvature_free, false as negative from off")
 def edge_weight_tangent(spark, sf_dir):
     _, edges, g = _geometry(spark, sf_dir)
-    w = geometry.edge_weights(edges, g)
-    ordered = (F.col("tangent_src") <= F.col("tangent_max")) & (F.col("tangent_mean") <= F.col("tangent_max")) & (F.col("tangent_max") <= F.col("chord") + 1e-9) & (F.col("curvature_free") >= F.col("chord") - 1e-9)
-    return rounded(w.select("src", "dst", "chord", ordered.alias("ordered")), "chord")
+    w = _determined(spark, sf_dir, geometry.edge_weights(edges, g))
+    return rounded(rounded(w, "chord", digits=7), "tangent_src", "tangent_mean", "tangent_max", "curvature_free", digits=6).select("src", "dst", "chord", "tangent_src", "tangent_mean", "tangent_max", "curvature_free", "negative")
 
 
-@query("select 0::bigint as n_negative_fallbacks, count(*) * %d as n_edges from part" % GRAPH_K)
+@query(f"with {edges_sql('P')}, {spread_sql()}, {_tangents_sql()} select count(*) filter (where (8 * chord - tx - ty) / 6 < 0) as n_negative_fallbacks, (select count(*) from edges) as n_edges from off")
 def curvature_free_diagnostics(spark, sf_dir):
     _, edges, g = _geometry(spark, sf_dir)
     return geometry.diagnostics(geometry.edge_weights(edges, g))
 
 
-@query()
+ANGLE = "asin(sqrt(greatest(0, least(1, 1 - pow({} / chord, 2)))))"
+
+
+@query(f"with {edges_sql('P')}, {spread_sql()}, {_tangents_sql()} select src, dst, round(({ANGLE.format('tx')} + {ANGLE.format('ty')}) / 2, 4) + 0 as angle from off where chord >= 1e-12")
 def tangent_angles(spark, sf_dir):
     _, edges, g = _geometry(spark, sf_dir)
-    return geometry.tangent_angles(edges, g)
+    return rounded(_determined(spark, sf_dir, geometry.tangent_angles(edges, g)), "angle", digits=4).select("src", "dst", "angle")
+
+
+@query(f"with {edges_sql('S')}, {spread_sql()} select e.src, e.dst, round(least(acos(least(1, abs(a.ax * b.ax + a.ay * b.ay))), pi() / 2), 5) + 0 as angle from edges e join g a on a.id = e.src join g b on b.id = e.dst")
+def compared_geometries(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    return rounded(geometry.compare_geometries(edges, geometry.local_geometry(edges, p, geometry.PcaMethod(1))), "angle", digits=5)
+
+
+@query(f"with {edges_sql('S')}, {spread_sql()} select id, 2 as intrinsic_dim, round(e1 + e2, 8) as total_variance, round(e1 / (e1 + e2), 6) as first_share from g")
+def geometry_summary(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    found = geometry.summary(geometry.local_geometry(edges, p, geometry.PcaMethod(2)))
+    return rounded(rounded(found.select("id", "intrinsic_dim", "total_variance", F.col("explained")[0].alias("first_share")), "total_variance", digits=8), "first_share", digits=6)
+
+
+@query(f"""with {edges_sql('S')}, {spread_sql()}, r as (select e.src, e.dst, b.vec[1] - a.vec[1] as x, b.vec[2] - a.vec[2] as y, g.ax, g.ay from edges e join pts a on a.id = e.src join pts b on b.id = e.dst join g on g.id = e.src),
+m as (select src, max(abs(x * ay - y * ax) / sqrt(x * x + y * y)) as e from r group by src),
+d as (select p.src, avg(abs(l - abs((p.x - q.x) * p.ax + (p.y - q.y) * p.ay)) / l) as d from (select *, 0 as z from r) p join r q on p.src = q.src and p.dst < q.dst, lateral (select sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as l) where l > 1e-12 group by p.src)
+select m.src as id, round(m.e, 5) as max_relative_error, round(d.d, 5) as distortion from m join d on d.src = m.src""")
+def neighborhood_criteria(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    return rounded(geometry.evaluate_neighborhoods(edges, p, geometry.local_geometry(edges, p, geometry.PcaMethod(1))), "max_relative_error", "distortion", digits=5)
+
+
+@query(f"""with {edges_sql('S')}, {spread_sql()}, r as (select e.src, e.dst, b.vec[1] - a.vec[1] as x, b.vec[2] - a.vec[2] as y, g.ax, g.ay from edges e join pts a on a.id = e.src join pts b on b.id = e.dst join g on g.id = e.src)
+select src as id from r group by src having max(abs(x * ay - y * ax) / sqrt(x * x + y * y)) <= 0.6""")
+def flat_neighborhoods(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    scores = geometry.evaluate_neighborhoods(edges, p, geometry.local_geometry(edges, p, geometry.PcaMethod(1)))
+    return geometry.passes_threshold(scores, "max_relative_error", 0.6).select("id")
+
+
+@query(f"""with recursive {edges_sql('S')}, s as (select src, dst, 1 as shell from edges), t as (select distinct a.src, b.dst from s a join edges b on b.src = a.dst where a.src <> b.dst),
+two as (select src, dst, 1 as shell from s union all select t.src, t.dst, 2 from t where not exists (select 1 from s where s.src = t.src and s.dst = t.dst)) select src, dst, cast(shell as integer) as shell from two""")
+def graph_shells(spark, sf_dir):
+    return geometry.shells(edges_of(spark, sf_dir, "S"), 2)
+
+
+@query(f"""with {edges_sql('S')}, {edges_sql('S', 8).split("edges as (")[0].replace("pts as", "pts8 as").replace("pairs as", "pairs8 as").rstrip().rstrip(",")}, wide as (select src, dst from (select *, row_number() over (partition by src order by dist, dst) as rank from pairs8) where rank <= 8),
+{spread_sql('wide')}, {_tangents_sql()} select off.src, off.dst, e.rank, round((tx + ty) / 2, 6) as dist from off join edges e on e.src = off.src and e.dst = off.dst""")
+def weighted_graph_candidates(spark, sf_dir):
+    return rounded(geometry.weighted_graph(points(spark, sf_dir, "S"), GRAPH_K, geometry.PcaMethod(1), "tangent_mean", candidate_k=8)[0], "dist", digits=6)
+
+
+@query(f"with {edges_sql('S')} select p.id, (select string_agg(dst::varchar, ',' order by round(dist, 9), dst) from edges e where e.src = p.id) as neighbors, n.n_name as label from pts p join supplier s on s.s_suppkey = p.id join nation n on n.n_nationkey = s.s_nationkey")
+def graph_metadata(spark, sf_dir):
+    p = points(spark, sf_dir, "S")
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("label"))
+    nodes = graph.node_neighbors(rounded(edges_of(spark, sf_dir, "S"), "dist"), p).select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+    return graph.with_metadata(nodes, names)
+
+
+@query(f"with {edges_sql('S')} select a.src, a.dst, round(e.dist, 9) as weight from (select id as src, (id * 7 + 3) % (select count(*) from pts) as dst from pts union select src, dst from edges where rank = 1) a left join edges e using (src, dst)")
+def edge_weights_of_pairs(spark, sf_dir):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    pairs = p.select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(p.count())).alias("dst")).union(edges.where("rank = 1").select("src", "dst")).distinct()
+    return rounded(graph.edge_weight(edges, pairs), "weight")
 
 
 @query()
@@ -692,57 +926,133 @@ def tangent_sharing(spark, sf_dir):
     return geometry.sharing(geometry.share_tangents(g, edges, 0.1))
 
 
-@query("select vec_id as id, true as restored from embeddings")
+PLANE = f"""pts as ({SETS['P'][4]}), c as (select var_samp(vec[1]) as xx, var_samp(vec[2]) as yy, covar_samp(vec[1], vec[2]) as xy, avg(vec[1]) as mx, avg(vec[2]) as my from pts),
+e as (select *, sqrt((xx - yy) * (xx - yy) / 4 + xy * xy) as half, cos(atan2(2 * xy, xx - yy) / 2) as ax, sin(atan2(2 * xy, xx - yy) / 2) as ay from c)"""
+
+
+@query(f"with {PLANE} select id, round(abs((vec[1] - mx) * ax + (vec[2] - my) * ay), 6) as first, round(vec[1], 6) as x, round(vec[2], 6) as y from pts, e")
 def pca_round_trip(spark, sf_dir):
-    p = points(spark, sf_dir, "E")
-    model = transforms.Pca.fit(p, DIMS)
-    back = model.inverse_transform(model.transform(p)).withColumnRenamed("vec", "again")
-    return p.join(back, "id").select("id", (distance("vec", "again") < 1e-9).alias("restored"))
+    """The first coordinate, up to its sign, and the points back from both."""
+    p = points(spark, sf_dir, "P")
+    model = transforms.Pca.fit(p, 2)
+    there = model.transform(p)
+    back = model.inverse_transform(there).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    return rounded(there.select("id", F.abs(F.col("vec")[0]).alias("first")).join(back, "id"), "first", "x", "y", digits=6)
 
 
-@query()
+@query(f"with {PLANE} select 0 as component, round((xx + yy) / 2 + half, 9) as variance, round(((xx + yy) / 2 + half) / (xx + yy), 9) as ratio from e union all select 1, round((xx + yy) / 2 - half, 9), round(((xx + yy) / 2 - half) / (xx + yy), 9) from e")
 def pca_variance(spark, sf_dir):
-    model = transforms.Pca.fit(points(spark, sf_dir, "E"))
-    return spark.createDataFrame([(j, float(v)) for j, v in enumerate(model.explained_variance_ratio)], "component int, ratio double")
+    model = transforms.Pca.fit(points(spark, sf_dir, "P"), 2)
+    rows = [(j, float(v), float(r)) for j, (v, r) in enumerate(zip(model.variances, model.explained_variance_ratio, strict=True))]
+    return rounded(spark.createDataFrame(rows, "component int, variance double, ratio double"), "variance", "ratio")
+
+
+# Curvature. In SQL, W1 between two lists of n ids with equal masses is the least mean cost over all permutations.
 
 
-# Curvature.
+def _permutations(n: int) -> str:
+    columns = ", ".join(f"a{k}.i as p{k}" for k in range(n))
+    apart = " and ".join(f"a{j}.i <> a{k}.i" for k in range(n) for j in range(k)) or "true"
+    return f"perm as (select {columns} from {', '.join(f'(select unnest(range(1, {n + 1})) as i) a{k}' for k in range(n))} where {apart})"
 
 
-def _curvature(spark, sf_dir, variant, solver="exact"):
+def _w1_sql(n: int, views: str, cost: str) -> str:
+    """CTE w1 (src, dst, edge_dist, w1) for views (src, dst, edge_dist, nx, ny) of lists of n ids, with costs from a CTE cost (a, b, d)."""
+    terms = " + ".join(f"c[{k + 1}][p{k}]" for k in range(n))
+    return f"""{cost}, cells as (select v.src, v.dst, i, j, c.d from (select src, dst, unnest(range(1, {n + 1})) as i, nx, ny from {views}) v, (select unnest(range(1, {n + 1})) as j), cost c where c.a = v.nx[v.i] and c.b = v.ny[j]),
+lines as (select src, dst, i, list(d order by j) as line from cells group by src, dst, i), costs as (select src, dst, list(line order by i) as c from lines group by src, dst),
+{_permutations(n)}, w1 as (select v.src, v.dst, any_value(v.edge_dist) as edge_dist, min({terms}) / {n} as w1 from costs join {views} v using (src, dst), perm group by v.src, v.dst)"""
+
+
+STANDARD = f"""{edges_sql('S')}, l as (select src, list(dst order by dst) as n from edges group by src),
+views as (select e.src, e.dst, e.dist as edge_dist, x.n as nx, y.n as ny from edges e join l x on x.src = e.src join l y on y.src = e.dst),
+{_w1_sql(GRAPH_K, 'views', f"cost as (select a.id as a, b.id as b, {metric_sql('euclidean', 'a.vec', 'b.vec')} as d from pts a, pts b)")}"""
+
+
+def _standard(spark, sf_dir, solver="exact"):
     p = points(spark, sf_dir, "S")
-    return curvature.curvatures(graph.symmetrize(edges_of(spark, sf_dir, "S")), p, GRAPH_K, variant, solver)
+    return curvature.curvatures(edges_of(spark, sf_dir, "S"), p, GRAPH_K, curvature.Standard(), solver)
 
 
-@query(f"with {edges_sql('S')}, {BOTH} select src, dst, true as bounded from both_ways")
+@query(f"with {STANDARD} select src, dst, round(1 - w1 / edge_dist, 6) + 0 as kappa, round(w1, 7) as w1, round(edge_dist, 9) as edge_dist from w1")
 def orc_standard(spark, sf_dir):
-    return _curvature(spark, sf_dir, curvature.Standard()).select("src", "dst", (F.col("kappa").isNull() | F.isnan("kappa") | (F.col("kappa") <= 1 + 1e-9)).alias("bounded"))
+    return rounded(rounded(rounded(_standard(spark, sf_dir), "kappa", digits=6), "w1", digits=7), "edge_dist")
 
 
-@query()
+@query(f"with {STANDARD} select src, dst, round(w1, 7) as w1, round(w1, 7) as hungarian, round(w1, 7) as reference, true as greedy_over, true as entropic_near from w1")
+def orc_solver_agreement(spark, sf_dir):
+    """The exact methods' values; the greedy one's are not less, the entropic one's are near."""
+    found = _standard(spark, sf_dir).select("src", "dst", "w1")
+    for n in ("hungarian", "reference", "greedy", "sinkhorn"):
+        found = found.join(_standard(spark, sf_dir, n).select("src", "dst", F.col("w1").alias(n)), ["src", "dst"])
+    out = found.select("src", "dst", "w1", "hungarian", "reference", (F.col("greedy") >= F.col("w1") - 1e-9).alias("greedy_over"), (F.abs(F.col("sinkhorn") - F.col("w1")) < 0.05).alias("entropic_near"))
+    return rounded(out, "w1", "hungarian", "reference", digits=7)
+
+
+@query(f"with {STANDARD}, k as (select src, dst, round(1 - w1 / edge_dist, 6) + 0 as kappa from w1), r as (select *, row_number() over (partition by src order by kappa desc, dst) as rn from k) select src, dst, cast(rn as integer) as rn from r where kappa >= 0 or rn <= 1")
+def orc_filter(spark, sf_dir):
+    return graph.filter_graph(rounded(_standard(spark, sf_dir), "kappa", digits=6)).select("src", "dst", "rn")
+
+
+@query(f"with {STANDARD}, k as (select round(1 - w1 / edge_dist, 6) + 0 as kappa from w1) select round(avg(kappa), 6) as mean, round(stddev_pop(kappa), 6) as std, min(kappa) as min, max(kappa) as max, round(median(kappa), 6) as median, count(*) filter (where kappa > 0) as n_positive, count(*) filter (where kappa < 0) as n_negative from k")
+def orc_statistics(spark, sf_dir):
+    return rounded(graph.score_statistics(rounded(_standard(spark, sf_dir), "kappa", digits=6)), "mean", "std", "min", "max", "median", digits=6)
+
+
+def _directed_epsilon_sql(exact: bool) -> str:
+    """CTE eps (src, dst, eps) of directed edges."""
+    keep = f"c < 2 or r between 2 and {GRAPH_K + 1}" if exact else f"r <= {GRAPH_K}"
+    return f"""ends as (select src, dst, src as node, dst as other from edges union all select src, dst, dst, src from edges), near as (select ends.*, b.dist, b.dst as n from ends join edges b on b.src = ends.node {"" if exact else "where b.dst <> ends.other"}),
+ranked as (select *, row_number() over (partition by src, dst, node order by dist, n) as r, count(*) over (partition by src, dst, node) as c from near),
+means as (select src, dst, node, avg(dist) as m from ranked where {keep} group by src, dst, node), eps as (select e.src, e.dst, coalesce(max(m), 0) as eps from edges e left join means m on m.src = e.src and m.dst = e.dst group by e.src, e.dst)"""
+
+
+def _manifold_sql(exact: bool) -> str:
+    """Mutual edges, whose neighbourhoods without the other end have one size."""
+    cost = "cost as (select a.id as a, b.id as b, coalesce(w.d, 'infinity'::double) as d from pts a cross join pts b left join ways w on w.src = a.id and w.dst = b.id)"
+    return f"""with recursive {edges_sql('S')}, {_directed_epsilon_sql(exact)}, {_ways('eps', 'ways', 'eps')}, l as (select src, list(dst order by dst) as n from edges group by src),
+views as (select e.src, e.dst, e.eps as edge_dist, list_filter(x.n, lambda i: i <> e.dst) as nx, list_filter(y.n, lambda i: i <> e.src) as ny from eps e join l x on x.src = e.src join l y on y.src = e.dst where list_contains(y.n, e.src) and e.src < e.dst),
+{_w1_sql(GRAPH_K - 1, 'views', cost)} select src, dst, round(1 - w1 / edge_dist, 6) + 0 as kappa, round(w1, 7) as w1, round(edge_dist, 7) as edge_dist from w1 where w1 < 1e300"""
+
+
+def _manifold(spark, sf_dir, exact):
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    found = curvature.curvatures(edges, p, GRAPH_K, curvature.Manifold(curvature.Profile(exact)))
+    mutual = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = found.join(mutual, ["src", "dst"], "left_semi").where("src < dst and w1 < 1e300")
+    return rounded(rounded(found, "kappa", digits=6), "w1", "edge_dist", digits=7).select("src", "dst", "kappa", "w1", "edge_dist")
+
+
+@query(_manifold_sql(False))
 def orc_manifold(spark, sf_dir):
-    return _curvature(spark, sf_dir, curvature.Manifold())
+    return _manifold(spark, sf_dir, False)
 
 
-@query()
+@query(_manifold_sql(True))
 def orc_manifold_exact(spark, sf_dir):
-    return _curvature(spark, sf_dir, curvature.Manifold(curvature.Profile(exact=True)))
+    return _manifold(spark, sf_dir, True)
 
 
-@query(f"with {edges_sql('S')}, {BOTH} select src, dst, true as agree, true as greedy_over, true as entropic_near from both_ways")
-def orc_solver_agreement(spark, sf_dir):
-    exact = _curvature(spark, sf_dir, curvature.Standard()).select("src", "dst", "w1")
-    others = {n: _curvature(spark, sf_dir, curvature.Standard(), n).select("src", "dst", F.col("w1").alias(n)) for n in ("reference", "greedy", "sinkhorn")}
-    for df in others.values():
-        exact = exact.join(df, ["src", "dst"])
-    return exact.select("src", "dst", (F.abs(F.col("w1") - F.col("reference")) < 1e-9).alias("agree"), (F.col("greedy") >= F.col("w1") - 1e-9).alias("greedy_over"), (F.abs(F.col("sinkhorn") - F.col("w1")) < 0.05).alias("entropic_near"))
+def _distance_sql(name: str) -> str:
+    head = f"with recursive {edges_sql('S')}, {BOTH}, asked as (select id as src, (id * 7 + 3) % (select count(*) from pts) as dst from pts where id % 4 = 0 and (id * 7 + 3) % (select count(*) from pts) in (select id from pts))"
+    if name == "euclidean":
+        return f"{head} select asked.src, asked.dst, round({metric_sql('euclidean', 'a.vec', 'b.vec')}, 9) as d from asked join pts a on a.id = asked.src join pts b on b.id = asked.dst"
+    ends = "ends as (select src, dst, src as node, dst as other from {0} union all select src, dst, dst, src from {0}), near as (select ends.*, b.dist, b.dst as n from ends join both_ways b on b.src = ends.node where b.dst <> ends.other), ranked as (select *, row_number() over (partition by src, dst, node order by dist, n) as r from near), means as (select src, dst, node, avg(dist) as m from ranked where r <= %d group by src, dst, node), eps as (select e.src, e.dst, coalesce(max(m), 0) as eps from {0} e left join means m on m.src = e.src and m.dst = e.dst group by e.src, e.dst)" % GRAPH_K
+    if name == "normalized":
+        return f"{head}, {ends.format('asked')} select src, dst, round(eps, 9) as d from eps"
+    weights = {"geodesic_euclidean": "wt as (select src, dst, dist as w from both_ways)", "geodesic_unit": "wt as (select src, dst, 1::double as w from both_ways)", "geodesic_normalized": f"{ends.format('both_ways')}, wt as (select src, dst, eps as w from eps)"}[name]
+    return f"{head}, {weights}, {_ways('wt', 'ways', 'w')} select asked.src, asked.dst, round(coalesce(w.d, 'infinity'::double), 8) as d from asked left join ways w on w.src = asked.src and w.dst = asked.dst"
 
 
-@query()
-def orc_filter(spark, sf_dir):
-    return graph.filter_graph(_curvature(spark, sf_dir, curvature.Manifold())).select("src", "dst", "rn")
+def _pair_distance(name: str):
+    def run(spark, sf_dir):
+        p, edges = points(spark, sf_dir, "S"), graph.symmetrize(edges_of(spark, sf_dir, "S"))
+        pairs = p.where("id % 4 = 0").select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(p.count())).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+        return rounded(curvature.pair_distances(pairs, edges, p, name, GRAPH_K), "d", digits=9 if name in ("euclidean", "normalized") else 8)
 
+    run.__name__ = f"pair_distance_{name}"
+    query(_distance_sql(name))(run)
 
-@query()
-def orc_statistics(spark, sf_dir):
-    return graph.score_statistics(_curvature(spark, sf_dir, curvature.Standard()).where("not isnan(kappa)"))
+
+for _name in curvature.DISTANCES:
+    _pair_distance(_name)

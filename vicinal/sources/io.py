@@ -29,6 +29,19 @@ def pivot(df: DataFrame, row: str, column: str, value: str, columns: list | None
     return df.groupBy(row).pivot(column, columns).agg(F.avg(value))
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Further rows for a folder of CSV files, which is made where there is none."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def completed_keys(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
+    """The keys of the rows that a folder of CSV files holds already; none where there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema).select(*keys)
+    return spark.read.option("header", True).schema(schema).csv(path).select(*keys).distinct()
+
+
 def pending(jobs: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
     """Jobs whose keys are not yet completed."""
     return jobs.join(completed.select(*keys), keys, "left_anti")
