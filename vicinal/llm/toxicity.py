@@ -33,8 +33,8 @@ STEM_LENGTHS = range(3, 9)
 #: Words on either side of a hit that make its context.
 WINDOW = 4
 THRESHOLD = 0.7
-#: Steps of the product automaton that a worker remembers, some 400 bytes each.
-MOST_STATES = 60_000
+#: Steps of the product automaton that a worker remembers, each with at most one state, some 500 bytes; the state that no term is near.
+MOST_STEPS, DEAD = 50_000, -1
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 QUOTES = "\"“”„«»‘`"
 #: Words that report someone's speech, or speak about a word.
@@ -64,8 +64,25 @@ class Lexicon:
         for node, children in enumerate(self.nodes):
             for child in children.values():
                 self.depth[child] = self.depth[node] + 1
-        self.steps: dict[tuple, tuple] = {}
-        self.start = self.close({(0, 0)})
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the start remains. States are numbers: places in `states`, `steps` (the next state by character) and `accepts`."""
+        self.index: dict[tuple, int] = {(): DEAD}
+        self.states: list[tuple] = []
+        self.steps: list[dict[str, int]] = []
+        self.accepts: list[list[tuple[int, int, bool, int]]] = []
+        self.remembered = 0
+        self.number(self.close({(0, 0)}))
+
+    def number(self, state: tuple) -> int:
+        if state not in self.index:
+            self.index[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+            ends = [(e, *self.ends[node], self.depth[node]) for node, e in state if node in self.ends]
+            self.accepts.append([x for x in ends if x[0] == 0 or x[3] >= LONG])
+        return self.index[state]
 
     def close(self, state: set[tuple[int, int]]) -> tuple:
         """With deletions of a term's characters; of a node only its least edits."""
@@ -82,34 +99,33 @@ class Lexicon:
             least[node] = min(e, least.get(node, e))
         return tuple(sorted(least.items()))
 
-    def step(self, state: tuple, c: str) -> tuple:
-        key = (state, c)
-        if key not in self.steps:
-            if len(self.steps) > MOST_STATES:
-                self.steps.clear()
-            after = set()
-            for node, e in state:
-                if c in self.nodes[node]:
-                    after.add((self.nodes[node][c], e))
-                if e < self.edits:
-                    after.add((node, e + 1))
-                    after.update((child, e + 1) for child in self.nodes[node].values())
-            self.steps[key] = self.close(after)
-        return self.steps[key]
+    def step(self, state: int, c: str) -> int:
+        after = set()
+        for node, e in self.states[state]:
+            if c in self.nodes[node]:
+                after.add((self.nodes[node][c], e))
+            if e < self.edits:
+                after.add((node, e + 1))
+                after.update((child, e + 1) for child in self.nodes[node].values())
+        closed = self.close(after)
+        if self.remembered >= MOST_STEPS:
+            self.forget()
+            return self.number(closed)
+        self.remembered += 1
+        self.steps[state][c] = following = self.number(closed)
+        return following
 
     def find(self, word: str) -> tuple[int, int] | None:
         """The best (term, edits) for a lower-case word. Short terms only match without edits; a stem's edits lie within as many characters as it has."""
-        best, state = None, self.start
+        best, state, n = None, 0, len(word)
         for at, c in enumerate(word, 1):
-            state = self.step(state, c)
-            if not state:
+            following = self.steps[state].get(c)
+            state = self.step(state, c) if following is None else following
+            if state == DEAD:
                 break
-            last = at == len(word)
-            for node, e in state:
-                if node in self.ends:
-                    number, stem = self.ends[node]
-                    if (last or stem and at == self.depth[node]) and (e == 0 or self.depth[node] >= LONG) and (best is None or (e, number) < best):
-                        best = (e, number)
+            for e, number, stem, depth in self.accepts[state]:
+                if (at == n or stem and at == depth) and (best is None or (e, number) < best):
+                    best = (e, number)
         return best and (best[1], best[0])
 
 
