@@ -127,8 +127,12 @@ def test_capabilities_and_inserts(spark):
     for ids in ((31,), (30, 32), (30, 30), (29, 30)):
         with pytest.raises(ValueError):
             index.insert(frame(spark, [(i, (0, 0, 0)) for i in ids]))
-    with pytest.raises(NotImplementedError):
-        trees.KdTree.build(p).insert(more)
+    descent = nndescent.NnDescentIndex.build(p, 4, 4)
+    assert descent.configured_k() == 4 and descent.edges().columns == ["src", "dst", "dist", "rank"] and not descent.mutable
+    assert descent.search(p.withColumnRenamed("id", "qid"), 1).where("qid = id").count() == 30
+    for lacking in (lambda: trees.KdTree.build(p).insert(more), lambda: trees.KdTree.build(p).edges()):
+        with pytest.raises(NotImplementedError):
+            lacking()
 
 
 def test_first_rows_are_found_by_counting(spark):

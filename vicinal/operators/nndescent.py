@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
-from .knn import check_dimensions, rerank
+from .knn import Searchable, check_dimensions, rerank
 from .trees import Forest, max_leaf_size
 
 
@@ -104,3 +104,28 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, hops
         if same:
             break
     return seen.where(F.col("rank") <= k)
+
+
+@dataclass
+class NnDescentIndex(Searchable):
+    """A neighbour graph with its points, searched best first."""
+
+    graph: DataFrame
+    points: DataFrame
+    k: int
+    metric: str = "sqeuclidean"
+    metadata = True
+
+    @classmethod
+    def build(cls, points: DataFrame, k: int = 15, rounds: int = 10, metric: str = "sqeuclidean", **options) -> NnDescentIndex:
+        return cls(build(points, k, rounds, metric=metric, **options), points, k, metric)
+
+    def search(self, queries: DataFrame, k: int, beam: int = 32) -> DataFrame:
+        return search(self.graph, self.points, queries, k, beam=beam, metric=self.metric)
+
+    def edges(self) -> DataFrame:
+        """The graph itself (src, dst, dist, rank)."""
+        return self.graph
+
+    def configured_k(self) -> int:
+        return self.k
