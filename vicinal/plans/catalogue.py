@@ -450,6 +450,16 @@ def lsh_binning_knn(spark, sf_dir):
     return rounded(hashing.LshIndex.build(p, BINS).search(asked(p), K), "dist")
 
 
+CAP = 20
+
+
+@query(knn_sql("E", "cosine", pairs=_cand_sql(HYPERPLANES, _hyper_sql).replace("cand as (", "open_cand as (") + f", cand as (select qid, id from (select *, row_number() over (partition by qid order by {_draw_sql('5', 'qid', 'id')}, id) as r from open_cand) where r <= {CAP})"))
+def lsh_capped_knn(spark, sf_dir):
+    """With the cap as the feature: at most CAP candidates of a query, a seeded uniform sample of those in its buckets."""
+    p = points(spark, sf_dir, "E")
+    return rounded(hashing.LshIndex.build(p, HYPERPLANES).search(asked(p), K, cap=CAP, seed=5), "dist")
+
+
 @query(knn_sql("E", "euclidean", pairs=_cand_sql(BINS, _bin_sql)))
 def index_insert(spark, sf_dir):
     p = points(spark, sf_dir, "E")
@@ -729,10 +739,15 @@ def shortcut_edges(spark, sf_dir):
     return rounded(evaluate.shortcut_labels(evaluate.edge_ratios(edges, truth)).select("src", "dst", "dist", "r"), "dist", "r", digits=6)
 
 
-@query()
+@query(f"""with recursive {SHORTCUTS}, legs as (select src, dst, dist from own union all select dst, src, dist from own),
+round_way(a, b, dst, d) using key (a, b, dst) as (select src, dst, src, 0::double from own union (select w.a, w.b, e.dst, min(w.d + e.dist) as d from round_way w join own o on o.src = w.a and o.dst = w.b join legs e on e.src = w.dst and not (e.src = w.a and e.dst = w.b)
+left join recurring.round_way r on r.a = w.a and r.b = w.b and r.dst = e.dst where w.d + e.dist <= 4 * o.dist group by w.a, w.b, e.dst having min(w.d + e.dist) < coalesce(min(r.d), 'infinity'::double)))
+select o.src, o.dst, round(least(3, coalesce(w.d / o.dist, 100)), 6) as s, o.r < 0.998 and coalesce(w.d / o.dist, 100) > 1.5 as label from own o left join round_way w on w.a = o.src and w.b = o.dst and w.dst = o.dst""")
 def shortcut_labels(spark, sf_dir):
+    """Labels, and the stretch of the way round, shown up to 3."""
     _, edges, truth = _roll(spark)
-    return evaluate.shortcut_labels(evaluate.edge_ratios(edges, truth), ratio=0.998, stretch=1.5)
+    found = evaluate.shortcut_labels(evaluate.edge_ratios(edges, truth), ratio=0.998, stretch=1.5)
+    return rounded(found.select("src", "dst", F.least("s", F.lit(3.0)).alias("s"), "label"), "s", digits=6)
 
 
 TAUS = [0.995, 0.9985, 0.9995, 0.9999]
@@ -910,14 +925,26 @@ def edge_weights_of_pairs(spark, sf_dir):
     return rounded(graph.edge_weight(edges, pairs), "weight")
 
 
-@query()
+def _errors_sql(sizes: list[int]) -> str:
+    """CTEs err<n> (id, e): the greatest relative error of the n nearest neighbours round their first axis."""
+    parts = []
+    for n in sizes:
+        parts += [f"e{n} as (select * from edges where rank <= {n})", spread_sql(f"e{n}", f"g{n}")]
+        parts.append(f"""err{n} as (select e.src as id, max(abs((b.vec[1] - a.vec[1]) * g.ay - (b.vec[2] - a.vec[2]) * g.ax) / e.dist) as e from e{n} e join pts a on a.id = e.src join pts b on b.id = e.dst join g{n} g on g.id = e.src group by e.src)""")
+    return ", ".join(parts)
+
+
+@query(f"""with {edges_sql('S')}, {_errors_sql([5, 4, 3])} select id, cast(case when a.e <= 0.1 then 5 when b.e <= 0.1 then 4 when c.e <= 0.1 then 3 else 2 end as integer) as used,
+cast(case when a.e <= 0.1 then 0 when b.e <= 0.1 then 1 when c.e <= 0.1 then 2 else 3 end as integer) as rounds from err5 a join err4 b using (id) join err3 c using (id)""")
 def adaptive_neighborhoods(spark, sf_dir):
-    return _geometry(spark, sf_dir, strategy="adaptive")[2].groupBy("used", "rounds").agg(F.count("*").alias("n"))
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    return geometry.local_geometry(edges, p, geometry.PcaMethod(1), strategy="adaptive").select("id", "used", "rounds")
 
 
-@query()
+@query(f"""with {edges_sql('S')}, {_errors_sql([4, 5])} select id, cast(case when a.e > 0.5 then 2 when b.e > 0.5 then 4 else 5 end as integer) as used, cast(case when a.e > 0.5 then 1 else 2 end as integer) as rounds from err4 a join err5 b using (id)""")
 def expanding_neighborhoods(spark, sf_dir):
-    return _geometry(spark, sf_dir, strategy="expanding", limit=0.5, first=2)[2].groupBy("used", "rounds").agg(F.count("*").alias("n"))
+    p, edges = points(spark, sf_dir, "S"), edges_of(spark, sf_dir, "S")
+    return geometry.local_geometry(edges, p, geometry.PcaMethod(1), strategy="expanding", limit=0.5, first=2).select("id", "used", "rounds")
 
 
 @query()
