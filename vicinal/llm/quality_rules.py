@@ -2,7 +2,7 @@
 
 Every rule is a ratio of counts with a lowest and a highest accepted value. Counts come from built-in array functions over
 the words and lines of one row, so nothing is shuffled. Repeated windows are found by 64-bit hashes of three words; only texts in which some
-hash repeats are sorted, by hash and then by the words themselves, so that equal hashes of other words never count as a repeat.
+hash repeats are sorted, and windows with equal hashes count as a repeat only if their words are equal too.
 
 Nulls: a null text has no words and so fails the base rules; a null doc_id stays null. An empty text is as a null one, an empty table gives an empty
 result. Texts are read whole, however long. Repeated rows have a result each. A value at a threshold passes. Columns named as the
@@ -60,11 +60,10 @@ def let(name: str, value: str, body: str) -> str:
 def verdict_sql(text: str = "text") -> str:
     """One SQL expression: a struct of the counts, base_failed and kept."""
     stop = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
-    covered = (
-        "size(array_distinct(flatten(transform(filter(sequence(0, size(q_sorted) - 1), "
-        "k -> coalesce(get(q_sorted, k - 1).w = q_sorted[k].w, false) or coalesce(get(q_sorted, k + 1).w = q_sorted[k].w, false)), "
-        "k -> array(q_sorted[k].i, q_sorted[k].i + 1, q_sorted[k].i + 2)))))"
-    )
+    # Neighbours in the order of hashes; where hashes are equal, the words decide.
+    same = " and ".join(f"q_words[{{0}}.i{d}] = q_words[q_sorted[k].i{d}]" for d in ("", " + 1", " + 2"))
+    beside = " or ".join(f"coalesce({x}.h = q_sorted[k].h and {same.format(x)}, false)" for x in ("get(q_sorted, k - 1)", "get(q_sorted, k + 1)"))
+    covered = f"size(array_distinct(flatten(transform(filter(sequence(0, size(q_sorted) - 1), k -> {beside}), k -> array(q_sorted[k].i, q_sorted[k].i + 1, q_sorted[k].i + 2)))))"
     values = {
         "n_words": "size(q_words)",
         "word_chars": "length(array_join(q_words, ''))",
@@ -78,7 +77,7 @@ def verdict_sql(text: str = "text") -> str:
     rules = re.sub(rf"\b({'|'.join(COUNTS)})\b", r"q_n.\1", " and ".join(rule.sql() for rule in RULES))
     out = "named_struct(" + ", ".join(f"'{n}', q_n.{n}" for n in COUNTS) + f", 'base_failed', {failed}, 'kept', case when {failed} then false else {rules} end)"
     out = let("q_n", "named_struct(" + ", ".join(f"'{n}', cast({v} as long)" for n, v in values.items()) + ")", out)
-    out = let("q_sorted", "case when size(array_distinct(q_hashes)) < size(q_hashes) then array_sort(transform(q_hashes, (h, i) -> struct(struct(h as h, q_words[i] as a, q_words[i + 1] as b, q_words[i + 2] as c) as w, i as i))) end", out)
+    out = let("q_sorted", "case when size(array_distinct(q_hashes)) < size(q_hashes) then sort_array(transform(q_hashes, (h, i) -> struct(h as h, i as i))) end", out)
     out = let("q_hashes", "case when size(q_words) >= 3 then transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])) else array() end", out)
     out = let("q_lines", f"filter(split(q_text, '\\n'), x -> x rlike r'{WORD}')", out)
     out = let("q_words", r"array_remove(split(q_text, r'[\x20\x09-\x0D]+'), '')", out)
