@@ -36,7 +36,13 @@ class Counting:
         special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.lengths = Remembering(lambda x: len(self.tokenizer.encode(x, add_special_tokens=False).ids), frequent)
+        # A byte-level split only turns a piece's bytes into characters, so the model can be asked at once.
+        bare = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        model = self.tokenizer.model
+        asked = (lambda x: len(model.tokenize(x.encode().decode("latin1").translate(alphabet)))) if bare else (lambda x: len(self.tokenizer.encode(x, add_special_tokens=False).ids))
+        self.lengths = Remembering(asked, frequent)
 
     def count(self, text: str) -> int:
         look = self.lengths.__getitem__
