@@ -55,12 +55,14 @@ class WordIds:
         self.model = self.tokenizer.model
 
     def piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(self.alphabet))]
+        # Letters of ASCII stand for their own bytes.
+        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        """The ids of an unbroken run, or of any text. Runs of Latin letters, which normalising only puts in lower case, go to the model piece by piece; a piece is a run itself."""
-        if (text.isascii() or max(text) < "\u0250" and "\u0130" not in text) and "<|" not in text and text and len(text.split()) == 1:
+        """The ids of an unbroken run. Runs of Latin letters, which normalising only puts in lower case, go to the model piece by piece; a piece is a run itself."""
+        if (text.isascii() or max(text) < "\u0250" and "\u0130" not in text) and "<|" not in text:
             low = text.lower()
             if low.isalpha():
                 return self.piece(low) if low == text else self.runs[low]
