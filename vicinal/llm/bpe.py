@@ -31,6 +31,8 @@ from .common import Remembering, map_batches, per_worker, texts_of
 
 #: Characters of a leaf of the tree over a text; bytes of a leaf of the tree inside one match.
 LEAF_CHARS, LEAF_BYTES = 2048, 1024
+#: Bytes of the ids of matches that a worker remembers.
+MATCH_CACHE = 64 << 20
 #: Characters before the seam within which a match of the left half may still change.
 REACH = 3
 #: A text, the matches of the pattern in it, and the ids of each match.
@@ -47,7 +49,7 @@ class Codec:
             self.bytes_of[v] = k
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.leaf_chars, self.leaf_bytes = leaf_chars, leaf_bytes
-        self.pieces = Remembering(lambda x: np.asarray(self.match_ids(x.encode()), "<u4").tobytes())
+        self.pieces = Remembering(lambda x: np.asarray(self.match_ids(x.encode()), "<u4").tobytes(), size=MATCH_CACHE)
 
     # Inside one match.
 
