@@ -39,6 +39,7 @@ BY_TILES = [
     "auroc",
     "canonical_edges",
     "effective_epsilon_default",
+    "jaccard_scores",
 ]
 
 
