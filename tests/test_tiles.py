@@ -41,6 +41,7 @@ BY_TILES = [
     "effective_epsilon_default",
     "jaccard_scores",
     "local_pca",
+    "mirror_edges",
 ]
 
 
