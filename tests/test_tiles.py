@@ -42,6 +42,7 @@ BY_TILES = [
     "jaccard_scores",
     "local_pca",
     "mirror_edges",
+    "oracle_prune",
 ]
 
 
