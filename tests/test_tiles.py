@@ -43,6 +43,7 @@ BY_TILES = [
     "local_pca",
     "mirror_edges",
     "oracle_prune",
+    "prune_graph",
 ]
 
 
