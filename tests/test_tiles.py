@@ -44,6 +44,7 @@ BY_TILES = [
     "mirror_edges",
     "oracle_prune",
     "prune_graph",
+    "spearman_rank",
 ]
 
 
@@ -65,3 +66,9 @@ def test_queries_by_tiles_equal_sql(spark, copies, monkeypatch, name):
         columns, rows = [d[0] for d in want.description], want.fetchall()
     shown = lambda rs: sorted(tuple(str(v + 0.0 if isinstance(v, float) else v) for v in r) for r in rs)
     assert shown(found.select(*columns).collect()) == shown(rows)
+
+
+def test_f12_ranks_without_variance(spark):
+    """All lengths are 0 where every point has copies enough."""
+    edges = spark.createDataFrame([(0.0, r) for r in (1, 2, 3)], "dist double, rank int")
+    assert np.isnan(evaluate.spearman(edges, "dist", "rank").first()[0])

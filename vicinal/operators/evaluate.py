@@ -14,7 +14,8 @@ from .knn import stream
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with mean ranks; NaN without variance."""
     ranked = ranks_by_counts(ranks_by_counts(df.select(a, b), a, "ra"), b, "rb")
-    return ranked.agg(F.coalesce(F.corr("ra", "rb"), F.lit(float("nan"))).alias("spearman"))
+    r = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
+    return ranked.agg(F.coalesce(r, F.lit(float("nan"))).alias("spearman"))
 
 
 #: Ranges of values that ranks are added up over.
