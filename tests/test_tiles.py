@@ -45,6 +45,7 @@ BY_TILES = [
     "oracle_prune",
     "prune_graph",
     "spearman_rank",
+    "tangent_angles",
 ]
 
 
