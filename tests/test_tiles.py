@@ -73,3 +73,20 @@ def test_f12_ranks_without_variance(spark):
     """All lengths are 0 where every point has copies enough."""
     edges = spark.createDataFrame([(0.0, r) for r in (1, 2, 3)], "dist double, rank int")
     assert np.isnan(evaluate.spearman(edges, "dist", "rank").first()[0])
+
+
+def test_f14_sharing_equals_a_plain_walk(spark):
+    rng = np.random.default_rng(5)
+    p = frame(spark, [(int(i), v) for i, v in enumerate(rng.standard_normal((60, 2)))])
+    edges = graph.knn_graph(p, 4)
+    own = geometry.local_geometry(edges, p, geometry.PcaMethod(1))
+    basis = {r["id"]: np.array(r["basis"]) for r in own.collect()}
+    beside: dict[int, list[int]] = {}
+    for r in edges.collect():
+        beside.setdefault(r["src"], []).append(r["dst"])
+    donor: dict[int, int] = {}
+    for i in sorted(basis):
+        fit = [j for j in beside[i] if donor.get(j) == j and geometry.subspace_angle(basis[i], basis[j]) <= 0.3]
+        donor[i] = min(fit, default=i)
+    assert {r["id"]: r["donor"] for r in geometry.share_tangents(own, edges, 0.3).collect()} == donor
+    assert len(set(donor.values())) < len(donor)
