@@ -46,6 +46,7 @@ BY_TILES = [
     "prune_graph",
     "spearman_rank",
     "tangent_angles",
+    "rank_prune",
 ]
 
 
