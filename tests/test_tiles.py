@@ -47,6 +47,7 @@ BY_TILES = [
     "spearman_rank",
     "tangent_angles",
     "rank_prune",
+    "random_prune",
 ]
 
 
