@@ -48,6 +48,7 @@ BY_TILES = [
     "tangent_angles",
     "rank_prune",
     "random_prune",
+    "rank_prune_around_bridges",
 ]
 
 
