@@ -53,6 +53,7 @@ BY_TILES = [
     "curvature_free_diagnostics",
     "edge_weight_tangent",
     "edge_weight_stats",
+    "effective_epsilon_exact",
 ]
 
 
