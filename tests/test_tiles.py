@@ -54,6 +54,7 @@ BY_TILES = [
     "edge_weight_tangent",
     "edge_weight_stats",
     "effective_epsilon_exact",
+    "filter_graph",
 ]
 
 
