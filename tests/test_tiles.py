@@ -55,6 +55,7 @@ BY_TILES = [
     "edge_weight_stats",
     "effective_epsilon_exact",
     "filter_graph",
+    "gabriel_mask",
 ]
 
 
