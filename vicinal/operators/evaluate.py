@@ -9,6 +9,7 @@ from ..functions.distance import distance
 from .graph import canonical
 from .paths import MOST_EDGES, adjacency_of
 from .knn import stream
+from .nndescent import cut
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -203,13 +204,15 @@ def bridges(edges: DataFrame) -> DataFrame:
     return own.groupBy("one").applyInArrow(run, "src long, dst long")
 
 
-def geodesic_error(graph_d: DataFrame, true_d: DataFrame) -> DataFrame:
-    """Of pairs (src, dst, d_true) with graph distances (src, dst, d): mean and median relative error, pairs without a way or true length, rank correlation."""
+def geodesic_error(graph_d: DataFrame, true_d: DataFrame, pairs: int | None = None) -> DataFrame:
+    """Of pairs (src, dst, d_true) with graph distances (src, dst, d): mean and median relative error, pairs without a way or true length, rank correlation.
+    With the number of all pairs, true_d needs only those that have a way."""
     both = true_d.join(graph_d, ["src", "dst"], "left").withColumn("ok", F.col("d").isNotNull() & (F.col("d") < F.lit(float("inf"))) & (F.col("d_true") >= 1e-12))
+    both = cut(both.select("d", "d_true", "ok"))
     good = both.where("ok").withColumn("e", F.abs(F.col("d") - F.col("d_true")) / F.col("d_true"))
     nan = F.lit(float("nan"))
     stats = good.agg(F.coalesce(F.avg("e"), nan).alias("mean_error"), F.coalesce(F.percentile("e", 0.5), nan).alias("median_error"))
-    lost = both.agg(F.count_if(~F.col("ok")).alias("n_disconnected"))
+    lost = both.agg((F.count_if(~F.col("ok")) if pairs is None else F.lit(pairs) - F.count_if("ok")).alias("n_disconnected"))
     return stats.join(lost, F.lit(True)).join(spearman(good, "d", "d_true"), F.lit(True))
 
 
