@@ -127,8 +127,8 @@ def test_f30_layers_hold_one_of_equal_vectors(spark):
     assert index.nodes().distinct().count() == index.nodes().count() == len(rows)
 
 
-@pytest.mark.parametrize("symmetry", ["full"])
-def test_f29_descent_holds_one_of_equal_vectors(spark, symmetry):
+@pytest.mark.parametrize("symmetry", ["full", "continuous"])
+def test_f27_f29_descent_holds_one_of_equal_vectors(spark, symmetry):
     rows = [(c * 40 + i, (i / 10, i % 2 * 3)) for c in range(12) for i in range(40)]
     p, q = frame(spark, rows), frame(spark, rows[:20], "qid")
     built = nndescent.build(p, 6, 4, metric="euclidean", symmetry=symmetry)
