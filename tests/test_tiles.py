@@ -137,11 +137,11 @@ def test_f27_f29_descent_holds_one_of_equal_vectors(spark, symmetry):
     assert built.select("src").distinct().count() == len(rows)
 
 
-def test_f25_forests_read_leaves_until_recall_is_reached(spark):
+def test_f25_f26_forests_read_leaves_until_recall_is_reached(spark):
     rng = np.random.default_rng(8)
     p = frame(spark, [(i, v) for i, v in enumerate(rng.standard_normal((1200, 16)))])
     q = p.where("id < 200").withColumnRenamed("id", "qid")
     truth = knn.search(p, q, 10)
-    for splitter in (trees.two_points,):
+    for splitter in (trees.two_points, trees.pca_forest_splitter()):
         found = trees.Forest.build(p, splitter, trees.max_leaf_size(64), 3).search(q, 10)
         assert knn.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
