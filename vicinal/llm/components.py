@@ -32,23 +32,37 @@ def local_labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None
             labels = further
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Each task's edges (u, v) as stars of the same components; nothing is shuffled."""
+def stars(batches, rows: int = 65_536):
+    """Arrow batches of edges (u, v) as stars of the same components, some `rows` edges at once."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([np.asarray(batch.column(k)) for batch in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        labels = local_labels(len(nodes), at[: len(u)], at[len(u) :])
+        far = labels != np.arange(len(nodes))
+        return pa.RecordBatch.from_pydict({"u": nodes[far], "v": nodes[labels[far]]})
 
-    def run(batches):
-        for batch in batches:
-            u, v = (np.asarray(batch.column(k)) for k in (0, 1))
-            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-            labels = local_labels(len(nodes), at[: len(u)], at[len(u) :])
-            far = labels != np.arange(len(nodes))
-            yield pa.RecordBatch.from_pydict({"u": nodes[far], "v": nodes[labels[far]]})
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield star(held)
+            held = []
+    if held:
+        yield star(held)
 
-    return map_stream(edges.select("u", "v"), run, "u long, v long", rows=65_536)
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Each task's edges (u, v) as stars of the same components; nothing is shuffled."""
+    return map_stream(edges.select("u", "v"), stars, "u long, v long", rows=65_536)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) for every node of edges (u long, v long, not null), in any direction."""
-    edges = cut(contracted(edges.where("u <> v")).distinct())
+def connected_components(edges: DataFrame, contract: bool = True) -> DataFrame:
+    """node and root (the smallest node reachable) for every node of edges (u long, v long, not null), in any direction.
+    Without contract, edges are a task's stars already: a Python step on top of the one that made them would take a second worker for each task,
+    and workers stay, with all that later steps keep in them."""
+    edges = edges.where("u <> v")
+    edges = cut((contracted(edges) if contract else edges.select("u", "v")).distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

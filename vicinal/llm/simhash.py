@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, groups_of, map_batches, map_stream, texts_of
-from .components import connected_components, local_labels
+from .components import connected_components, local_labels, stars
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 #: A trie with more fingerprints than this, or than a 4096th of all, is dealt over tasks by pairs of subtrees.
@@ -208,14 +208,14 @@ def links(prints: DataFrame, rows: int, budget: int = BUDGET, hot_trie: int = HO
     limit = max(hot_trie, rows * len(tables) // 4096)  # so there are at most 4096 hot tries
     hot = frozenset(r["trie"] for r in counted.where(F.col("count") > limit).select("trie").collect())
     spread = map_batches(prints.select("fp"), dealt(hot), schema, rows=16_384).repartition("trie", "part").sortWithinPartitions("trie", "part")
-    return map_stream(spread, join, "u long, v long", rows=65_536)
+    return map_stream(spread, lambda batches: stars(join(batches)), "u long, v long", rows=65_536)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, hot_trie: int = HOT_TRIE, key: str | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of the component), root (a fingerprint of the component, never null), and `key`, if given, for every row of docs (columns doc_id, text, and key)."""
     prints = cut(fingerprints(docs, shingle, key))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    components = connected_components(links(distinct, distinct.count(), budget, hot_trie))
+    components = connected_components(links(distinct, distinct.count(), budget, hot_trie), contract=False)
     rooted = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "rep", "root")
     linked = rooted.where("root is not null")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
